@@ -1,0 +1,26 @@
+"""Line diffs between two texts of the same row."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, functions as F
+
+from logloom.functions.text import as_column
+
+
+def _diffs(old: pd.Series, new: pd.Series, old_name: pd.Series, new_name: pd.Series) -> pd.Series:
+    return pd.Series(
+        [
+            "\n".join(difflib.unified_diff(a.splitlines(), b.splitlines(), fromfile=x, tofile=y, lineterm=""))
+            for a, b, x, y in zip(old, new, old_name, new_name)
+        ]
+    )
+
+
+def unified_diff(old: Column | str, new: Column | str, old_name: Column | str, new_name: Column | str) -> Column:
+    """Unified diff of two text columns; one pair of versions per row, spread by row."""
+    udf = F.pandas_udf(_diffs, "string")
+    args = [F.coalesce(as_column(c), F.lit("")) for c in (old, new, old_name, new_name)]
+    return udf(*args)
