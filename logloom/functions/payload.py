@@ -80,26 +80,35 @@ def nested_value(raw: Column | str, keys: Sequence[str], max_depth: int = 5, con
     only for rows that the first two tiers leave open.
     """
     text = as_column(raw)
-    top = payload_map(text)
-    direct = [_scalar(F.try_element_at(top, F.lit(k))) for k in keys]
-    inner = []
-    for name in containers:
-        box = F.from_json(F.try_element_at(top, F.lit(name)), MAP)
-        inner += [_scalar(F.try_element_at(box, F.lit(k))) for k in keys]
-    near = F.coalesce(*direct, *inner)
+    folded = sorted({re.sub("[^a-z0-9]", "", k.lower()) for k in keys if k.strip()})
+
+    def first_of(values: Column) -> Column:
+        return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
+
+    def by_key(box: Column) -> Column:
+        return first_of(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: _scalar(F.try_element_at(box, k))))
+
+    def in_containers(top: Column) -> Column:
+        names = F.array(*[F.lit(c) for c in containers])
+        boxes = F.filter(F.transform(names, lambda c: F.try_element_at(top, c)), lambda v: F.coalesce(v, F.lit("")).startswith("{"))
+        return first_of(F.transform(boxes, lambda v: by_key(F.from_json(v, MAP))))
 
     def deeper(levels: Column, _: Column) -> Column:
-        return F.concat(levels, F.array(F.flatten(F.transform(F.element_at(levels, -1), lambda e: _children(F.coalesce(e["value"], F.lit("")))))))
+        boxes = F.filter(F.element_at(levels, -1), lambda e: F.substring(e["value"], 1, 1).isin("{", "["))
+        return F.concat(levels, F.array(F.flatten(F.transform(boxes, lambda e: _children(e["value"])))))
 
-    levels = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.array(_children(F.ltrim(text))), deeper)
-    folded = sorted({re.sub("[^a-z0-9]", "", k.lower()) for k in keys if k.strip()})
-    hits = F.filter(
-        F.flatten(levels),
-        lambda e: F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").isin(folded) & _scalar(e["value"]).isNotNull(),
-    )
-    far = _scalar(F.get(F.transform(hits, lambda e: e["value"]), 0))
-    # ``when`` keeps the tree walk away from rows that need none of it.
-    return F.coalesce(near, F.when(near.isNull() & top.isNotNull(), far), F.lit(""))
+    def anywhere(top: Column) -> Column:
+        levels = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.array(F.map_entries(top)), deeper)
+        hits = F.filter(F.flatten(levels), lambda e: F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").isin(folded))
+        return first_of(F.transform(hits, lambda e: _scalar(e["value"])))
+
+    def look(top: Column) -> Column:
+        nested = F.exists(F.map_values(top), lambda v: F.substring(v, 1, 1).isin("{", "["))
+        folds = F.exists(F.map_keys(top), lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(folded))
+        return F.coalesce(by_key(top), F.when(nested, in_containers(top)), F.when(nested | folds, anywhere(top)))
+
+    # The one-item array binds the parsed object, so that it is parsed once.
+    return F.coalesce(F.get(F.transform(F.array(payload_map(text)), look), 0), F.lit(""))
 
 
 def _label_patterns(labels: Sequence[str]) -> tuple[list[str], str]:
