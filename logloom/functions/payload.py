@@ -55,6 +55,11 @@ def normalize_payload(raw: Column | str, received_at: Column | str) -> Column:
     return F.when(keys.isNotNull(), as_object).otherwise(wrapped)
 
 
+def constant_words(words: Sequence[str]) -> Column:
+    """An array of fixed words; the split is folded into a literal when planned."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def _scalar(value: Column) -> Column:
     """The trimmed value, or null for empty text, objects and arrays."""
     text = strip(value)
@@ -82,14 +87,17 @@ def nested_value(raw: Column | str, keys: Sequence[str], max_depth: int = 5, con
     text = as_column(raw)
     folded = sorted({re.sub("[^a-z0-9]", "", k.lower()) for k in keys if k.strip()})
 
+    def fits(key: Column) -> Column:
+        return F.array_contains(constant_words(folded), F.regexp_replace(F.lower(key), "[^a-z0-9]", ""))
+
     def first_of(values: Column) -> Column:
         return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
 
     def by_key(box: Column) -> Column:
-        return first_of(F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: _scalar(F.try_element_at(box, k))))
+        return first_of(F.transform(constant_words(keys), lambda k: _scalar(F.try_element_at(box, k))))
 
     def in_containers(top: Column) -> Column:
-        names = F.array(*[F.lit(c) for c in containers])
+        names = constant_words(containers)
         boxes = F.filter(F.transform(names, lambda c: F.try_element_at(top, c)), lambda v: F.coalesce(v, F.lit("")).startswith("{"))
         return first_of(F.transform(boxes, lambda v: by_key(F.from_json(v, MAP))))
 
@@ -99,12 +107,12 @@ def nested_value(raw: Column | str, keys: Sequence[str], max_depth: int = 5, con
 
     def anywhere(top: Column) -> Column:
         levels = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.array(F.map_entries(top)), deeper)
-        hits = F.filter(F.flatten(levels), lambda e: F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").isin(folded))
+        hits = F.filter(F.flatten(levels), lambda e: fits(e["key"]))
         return first_of(F.transform(hits, lambda e: _scalar(e["value"])))
 
     def look(top: Column) -> Column:
         nested = F.exists(F.map_values(top), lambda v: F.substring(v, 1, 1).isin("{", "["))
-        folds = F.exists(F.map_keys(top), lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(folded))
+        folds = F.exists(F.map_keys(top), fits)
         return F.coalesce(by_key(top), F.when(nested, in_containers(top)), F.when(nested | folds, anywhere(top)))
 
     # The one-item array binds the parsed object, so that it is parsed once.

@@ -312,9 +312,8 @@ def _signals(found: DataFrame, source: str, precedence: int, name: Column | None
 
 def merge_candidates(signals: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row per (signature, commit): scores of all sources add up, the first source names it."""
-    gathered = signals.groupBy("sig_id", "sha").agg(
-        F.array_sort(F.collect_set("signal")).alias("signals"),
-    )
+    gathered = signals.groupBy("sig_id", "sha").agg(F.collect_set("signal").alias("unsorted"))
+    gathered = gathered.select("sig_id", "sha", F.array_sort("unsorted").alias("signals"))
     points = F.aggregate("signals", F.lit(0).cast("bigint"), lambda acc, s: acc + s["points"])
     n = F.size("signals")
     diff = F.coalesce("diff_score", F.lit(0))
@@ -355,8 +354,7 @@ def impact_candidates(signatures: DataFrame, commits: DataFrame, files: DataFram
     )
     evidence = checkpointed(diff_evidence(pairs, files))
     reviewed = evidence.where(related_commit()).join(history.select("sig_id", "sha"), ["sig_id", "sha"], "left_semi")
-    signals = direct.unionByName(_signals(reviewed, "consecutive_history_diff", 0))
-    first = merge_candidates(signals, evidence)
+    signals = checkpointed(direct.unionByName(_signals(reviewed, "consecutive_history_diff", 0)))
 
     open_after_direct = signatures.join(signals.select("sig_id").distinct(), "sig_id", "left_anti")
     searched = checkpointed(candidates_by_terms(open_after_direct, commits))
@@ -367,7 +365,9 @@ def impact_candidates(signatures: DataFrame, commits: DataFrame, files: DataFram
         )
     )
     late_pairs = late.select("sig_id", "sha").distinct().join(shas, "sig_id")
-    return first.unionByName(merge_candidates(late, diff_evidence(late_pairs, files)))
+    late_evidence = checkpointed(diff_evidence(late_pairs, files))
+    every_signal = checkpointed(signals.unionByName(late))
+    return merge_candidates(every_signal, evidence.unionByName(late_evidence))
 
 
 def top_candidates(candidates: DataFrame, commits: DataFrame, limit: int = 5) -> DataFrame:

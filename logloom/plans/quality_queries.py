@@ -83,7 +83,7 @@ def _(spark, sf):
 # --- metrics ---------------------------------------------------------------
 
 COUNTS = f"SELECT {duck.strip('true_label')} AS true_label, {duck.strip('predicted_label')} AS predicted_label, count(*) AS n FROM judged GROUP BY 1, 2"
-BASE_LABELS = "SELECT unnest(['Error', 'CONFIGURATION', 'SYSTEM', 'Noise']) AS label, unnest([0, 1, 2, 3]) AS at"
+BASE_LABELS = "SELECT unnest(['Error', 'CONFIGURATION', 'SYSTEM', 'Noise']) AS label, unnest([0, 1, 2, 3]) AS place"
 PER_CLASS = f"""
 sides AS (SELECT true_label AS label, n AS support, 0 AS predicted, CASE WHEN true_label = predicted_label THEN n ELSE 0 END AS hits, true AS present FROM counts
   UNION ALL SELECT predicted_label, 0, n, 0, true FROM counts UNION ALL SELECT label, 0, 0, 0, false FROM ({BASE_LABELS})),
@@ -116,8 +116,8 @@ def _(spark, sf):
 
 
 @query("confusion_matrix", with_tables(f"""WITH counts AS ({COUNTS}),
-  places AS (SELECT label, min(at) AS at FROM (SELECT label, at FROM ({BASE_LABELS}) UNION ALL SELECT true_label, 100 FROM counts UNION ALL SELECT predicted_label, 200 FROM counts) WHERE label <> '' GROUP BY label),
-  ordered AS (SELECT label, row_number() OVER (ORDER BY at, label) - 1 AS i FROM places)
+  places AS (SELECT label, min(place) AS place FROM (SELECT label, place FROM ({BASE_LABELS}) UNION ALL SELECT true_label, 100 FROM counts UNION ALL SELECT predicted_label, 200 FROM counts) WHERE label <> '' GROUP BY label),
+  ordered AS (SELECT label, row_number() OVER (ORDER BY place, label) - 1 AS i FROM places)
   SELECT t.i AS true_index, t.label AS true_label, p.i AS predicted_index, p.label AS predicted_label, coalesce(c.n, 0) AS n
   FROM ordered t CROSS JOIN ordered p LEFT JOIN counts c ON c.true_label = t.label AND c.predicted_label = p.label""", "judged"))
 def _(spark, sf):
