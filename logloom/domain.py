@@ -118,7 +118,7 @@ LABEL_RULES = (
     ("CONFIGURATION", r"required option not passed|invalid_client|invalid_grant|unauthorized_client|feature flag"),
     ("SYSTEM", r"memory (limit|exhaust)|out of memory|allowed memory|cpu |disk|no space|read-only file|connection refused|network unreachable|kernel|service unavailable"),
     ("SYSTEM", r"application (booted|shutdown)|transaction (started|committed|rolled back)|artisan"),
-    ("Error", r"[a-z_.]*(exception|error)\b *:|stack ?trace|null pointer|undefined (variable|property|route|method)|parse error|assertion failed"),
+    ("Error", r"(exception|error)\b *:|stack ?trace|null pointer|undefined (variable|property|route|method)|parse error|assertion failed"),
     ("Noise", r""),
 )
 

@@ -29,6 +29,11 @@ TEMPLATE_MASKS = (
     (r"/\d+\b", "/<id>"),
 )
 
+# Look-aheads of the masks, in the same order: cheaper to try than a word boundary.
+MASK_HINTS = (
+    r"(?=\d{4}-)", "(?=ts=)", r"(?=\d{1,3}\.\d)", "", r"(?=\d+ms)", "(?=user=)", "(?=status )", "(?=instance )", "", "", "",
+)
+
 UNICODE = "(?U)"
 
 
@@ -43,20 +48,27 @@ def strip(value: Column | str) -> Column:
 
 def casefold(value: Column | str) -> Column:
     """Lower case for comparing: sharp s, long s and final sigma as their plain forms."""
-    return F.replace(F.translate(F.lower(as_column(value)), "ſς", "sσ"), F.lit("ß"), F.lit("ss"))
+    folded = F.lower(as_column(value))
+    for letter, plain in (("ß", "ss"), ("ſ", "s"), ("ς", "σ")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+    return folded
 
 
 def collapse_spaces(value: Column | str) -> Column:
-    return strip(F.regexp_replace(F.coalesce(as_column(value), F.lit("")), UNICODE + r"\s+", " "))
+    # Single spaces stay as they are, so most of a text needs no replacing.
+    runs = UNICODE + r" \s+|[\s&&[^ ]]\s*"
+    return strip(F.regexp_replace(F.coalesce(as_column(value), F.lit("")), runs, " "))
 
 
 def template_group(text: Column | str) -> Column:
     """The message with its variable parts masked; rows with equal groups are near copies."""
-    masked = reduce(
-        lambda acc, mask: F.regexp_replace(acc, UNICODE + mask[0], mask[1]), TEMPLATE_MASKS, casefold(strip(text))
-    )
-    group = collapse_spaces(masked)
-    return F.when(group == "", F.lit("<empty>")).otherwise(group)
+    def mask(acc: Column, rule: tuple[tuple[str, str], str]) -> Column:
+        (pattern, shown), ahead = rule
+        return F.regexp_replace(acc, UNICODE + ahead + pattern, shown)
+
+    group = collapse_spaces(reduce(mask, zip(TEMPLATE_MASKS, MASK_HINTS), casefold(strip(text))))
+    # Not a condition on the group, which would work it out twice.
+    return F.regexp_replace(group, r"\A\z", "<empty>")
 
 
 def truncate_text(text: Column | str, max_chars: int = 4000, suffix: str = "\n...[truncated]", reserve: int = 30) -> Column:

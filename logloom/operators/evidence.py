@@ -204,13 +204,16 @@ def file_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
     """
     changed = files.select("repo", "sha", "position", "filename", "patch")
     # Many signatures ask for the same few commits; hot commits are split by signature.
-    met = spread_join(pairs.select("sig_id", "repo", "sha", "paths", "terms"), changed, ["repo", "sha"])
+    lowered = F.transform("terms", lambda t: F.lower(t))
+    met = spread_join(pairs.select("sig_id", "repo", "sha", "paths", "terms", lowered.alias("low")), changed, ["repo", "sha"])
     patch = F.coalesce("patch", F.lit(""))
     clean = F.btrim(F.replace("filename", F.lit("\\"), F.lit("/")), F.lit("/"))
     met = met.select(
-        "sig_id", "sha", "position", "filename", "paths", "terms", patch.alias("patch"), clean.alias("clean"),
+        "sig_id", "sha", "position", "filename", "paths", "terms", "low", patch.alias("patch"), clean.alias("clean"),
         F.lower(patch).alias("patch_low"), F.lower("filename").alias("name_low"),
     )
+    named = F.exists("low", lambda t: F.contains(F.col("patch_low"), t) | F.contains(F.col("name_low"), t))
+    met = met.where(named | F.exists("paths", lambda p: path_points(F.col("clean"), p).isNotNull()))
     lines = F.split("patch", r"\r\n|[\n\r]")
 
     def snippet(line: Column) -> Column:
@@ -235,7 +238,7 @@ def file_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
         lambda x: item("snippet", snippet(F.coalesce(F.col("edited"), F.concat(F.lit("changed file matched "), x["p"]))), x["i"], 0, nothing),
     )
     file_items = F.when(F.size("on_path") > 0, F.array(item("file", F.col("filename"), F.lit(0), 0, nothing))).otherwise(F.array())
-    indexed = F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.lower(t).alias("low")))
+    indexed = F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.get(F.col("low"), i).alias("low")))
     in_patch = F.filter(indexed, lambda x: F.contains(F.col("patch_low"), x["low"]))
     in_name = F.filter(indexed, lambda x: ~F.contains(F.col("patch_low"), x["low"]) & F.contains(F.col("name_low"), x["low"]))
 

@@ -54,3 +54,15 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int, ra
 
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than there are cores.
+
+    For heavy work per row on a few small files. Input with enough splits, as
+    any large table has, is left as it is and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(2 * cores)

@@ -10,7 +10,7 @@ from logloom.functions.text import template_group
 from logloom.operators import dataset, quality, scoring, splits, training
 from logloom.plans import duck
 from logloom.plans.registry import query
-from logloom.plans.tables import derived, given, with_tables
+from logloom.plans.tables import derived, given, spread, with_tables
 
 LABELLED = "SELECT event_id, CASE WHEN k = 3 THEN NULL ELSE message END AS message, CASE WHEN k < 30 THEN upper(label) WHEN k > 95 THEN 'unknown' ELSE label END AS class FROM messages"
 
@@ -44,12 +44,12 @@ def _(spark, sf):
 
 @query("group_distribution", with_tables(f"SELECT {duck.template_group('message')} AS template_group, count(*) AS n FROM messages GROUP BY 1", "messages"))
 def _(spark, sf):
-    return dataset.group_distribution(derived(spark, sf, "messages"))
+    return dataset.group_distribution(spread(spark, sf, "messages", "message"))
 
 
 @query("group_distribution_of_documents", f"SELECT {duck.template_group('text')} AS template_group, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, sf):
-    return dataset.group_distribution(given(spark, sf, "documents"), "text")
+    return dataset.group_distribution(spread(spark, sf, "documents", "text"), "text")
 
 
 @query("dataset_profile", with_tables(f"""WITH v AS ({VALID}) SELECT 'row_count' AS item, '' AS key, count(*) AS n FROM v UNION ALL SELECT 'label', class, count(*) FROM v GROUP BY class
@@ -211,7 +211,7 @@ def _(spark, sf):
 
 
 def training_rows(spark, sf):
-    return derived(spark, sf, "messages").select("event_id", "message", F.col("label").alias("class"))
+    return spread(spark, sf, "messages", "event_id", "message", "label").withColumnRenamed("label", "class")
 
 
 @query("grouped_split")

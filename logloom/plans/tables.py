@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.operators.skew import spread_rows
+
 SPARK = {
     "k": "CAST(get_json_object(props, '$.k') AS BIGINT)",
     "epoch": "CAST(unix_timestamp(CAST(ts AS TIMESTAMP)) AS STRING)",
@@ -139,6 +141,12 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is heavy per row."""
+    table = derived(spark, folder, name) if name in DERIVED else given(spark, folder, name)
+    return spread_rows(table.select(*columns) if columns else table)
+
+
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.sql(_text(name, {**SPARK, **{t: f"parquet.`{folder}/{t}.parquet`" for t in BASE}}))
 

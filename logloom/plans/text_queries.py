@@ -8,7 +8,7 @@ from logloom import domain
 from logloom.functions import columns, labels, payload, text
 from logloom.plans import duck
 from logloom.plans.registry import query
-from logloom.plans.tables import derived, given, with_tables
+from logloom.plans.tables import derived, given, spread, with_tables
 
 
 @query("resolve_text_column", "SELECT doc_id, text AS message FROM documents")
@@ -54,12 +54,12 @@ def _(spark, sf):
 
 @query("template_group", f"SELECT doc_id, {duck.template_group('text')} AS template_group FROM documents")
 def _(spark, sf):
-    return given(spark, sf, "documents").select("doc_id", text.template_group("text").alias("template_group"))
+    return spread(spark, sf, "documents", "doc_id", "text").select("doc_id", text.template_group("text").alias("template_group"))
 
 
 @query("template_group_of_logs", with_tables(f"SELECT event_id, {duck.template_group('message')} AS template_group FROM messages", "messages"))
 def _(spark, sf):
-    return derived(spark, sf, "messages").select("event_id", text.template_group("message").alias("template_group"))
+    return spread(spark, sf, "messages", "event_id", "message").select("event_id", text.template_group("message").alias("template_group"))
 
 
 @query("text_cuts", f"""SELECT doc_id, {duck.truncate('text')} AS truncated, {duck.summary('text')} AS summary, {duck.fold(duck.collapse('text'))} AS match_key,
@@ -79,7 +79,7 @@ def _(spark, sf):
 @query("nested_value", with_tables(f"""SELECT event_id, {duck.near_value('payload', domain.BRANCH_KEYS)} AS branch, {duck.near_value('payload', domain.COMMIT_SHA_KEYS)} AS sha,
   json_extract_string(payload, '$.message') AS deep FROM errors""", "errors"))
 def _(spark, sf):
-    rows = derived(spark, sf, "errors")
+    rows = spread(spark, sf, "errors", "event_id", "message", "payload")
     # The third column hides the payload two levels down under another spelling of the key.
     hidden = F.concat(F.lit('{"outer":[{"in":{"Log-Text":'), F.to_json(F.struct("message")).substr(F.lit(12), F.length("message") + 2), F.lit("}}]}"))
     return rows.select(
@@ -173,7 +173,7 @@ def _(spark, sf):
 
 @query("rule_label_of_documents", f"SELECT doc_id, {duck.rule_label('text')} AS prediction FROM documents")
 def _(spark, sf):
-    return given(spark, sf, "documents").select("doc_id", labels.rule_label("text").alias("prediction"))
+    return spread(spark, sf, "documents", "doc_id", "text").select("doc_id", labels.rule_label("text").alias("prediction"))
 
 
 @query("merge_unique", f"SELECT p_partkey, array_to_string({duck.ordered_distinct('l || r', 3)}, ' ') AS merged FROM (SELECT p_partkey, string_split(p_name, ' ') AS l, [p_type, p_name, p_brand, p_type] AS r FROM part)")

@@ -9,14 +9,14 @@ from logloom.operators import evidence, incidents, triage
 from logloom.operators.indexing import with_order_index
 from logloom.plans import duck
 from logloom.plans.registry import query
-from logloom.plans.tables import derived, with_tables
+from logloom.plans.tables import derived, spread, with_tables
 from logloom.session import checkpointed
 
 REPO = "acme/shop"
 
 
 def signed_errors(spark, sf):
-    return evidence.event_signatures(derived(spark, sf, "errors").select("event_id", "received_at", "payload"), REPO)
+    return evidence.event_signatures(spread(spark, sf, "errors", "event_id", "received_at", "payload"), REPO)
 
 
 class Tables:
@@ -228,7 +228,7 @@ def _(spark, sf):
   SELECT v.event_id, 'Error' AS prediction, v.verdict, v.status, o.issue_key, o.operation, CASE WHEN b.kind = 'pull_request' THEN 'github_pull_request' ELSE 'github_copilot_remediation' END AS follow_type, CASE WHEN b.kind IS NULL THEN 'created' ELSE 'reused' END AS follow_operation
   FROM verdicts v JOIN opened o USING (event_id) LEFT JOIN best b USING (issue_key)""", "errors", "commits", "files", "issues", "refs"))
 def _(spark, sf):
-    events = derived(spark, sf, "errors").select("event_id", "received_at", "payload", F.lit('{"class": "error"}').alias("answer"))
+    events = spread(spark, sf, "errors", "event_id", "received_at", "payload").select("*", F.lit('{"class": "error"}').alias("answer"))
     out = triage.triage(events, *[derived(spark, sf, n) for n in ("commits", "files", "issues", "refs")], REPO)["results"]
     follow = F.get("actions", F.lit(1))
     return out.select("event_id", "prediction", "verdict", "status", "issue_key", "operation", follow["type"].alias("follow_type"), follow["operation"].alias("follow_operation"))
