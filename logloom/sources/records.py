@@ -48,7 +48,7 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
 
     A document that cannot be read gives one record with number -1 and the error.
     """
-    whole = _reader(spark, "json").option("wholetext", True).text(path).select(strip("value").alias("value"), F.col("_metadata.file_name").alias("source_file"))
+    whole = _reader(spark, "json").text(path, wholetext=True).select(strip("value").alias("value"), F.col("_metadata.file_name").alias("source_file"))
     items = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).when(
         F.col("value").startswith("{") & F.ltrim(F.get_json_object("value", "$.items")).startswith("["),
         F.from_json(F.get_json_object("value", "$.items"), "array<string>"),
@@ -83,7 +83,7 @@ def csv_records(spark: SparkSession, path: str, header: bool = True, multi_line:
 
 def other_records(spark: SparkSession, path: str) -> DataFrame:
     """Any other file: its whole trimmed text is one record."""
-    whole = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     named = whole.select(strip("value").alias("value"), F.col("_metadata.file_name").alias("source_file"))
     suffix = F.lower(F.regexp_extract("source_file", r"\.([^.]*)$", 1))
     return named.where(~suffix.isin(list(KNOWN)) & (F.col("value") != "")).select(
