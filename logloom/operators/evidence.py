@@ -143,7 +143,8 @@ def commit_search(queries: DataFrame, commits: DataFrame, hits: int = 5) -> Data
     asked = queries.select("repo", "query_id", "words", F.explode("words").alias("word"))
     vocabulary = asked.select("repo", "word").distinct()
     messages = commits.select("repo", "sha", "committed_at", "message").dropDuplicates(["repo", "sha"])
-    found = messages.select("repo", "sha", "committed_at", F.explode(_tokens(F.col("message"))).alias("word")).join(vocabulary, ["repo", "word"], "left_semi")
+    words = messages.select("repo", "sha", "committed_at", F.explode(_tokens(F.col("message"))).alias("word"))
+    found = checkpointed(words.join(vocabulary, ["repo", "word"], "left_semi"))
     documents = found.groupBy("repo", "sha", "committed_at").agg(F.collect_set("word").alias("has"))
     postings = documents.withColumn("word", F.explode("has"))
     sizes = found.groupBy("repo", "word").agg(F.count(F.lit(1)).alias("size"))
@@ -379,7 +380,8 @@ def top_candidates(candidates: DataFrame, commits: DataFrame, limit: int = 5) ->
         F.max("committed_at").alias("committed_at"), F.first("message").alias("message"),
         *[F.first(c).alias(c) for c in ("author_name", "author_email", "author_login") if c in commits.columns],
     )
-    dated = candidates.join(facts, "sha")
+    # A recent commit is a candidate of very many signatures.
+    dated = spread_join(candidates, facts, ["sha"])
     best = top_rows(dated, ["sig_id"], [F.col("score").desc(), F.col("committed_at").desc(), F.col("sha").desc()], limit)
     return best.withColumn("message", F.substring(F.substring_index("message", "\n", 1), 1, 240))
 

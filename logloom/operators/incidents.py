@@ -92,8 +92,8 @@ def route_actions(predictions: DataFrame) -> DataFrame:
     )
 
 
-def action_status(results: DataFrame) -> DataFrame:
-    """Outcome of each event from its actions and errors."""
+def action_status(results: DataFrame, *keep: str) -> DataFrame:
+    """Outcome of each event from its actions and errors; ``keep`` names further columns to take along."""
     incident = domain.ACTION_TYPES["incident"]
     issue = F.get(F.filter("actions", lambda a: (a["type"] == incident) & (F.coalesce(a["issue_key"], F.lit("")) != "")), 0)
     available = issue.isNotNull()
@@ -101,7 +101,7 @@ def action_status(results: DataFrame) -> DataFrame:
     failed = (F.size("errors") > 0) | ((F.size("monitoring_errors") > 0) if "monitoring_errors" in results.columns else F.lit(False))
     rejected = (F.col("prediction") == domain.INCIDENT_LABEL) & ~available
     return results.select(
-        "event_id", "prediction", F.when(failed, "partial_failure").otherwise("ok").alias("action_status"),
+        "event_id", "prediction", *keep, F.when(failed, "partial_failure").otherwise("ok").alias("action_status"),
         (~rejected).alias("accepted"), available.alias("issue_available"), (available & ~reused).alias("issue_created"), reused.alias("issue_reused"),
     )
 

@@ -46,9 +46,10 @@ def with_order_index(df: DataFrame, order: Sequence[str | Column], groups: Seque
 
     The rows are range-partitioned and sorted, written once to the shared
     folder, counted per partition, and shifted by the counts before them. A
-    group may span any number of partitions.
+    group may span any number of partitions. Rows that are equal in ``order``
+    follow by a hash of their values, so a frequent value is spread as well.
     """
-    keys = [*groups, *order]
+    keys = [*groups, *order, F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))])]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id()
     placed = checkpointed(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", at.bitwiseAND(F.lit(POSITION_MASK))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.functions.diff import unified_diff
 from logloom.functions.text import line_count, strip, text_sha256
 from logloom.operators.indexing import with_order_index
+from logloom.operators.skew import spread_join
 
 
 def content_versions(df: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
@@ -41,7 +42,9 @@ def version_diffs(history: DataFrame, versions: DataFrame) -> DataFrame:
     """Unified diff of each version against its predecessor."""
     texts = versions.groupBy("version_id").agg(F.first("text").alias("text"))
     old = texts.select(F.col("version_id").alias("previous_version_id"), F.col("text").alias("old_text"))
-    pairs = history.where(F.col("previous_version_id") != "").join(texts, "version_id").join(old, "previous_version_id")
+    # A common first version is the predecessor in many histories: each pair is compared once, hot texts are spread.
+    asked = history.where(F.col("previous_version_id") != "").select("version_id", "previous_version_id").distinct()
+    pairs = spread_join(spread_join(asked, texts, ["version_id"]), old, ["previous_version_id"])
     name = lambda c: F.concat(F.lit("version:"), F.substring(c, 1, 12))
     diff = unified_diff("old_text", "text", name("previous_version_id"), name("version_id"))
     return pairs.select("version_id", "previous_version_id", diff.alias("diff"))

@@ -76,14 +76,12 @@ def top_reasons(reasons: DataFrame, limit: int = 6) -> DataFrame:
 
 def last_prediction(results: DataFrame) -> DataFrame:
     """The last result of each day with its outcome."""
-    status = action_status(results).drop("prediction")
-    rows = results.select(
-        "event_id", monitoring_day("received_at").alias("day"), "received_at", "prediction", compact_errors("errors").alias("action_errors")
-    )
-    last = rows.groupBy("day").agg(F.max_by(F.struct(*rows.columns), F.struct("received_at", "event_id")).alias("r")).select("r.*")
-    return last.join(status, "event_id").select(
-        "day", "event_id", "received_at", "prediction", "action_status", "issue_created", "issue_reused", "action_errors"
+    kept = action_status(results, "received_at", "errors").select(
+        "event_id", monitoring_day("received_at").alias("day"), "received_at", "prediction", "action_status", "issue_created", "issue_reused",
+        compact_errors("errors").alias("action_errors"),
     )
+    last = F.max_by(F.struct(*kept.columns), F.struct("received_at", "event_id"))
+    return kept.groupBy("day").agg(last.alias("r")).select("r.*")
 
 
 def request_metrics(samples: DataFrame) -> DataFrame:

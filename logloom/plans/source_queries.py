@@ -61,36 +61,34 @@ def _(spark, sf):
 
 
 def scoring_folder(spark, sf):
-    """The messages, one kind of event per file format."""
+    """The messages in three file formats."""
     root = scratch_path(spark, "records")
     rows = derived(spark, sf, "messages")
-    raw_lines(rows.where("event_type = 'click'").select("message"), f"{root}/plain")
-    spark.read.text(f"{root}/plain").coalesce(4).write.text(f"{root}/lines")
-    rows.where("event_type = 'view'").select("event_id", F.col("message").alias("msg")).write.json(f"{root}/objects")
-    rows.where("event_type = 'error'").select("user_id", "message").write.option("header", True).option("escape", '"').csv(f"{root}/tables")
+    rows.select("message").write.text(f"{root}/lines")
+    rows.select("event_id", F.col("message").alias("msg")).write.json(f"{root}/objects")
+    rows.select("user_id", "message").write.option("header", True).option("escape", '"').csv(f"{root}/tables")
     return root
 
 
-@query("read_scoring_records", with_tables("SELECT event_type, message FROM messages WHERE event_type IN ('click', 'view', 'error')", "messages"))
+@query("read_scoring_records", with_tables("SELECT format, message FROM messages, (VALUES ('lines'), ('objects'), ('tables')) AS f(format)", "messages"))
 def _(spark, sf):
     root = scoring_folder(spark, sf)
-    lines = records.text_records(spark, f"{root}/lines", "txt").withColumn("event_type", F.lit("click"))
-    # Spark's JSON files hold one object per line and end in .json; they are read as lines here.
-    objects = spark.read.text(f"{root}/objects").select(F.lit("o").alias("source_file"), F.lit(0).cast("bigint").alias("row_index"), F.col("value").alias("payload"), F.lit(None).cast("string").alias("error"), F.lit("view").alias("event_type"))
-    tables = records.csv_records(spark, f"{root}/tables").withColumn("event_type", F.lit("error"))
-    kinds = lines.unionByName(tables).unionByName(objects)
-    # The event rows hold their user first; the message is found by name.
-    return kinds.select("event_type", extract_message("payload").alias("message"))
+    lines = records.text_records(spark, f"{root}/lines", "txt").withColumn("format", F.lit("lines"))
+    # Spark writes one object per line into files that end in .json; they are read by lines here.
+    objects = records.line_records(spark, f"{root}/objects", "json").withColumn("format", F.lit("objects"))
+    tables = records.csv_records(spark, f"{root}/tables").withColumn("format", F.lit("tables"))
+    # The CSV rows hold their user first; the message is found by name.
+    return lines.unionByName(tables).unionByName(objects).select("format", extract_message("payload").alias("message"))
 
 
-@query("score_files", with_tables(f"SELECT message, {duck.rule_label('message')} AS prediction FROM messages WHERE event_type = 'error'", "messages"))
+@query("score_files", with_tables(f"SELECT message, {duck.rule_label('message')} AS prediction FROM messages", "messages"))
 def _(spark, sf):
     root = scoring_folder(spark, sf)
     found = records.read_scoring_records(spark, f"{root}/tables", formats=("csv",))
     return score_records(found, rule_label).select("message", "prediction")
 
 
-@query("row_index_of_files", with_tables("SELECT count(*) AS n, CAST(count(*) AS BIGINT) AS distinct_places FROM messages WHERE event_type = 'click'", "messages"))
+@query("row_index_of_files", with_tables("SELECT count(*) AS n, count(*) AS distinct_places FROM messages", "messages"))
 def _(spark, sf):
     lines = records.text_records(spark, f"{scoring_folder(spark, sf)}/lines", "txt")
     ends = lines.groupBy("source_file").agg(F.count(F.lit(1)).alias("n"), F.max("row_index").alias("last"), F.count_distinct("row_index").alias("d"))

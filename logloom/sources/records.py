@@ -36,9 +36,9 @@ def text_records(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return _lines(spark, path, suffix).select("source_file", "row_index", _wrapped(F.col("value")).alias("payload"), F.lit(None).cast("string").alias("error"))
 
 
-def jsonl_records(spark: SparkSession, path: str) -> DataFrame:
+def line_records(spark: SparkSession, path: str, suffix: str = "jsonl") -> DataFrame:
     """One JSON value per line; a line that is no JSON becomes a message."""
-    return _lines(spark, path, "jsonl").select(
+    return _lines(spark, path, suffix).select(
         "source_file", "row_index", _as_record(F.col("value")).alias("payload"), F.lit(None).cast("string").alias("error")
     )
 
@@ -94,7 +94,7 @@ def other_records(spark: SparkSession, path: str) -> DataFrame:
 READERS = {
     "csv": csv_records,
     "json": json_records,
-    "jsonl": jsonl_records,
+    "jsonl": line_records,
     "txt": lambda spark, path: text_records(spark, path, "txt"),
     "log": lambda spark, path: text_records(spark, path, "log"),
 }
