@@ -81,7 +81,7 @@ def _by_sha(signatures: DataFrame, commits: DataFrame, asked: str, keep: Sequenc
     """Signatures with the commits that a full or short sha names."""
     key = F.substring(asked, 1, 7).alias("sha7")
     wanted = signatures.where(F.col(asked) != "").select("sig_id", "repo", F.col(asked).alias("asked"), key)
-    known = commits.select("repo", F.substring("sha", 1, 7).alias("sha7"), *keep).distinct()
+    known = commits.select("repo", F.substring("sha", 1, 7).alias("sha7"), *keep)
     return spread_join(wanted, known, ["repo", "sha7"]).where(F.col("sha").startswith(F.col("asked"))).drop("asked", "sha7")
 
 
@@ -206,7 +206,7 @@ def file_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
     changed = files.select("repo", "sha", "position", "filename", "patch")
     # Many signatures ask for the same few commits; hot commits are split by signature.
     lowered = F.transform("terms", lambda t: F.lower(t))
-    met = spread_join(pairs.select("sig_id", "repo", "sha", "paths", "terms", lowered.alias("low")), changed, ["repo", "sha"])
+    met = spread_join(pairs.select("sig_id", "repo", "sha", "paths", "terms", lowered.alias("low")), changed, ["repo", "sha"], hot_rows=1000, strategy="merge")
     patch = F.coalesce("patch", F.lit(""))
     clean = F.btrim(F.replace("filename", F.lit("\\"), F.lit("/")), F.lit("/"))
     met = met.select(

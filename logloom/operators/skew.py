@@ -17,6 +17,7 @@ def spread_join(
     how: str = "inner",
     hot_rows: int = 500_000,
     max_copies: int = 256,
+    strategy: str | None = None,
 ) -> DataFrame:
     """Join ``many`` with ``few`` (inner or left) and split hot keys of ``many``.
 
@@ -24,7 +25,9 @@ def spread_join(
     only the matching rows of ``few`` are copied, once per part. The part of a
     row follows from its values, so a lost task is redone the same way. The
     table of hot keys has at most ``rows / hot_rows`` rows; whether it is
-    broadcast is left to Spark's size limit.
+    broadcast is left to Spark's size limit. ``strategy`` is a join hint for
+    work that is heavy per joined row: with ``merge`` the rows of ``many`` are
+    spread by key and part and never sent to where the few are.
     """
     on = list(on)
     hot = (
@@ -44,6 +47,8 @@ def spread_join(
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce(COPIES, F.lit(1)) - 1)))
         .drop(COPIES)
     )
+    if strategy:
+        right = right.hint(strategy)
     return left.join(right, [*on, SALT], how).drop(SALT)
 
 

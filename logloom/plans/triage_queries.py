@@ -25,8 +25,8 @@ class Tables:
     def __init__(self, spark, sf):
         self.signed = checkpointed(signed_errors(spark, sf))
         self.signatures = evidence.distinct_signatures(self.signed)
-        self.commits = derived(spark, sf, "commits")
-        self.files = derived(spark, sf, "files")
+        self.commits = checkpointed(derived(spark, sf, "commits"))
+        self.files = checkpointed(derived(spark, sf, "files"))
 
     def per_event(self, found):
         return self.signed.select("event_id", "sig_id").join(found, "sig_id").drop("sig_id")
@@ -229,6 +229,6 @@ def _(spark, sf):
   FROM verdicts v JOIN opened o USING (event_id) LEFT JOIN best b USING (issue_key)""", "errors", "commits", "files", "issues", "refs"))
 def _(spark, sf):
     events = spread(spark, sf, "errors", "event_id", "received_at", "payload").select("*", F.lit('{"class": "error"}').alias("answer"))
-    out = triage.triage(events, *[derived(spark, sf, n) for n in ("commits", "files", "issues", "refs")], REPO)["results"]
+    out = triage.triage(events, *[checkpointed(derived(spark, sf, n)) for n in ("commits", "files", "issues", "refs")], REPO)["results"]
     follow = F.get("actions", F.lit(1))
     return out.select("event_id", "prediction", "verdict", "status", "issue_key", "operation", follow["type"].alias("follow_type"), follow["operation"].alias("follow_operation"))
