@@ -168,7 +168,7 @@ def _(spark, sf):
 
 @query("rule_label", with_tables(f"SELECT event_id, {duck.rule_label('message')} AS prediction FROM messages", "messages"))
 def _(spark, sf):
-    return derived(spark, sf, "messages").select("event_id", labels.rule_label("message").alias("prediction"))
+    return spread(spark, sf, "messages", "event_id", "message").select("event_id", labels.rule_label("message").alias("prediction"))
 
 
 @query("rule_label_of_documents", f"SELECT doc_id, {duck.rule_label('text')} AS prediction FROM documents")
