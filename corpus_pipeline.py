@@ -6,9 +6,9 @@ one the pieces of the sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import langid, minhash
+from logloom.llm import langid, minhash, mixing, packing, queries, secret_scan
 from logloom.llm.common import checkpointed, given
 from logloom.session import ship_package
 
@@ -26,7 +26,27 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.one_of_each(docs)
 
 
-STAGES = [("language", language), ("near_copies", near_copies)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark, and ``n_chars`` follows."""
+    ship_package(spark)
+    found = docs.select(F.struct("*").alias("doc"), secret_scan.find("text").alias("found"))
+    clean = found.withColumn("clean", secret_scan.redacted("doc.text", F.col("found")))
+    return clean.select("doc.*", "clean").withColumns({"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}).drop("clean")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the tokens by the weights of domains, languages and sources; a row comes once for each epoch that takes it."""
+    ship_package(spark)
+    return mixing.mixed(docs, F.expr(queries.DOMAIN), mixing.word_count("text"), queries.SHARE, queries.EPOCHS, queries.MIX)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("secrets", secrets), ("mixture", mixture), ("packing", packed)]
 ORACLE_SQL = None
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import langid, minhash
+from logloom.llm import langid, minhash, mixing, packing, secret_scan
 from logloom.llm.common import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +47,66 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", held.alias("held_out"), "verdict.lang_pred", F.col("verdict.lang_score").alias("score"), "verdict.entropy")
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = given(spark, folder, "documents").select("doc_id", secret_scan.find("text").alias("found"))
+    base = F.filter("found", lambda s: s["kind"] != "random")
+    number = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), number("random"), digest, secret_scan.written(F.col("found")).alias("spans"))
+
+
+#: The mixture of op4 and of the pipeline: domains are ranges of source numbers, four fifths of all tokens are dealt.
+DOMAIN = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') THEN 'web' WHEN source IN ('src8', 'src9', 'src10', 'src11', 'src12', 'src13') THEN 'books' ELSE 'code' END"
+MIX = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 6, "de": 2, "fr": 2}, "source": {"src0": 3}}
+SHARE, EPOCHS = (4, 5), 2
+
+
+def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.copies(given(spark, folder, "documents"), F.expr(DOMAIN), mixing.word_count("text"), SHARE, EPOCHS, MIX)
+
+
+def _filled_sql(table: str, parent: str, name: str) -> str:
+    """The SQL of one level: children of ``table`` (budget, held, weight) get ``given``."""
+    return f"""
+  SELECT *, least(held, CASE WHEN full_ THEN held ELSE greatest(lv.l, 0) * weight // lv.w END) AS given FROM (
+    SELECT *, min(CASE WHEN NOT full_ THEN {{'r': held / weight, 'n': {name}, 'l': l, 'w': w}} END) OVER (PARTITION BY {parent}) AS lv FROM (
+      SELECT *, held * w <= l * weight AS full_ FROM (
+        SELECT *, CAST(budget - coalesce(sum(held) OVER (PARTITION BY {parent} ORDER BY held / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS l,
+          CAST(sum(weight) OVER (PARTITION BY {parent} ORDER BY held / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS w FROM {table})))"""
+
+
+def _weight_sql(kind: str) -> str:
+    return f"CASE {kind} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX[kind].items()) + " ELSE 1 END"
+
+
+OP4_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, {DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS tokens FROM documents
+), leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {EPOCHS} AS BIGINT) AS held FROM d GROUP BY ALL),
+total AS (SELECT CAST(sum(tokens) * {SHARE[0]} // {SHARE[1]} AS BIGINT) AS budget FROM leaves),
+l1 AS (SELECT domain, CAST(sum(held) AS BIGINT) AS held, any_value(budget) AS budget, {_weight_sql('domain')} AS weight, 0 AS root FROM leaves, total GROUP BY domain),
+g1 AS ({_filled_sql('l1', 'root', 'domain')}),
+l2 AS (SELECT l.domain, l.lang, CAST(sum(l.held) AS BIGINT) AS held, any_value(g1.given) AS budget, {_weight_sql('lang')} AS weight FROM leaves l JOIN g1 ON l.domain = g1.domain GROUP BY l.domain, l.lang),
+g2 AS ({_filled_sql('l2', 'domain', 'lang')}),
+l3 AS (SELECT l.*, g2.given AS budget, {_weight_sql('source')} AS weight FROM leaves l JOIN g2 ON l.domain = g2.domain AND l.lang = g2.lang),
+g3 AS ({_filled_sql('l3', 'domain, lang', 'source')}),
+plans AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole, given - CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END * tokens AS rest FROM g3),
+placed AS (SELECT d.*, p.whole, p.rest, md5('1:' || p.whole || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS k FROM d JOIN plans p USING (domain, lang, source)),
+run AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM placed)
+SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run
+"""
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(given(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_secrets": op2_secrets,
+    "op4_mixture": op4_mixture,
+    "op10_packing": op10_packing,
     "op6_minhash": op6_minhash,
     "op7_language": op7_language,
 }
-ORACLE: dict[str, str] = {"op6_minhash": OP6_SQL}
+ORACLE: dict[str, str] = {"op4_mixture": OP4_SQL, "op6_minhash": OP6_SQL}
