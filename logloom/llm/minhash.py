@@ -25,27 +25,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from xxhash import xxh3_64_intdigest
 
 from logloom.llm.common import checkpointed, no_text, salted_join
 
 #: Words of a shingle, share of common shingles that links, bands and coordinates of a band.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 24, 4
-#: Parts that the members compared with one leader are dealt over; known word hashes kept by a Python worker.
-LEADER_PARTS, KNOWN_WORDS = 32, 400_000
-_PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-class _Words(dict):
-    """64-bit hash of each word; rare words beyond the bound are hashed anew each time."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < KNOWN_WORDS:
-            self[word] = value
-        return value
-
-
-_words = _Words()
+#: Parts that the members compared with one leader are dealt over; shingles whose signatures are worked out at once.
+LEADER_PARTS, GROUP_SHINGLES = 32, 30_000
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -53,18 +41,20 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    hashed = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    hashed = np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
     taken = min(words, len(found))
     mixed = np.full(len(found) - taken + 1, taken, np.uint64)
     for at in range(taken):
-        mixed = (mixed ^ hashed[at : at + len(mixed)]) * _PRIMES[at % len(_PRIMES)]
+        mixed ^= hashed[at : at + len(mixed)]
+        mixed *= _FACTORS[at % len(_FACTORS)]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
 
 
 def _permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
-    """A permutation of the 32-bit numbers: odd factors and shifted xors can be undone."""
-    x = x ^ (x >> np.uint32(16))
+    """A permutation of the 32-bit numbers, in place: odd factors and shifted xors can be undone."""
+    x ^= x >> np.uint32(16)
     x *= np.uint32(first)
     x ^= x >> np.uint32(15)
     x *= np.uint32(second)
@@ -72,27 +62,48 @@ def _permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
     return x
 
 
-def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
-    """Coordinate k is the least value of the second permutation, shifted by k, over the permuted shingles."""
+def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """A row per set, none of them empty: coordinate k is the least value of the second permutation, shifted by k,
+    over the shingles that the first has spread."""
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    hashes = np.concatenate(sets)
     spread = _permuted((hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32), 0x7FEB352D, 0x846CA68B)
-    out = np.empty(coordinates, np.uint32)
+    out = np.empty((len(sets), coordinates), np.uint32)
     for k in range(coordinates):
-        out[k] = _permuted(spread - np.uint32(k), 0x21F0AAAD, 0x735A2D97).min()
+        out[:, k] = np.minimum.reduceat(_permuted(spread - np.uint32(k), 0x21F0AAAD, 0x735A2D97), starts)
     return out
 
 
+def _buckets(marks: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit number for each band of each signature."""
+    parts = marks.reshape(len(marks), bands, -1).astype(np.uint64)
+    out = np.zeros(parts.shape[:2], np.uint64)
+    for at in range(parts.shape[2]):
+        out = (out ^ parts[:, :, at]) * _FACTORS[at % len(_FACTORS)]
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
+
+
 def _sketcher(words: int, bands: int, rows: int):
     @F.pandas_udf("n_shingles long, class binary, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            sizes, keys, buckets = [], [], []
-            for text in texts:
+            sizes, keys = [], []
+            buckets: list[np.ndarray | None] = [None] * len(texts)
+            group: list[np.ndarray] = []
+            places: list[int] = []
+            for at, text in enumerate(texts):
                 found = shingles(text, words)
                 sizes.append(len(found))
                 keys.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                marks = signature(found, bands * rows).reshape(bands, rows) if len(found) else None
-                buckets.append(None if marks is None else [int.from_bytes(blake2b(m.tobytes(), digest_size=8).digest(), "little", signed=True) for m in marks])
-            yield pd.DataFrame({"n_shingles": sizes, "class": keys, "bands": buckets})
+                if len(found):
+                    group.append(found)
+                    places.append(at)
+                if group and (at == len(texts) - 1 or sum(map(len, group)) >= GROUP_SHINGLES or len(group) >= 64):
+                    for place, row in zip(places, _buckets(signatures(group, bands * rows), bands), strict=True):
+                        buckets[place] = row
+                    group, places = [], []
+            yield pd.DataFrame({"n_shingles": sizes, "class": keys, "bands": pd.Series(buckets, dtype=object)})
 
     return sketch
 

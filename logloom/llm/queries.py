@@ -9,12 +9,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import langid, minhash, mixing, packing, secret_scan
+from logloom.llm import ann, chat, imatch, langid, minhash, mixing, packing, secret_scan, url_filter, warc
 from logloom.llm.common import given
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    given_rows = given(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digests(chat.formatted(given_rows.unionByName(more))).drop("rewrites")
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+), e AS (
+  SELECT *, 4 + length(replace(regexp_replace(role, '\\|###|</turn>', '\\\0', 'g'), ':', '\:')) + 2 + length(regexp_replace(text, '\\|###|</turn>', '\\\0', 'g')) + 9 AS n FROM t
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(given(spark, folder, "documents"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -25,7 +46,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
 ), counted AS (SELECT doc_id, len(s) AS n, hash(list_sort(s)) AS h, s FROM sets),
 classes AS (SELECT h, n, min(doc_id) AS c, any_value(s) AS s FROM counted WHERE n > 0 GROUP BY h, n),
 items AS (SELECT c, n, unnest(s) AS g FROM classes),
@@ -47,6 +68,50 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", held.alias("held_out"), "verdict.lang_pred", F.col("verdict.lang_score").alias("score"), "verdict.entropy")
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(given(spark, folder, "pages"))
+
+
+def _rank_sql(name: str, edges: str, seeds: str) -> str:
+    """The steps of the propagation as one table each."""
+    back, flow = 1 - url_filter.DAMPING, url_filter.DAMPING
+    sql = f"""{name}_seed AS MATERIALIZED (SELECT host, weight / (SELECT sum(weight) FROM {seeds}) AS seed FROM {seeds}),
+{name}_share AS MATERIALIZED (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM {edges}),
+{name}_0 AS MATERIALIZED (SELECT host, seed AS rank FROM {name}_seed)"""
+    for n in range(url_filter.STEPS):
+        sql += f""",
+{name}_{n + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (
+  SELECT b AS host, {flow} * rank * share AS rank FROM {name}_share JOIN {name}_{n} ON a = host UNION ALL SELECT host, {back} * seed FROM {name}_seed) GROUP BY host)"""
+    return sql
+
+
+def _url_sql() -> str:
+    name = verdict = "CAST(NULL AS VARCHAR)"
+    for kind, of, start in sorted(url_filter.RULES, key=lambda r: (len(r[1]) + len(r[2]), r)):
+        fits = f"(host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{start}')"
+        name, verdict = f"CASE WHEN {fits} THEN '{of}{start}' ELSE {name} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
+    lowered = f"translate({{0}}, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    host = lowered.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
+    href = url_filter.HREF.replace("'", "''")
+    return f"""
+WITH parsed AS (SELECT page_id, html, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (SELECT page_id, html, host, path, {name} AS rule, {verdict} AS known FROM parsed),
+links AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS weight FROM (
+  SELECT host AS a, {lowered.format("unnest(regexp_extract_all(coalesce(html, ''), '" + href + "', 1))")} AS b FROM parsed) WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+hosts AS (SELECT host FROM parsed WHERE host <> '' UNION SELECT b FROM links),
+up AS (SELECT l, unnest(range(1, len(l) - 1)) AS n FROM (SELECT string_split(host, '.') AS l FROM hosts) WHERE len(l) > 2),
+steps AS (SELECT DISTINCT array_to_string(l[n:], '.') AS a, array_to_string(l[n + 1:], '.') AS b FROM up),
+edges AS MATERIALIZED (SELECT a, b, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT a, b, 1.0 FROM steps UNION ALL SELECT b, a, 1.0 FROM steps) GROUP BY a, b),
+against AS (SELECT b AS a, a AS b, weight FROM edges),
+seeds AS (SELECT host, known, CAST(count(*) AS DOUBLE) AS weight FROM ruled WHERE known IS NOT NULL AND host <> '' GROUP BY host, known),
+good AS MATERIALIZED (SELECT host, weight FROM seeds WHERE known = 'allow'), bad AS MATERIALIZED (SELECT host, weight FROM seeds WHERE known = 'block'),
+{_rank_sql('trust', 'edges', 'good')},
+{_rank_sql('distrust', 'against', 'bad')},
+blocked AS (SELECT d.host FROM distrust_{url_filter.STEPS} d LEFT JOIN trust_{url_filter.STEPS} t ON d.host = t.host WHERE d.rank > {url_filter.THRESHOLD} * coalesce(t.rank, 0) + 1e-12)
+SELECT page_id, host, path, rule, coalesce(known, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = given(spark, folder, "documents").select("doc_id", secret_scan.find("text").alias("found"))
     base = F.filter("found", lambda s: s["kind"] != "random")
@@ -65,6 +130,41 @@ def op4_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.copies(given(spark, folder, "documents"), F.expr(DOMAIN), mixing.word_count("text"), SHARE, EPOCHS, MIX)
 
 
+def op3_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.compared(given(spark, folder, "documents"))
+
+
+def _imatch_sql() -> str:
+    """The terms of a text, the lexicon, the subsets' hashes and their likeness, as in the operator."""
+    bounds = "[" + ", ".join(f"'{b}'" for b in imatch.SUBSETS) + "]"
+    digests = r"list_transform(list_distinct(regexp_extract_all(lower({0}), '\p{{L}}+')), lambda t: md5(t))".replace("\\", "\\")
+    bucket = f"substr({{0}}, 1, {imatch.BITS // 4})"
+    near = """CASE WHEN {0} = {1} THEN 1.0 ELSE CAST(len(list_filter(range(1, greatest(len({0}), len({1})) + 1), lambda i: {0}[i] = {1}[i] AND {0}[i] <> '')) AS DOUBLE)
+      / greatest(1, len(list_filter(range(1, greatest(len({0}), len({1})) + 1), lambda i: coalesce({0}[i], '') <> '' OR coalesce({1}[i], '') <> ''))) END"""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+e AS (
+  SELECT doc_id, text, length(text) AS n, substr(text, 1, CAST(length(text) - length(text) // 2 AS BIGINT)) || substr(coalesce(lead(text) OVER o, first_value(text) OVER o), 1, CAST(length(text) // 2 AS BIGINT)) AS edited,
+    coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+  FROM d WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), texts AS (SELECT doc_id, 'own' AS kind, {digests.format('text')} AS t FROM e UNION ALL SELECT doc_id, 'other', {digests.format('edited')} FROM e),
+lex AS (
+  SELECT b FROM (SELECT doc_id, unnest(list_distinct(list_transform(t, lambda x: {bucket.format('x')}))) AS b FROM texts WHERE kind = 'own')
+  GROUP BY b HAVING count(*) >= greatest({imatch.LEAST_DOCS}, (SELECT CAST(ceil(count(*) / {imatch.RARE}) AS BIGINT) FROM d)) AND count(*) <= (SELECT count(*) // {imatch.COMMON} FROM d)
+), terms AS (SELECT doc_id, kind, unnest(t) AS x FROM texts),
+known AS (SELECT doc_id, kind, list_sort(list(x)) AS k FROM terms JOIN lex ON {bucket.format('x')} = b GROUP BY ALL),
+prints AS (
+  SELECT t.doc_id, t.kind, CASE WHEN k IS NULL THEN ['*' || md5(array_to_string(list_sort(t.t), ''))] ELSE
+    list_transform(range(1, {len(imatch.SUBSETS)} + 1), lambda i: CASE WHEN len(list_filter(k, lambda x: substr(x, i, 2) < {bounds}[i])) = 0 THEN ''
+      ELSE substr(md5(array_to_string(list_filter(k, lambda x: substr(x, i, 2) < {bounds}[i]), '')), 1, 8) END) END AS p
+  FROM texts t LEFT JOIN known USING (doc_id, kind)
+)
+SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, array_to_string(a.p, '-') AS fingerprint, array_to_string(b.p, '-') AS edited_fingerprint,
+  {near.format('a.p', 'b.p')} AS near_edited, {near.format('a.p', 'c.p')} AS near_next
+FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 'own' JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 'other' JOIN prints c ON c.doc_id = e.next_id AND c.kind = 'own'
+"""
+
+
 def _filled_sql(table: str, parent: str, name: str) -> str:
     """The SQL of one level: children of ``table`` (budget, held, weight) get ``given``."""
     return f"""
@@ -82,7 +182,8 @@ def _weight_sql(kind: str) -> str:
 OP4_SQL = rf"""
 WITH d AS (
   SELECT doc_id, {DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-    CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS tokens FROM documents
+    CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS tokens FROM documents
 ), leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * {EPOCHS} AS BIGINT) AS held FROM d GROUP BY ALL),
 total AS (SELECT CAST(sum(tokens) * {SHARE[0]} // {SHARE[1]} AS BIGINT) AS budget FROM leaves),
 l1 AS (SELECT domain, CAST(sum(held) AS BIGINT) AS held, any_value(budget) AS budget, {_weight_sql('domain')} AS weight, 0 AS root FROM leaves, total GROUP BY domain),
@@ -98,15 +199,40 @@ SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN rest > 0 AND
 """
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.archived(given(spark, folder, "pages"))
+    number = lambda name: F.col(name).cast("long").alias(name)
+    return found.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM d
+"""
+
+
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(given(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(given(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_secrets": op2_secrets,
+    "op3_imatch": op3_imatch,
     "op4_mixture": op4_mixture,
+    "op5_chat": op5_chat,
+    "op8_warc": op8_warc,
+    "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
     "op6_minhash": op6_minhash,
     "op7_language": op7_language,
 }
-ORACLE: dict[str, str] = {"op4_mixture": OP4_SQL, "op6_minhash": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_url_filter": _url_sql(), "op3_imatch": _imatch_sql(), "op4_mixture": OP4_SQL, "op5_chat": OP5_SQL, "op6_minhash": OP6_SQL, "op8_warc": OP8_SQL}
