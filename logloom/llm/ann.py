@@ -4,8 +4,8 @@ Vectors are lifted by one coordinate so that all have the greatest norm; then th
 with a query is the least Euclidean distance to it. Normal (2-stable) projections to ``PROJECTED``
 dimensions keep distances up to a chi-square factor: the squared projected distance over the squared true
 one has a chi-square distribution. Each block of vectors is indexed by a kd-tree over its projections.
-A query takes the tree's leaves by distance and its points in order of projected distance, in steps, and
-verifies them with true inner products; it stops once the chi-square probability, that a point nearer
+A query takes the tree's leaves in order of projected distance, in steps, and verifies their points with
+true inner products; all points within the next leaf's distance are verified by then. It stops once the chi-square probability, that a point nearer
 than the current last one had shown up by this radius, reaches ``confidence``.
 
 Equal vectors are one entry of the index with their ``k + 1`` least ids, so a vector that is repeated any
@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logloom.llm.common import checkpointed
 
 PROJECTED, CONFIDENCE, SEED = 8, 0.99, 20240101
-#: Entries of an index block, queries of a query block, points of a leaf, points verified in a step.
-BLOCK, QUERIES, LEAF, STEP = 16_384, 32_768, 64, 512
+#: Entries of an index block, queries of a query block, points of a leaf, leaves verified in a step, queries verified together.
+BLOCK, QUERIES, LEAF, STEP, ASKED = 16_384, 32_768, 128, 8, 512
 
 
 def chi_square_cdf(x: np.ndarray, degrees: int) -> np.ndarray:
@@ -47,67 +47,67 @@ def projection(dimensions: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dimensions, PROJECTED))
 
 
-class Tree:
-    """A kd-tree over projected points: the boxes and the points of its leaves."""
-
-    def __init__(self, points: np.ndarray):
-        self.points, parts = points, [np.arange(len(points))]
-        while max(map(len, parts)) > LEAF:
-            halves = []
-            for part in parts:
-                if len(part) <= LEAF:
-                    halves.append(part)
-                    continue
-                axis = int(np.argmax(np.ptp(points[part], 0)))
-                order = part[np.argsort(points[part, axis], kind="stable")]
-                halves += [order[: len(order) // 2], order[len(order) // 2 :]]
-            parts = halves
-        self.leaves = parts
-        self.low, self.high = np.stack([points[p].min(0) for p in parts]), np.stack([points[p].max(0) for p in parts])
-
-    def nearest(self, query: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
-        """(points, radius): all points in order of projected distance, in steps; no later point is nearer than the radius."""
-        gap = np.maximum(np.maximum(self.low - query, query - self.high), 0)
-        boxes = (gap**2).sum(1)
-        order = np.argsort(boxes, kind="stable")
-        waiting, far = np.zeros(0, np.int64), np.zeros(0)
-        taken = 0
-        while taken < len(order) or len(waiting):
-            upto = min(len(order), taken + max(1, STEP // LEAF))
-            fresh = np.concatenate([self.leaves[i] for i in order[taken:upto]]) if upto > taken else np.zeros(0, np.int64)
-            waiting = np.concatenate([waiting, fresh])
-            far = np.concatenate([far, ((self.points[fresh] - query) ** 2).sum(1)])
-            taken = upto
-            radius = boxes[order[taken]] if taken < len(order) else np.inf
-            inside = far <= radius
-            if inside.any():
-                yield waiting[inside], float(radius)
-                waiting, far = waiting[~inside], far[~inside]
-
-
-def search(vectors: np.ndarray, queries: np.ndarray, k: int, top: float, confidence: float = CONFIDENCE) -> list[np.ndarray]:
-    """Per query the places of about its ``k`` entries of largest inner product; ``top`` is the greatest squared norm of all."""
+def leaves(points: np.ndarray) -> list[np.ndarray]:
+    """The leaves of a kd-tree: places of points, halved along the widest side until there are ``LEAF`` at most."""
+    parts = [np.arange(len(points))]
+    while max(map(len, parts)) > LEAF:
+        halves = []
+        for part in parts:
+            axis = int(np.argmax(np.ptp(points[part], 0)))
+            order = part[np.argsort(points[part, axis], kind="stable")]
+            halves += [h for h in (order[: len(order) // 2], order[len(order) // 2 :]) if len(h)]
+        parts = halves
+    return parts
+
+
+def search(vectors: np.ndarray, queries: np.ndarray, k: int, top: float, confidence: float = CONFIDENCE) -> np.ndarray:
+    """Per query the places of its ``k`` entries of largest inner product that were found, -1 for none.
+
+    ``top`` is the greatest squared norm of all vectors. Queries go on in steps of ``STEP`` leaves; in a
+    step each leaf meets all queries that have reached it at once.
+    """
     lifted = np.sqrt(np.maximum(top - (vectors**2).sum(1), 0))
     base = projection(vectors.shape[1] + 1)
-    tree = Tree(vectors @ base[:-1] + lifted[:, None] * base[-1])
+    points = vectors @ base[:-1] + lifted[:, None] * base[-1]
+    parts = leaves(points)
+    low, high = np.stack([points[p].min(0) for p in parts]), np.stack([points[p].max(0) for p in parts])
+    held = [np.ascontiguousarray(vectors[p]) for p in parts]
+    widest = max(map(len, parts))
     # A query is scaled to the common norm as well, which changes no order.
     scale = math.sqrt(top) / np.sqrt((queries**2).sum(1))
     projected = (queries * scale[:, None]) @ base[:-1]
-    found = []
-    for query, factor, spot in zip(queries, scale, projected, strict=True):
-        places, scores = np.zeros(0, np.int64), np.zeros(0)
-        for fresh, radius in tree.nearest(spot):
-            places = np.concatenate([places, fresh])
-            scores = np.concatenate([scores, vectors[fresh] @ query])
-            if len(places) > k:
-                keep = np.argpartition(-scores, k - 1)[:k]
-                places, scores = places[keep], scores[keep]
-            if len(places) >= k and np.isfinite(radius):
-                distance = max(2 * top - 2 * float(scores.min()) * factor, 1e-12)
-                if chi_square_cdf(np.array(radius / distance), PROJECTED) >= confidence:
-                    break
-        found.append(places)
-    return found
+    places = np.full((len(queries), k), -1, np.int64)
+    for start in range(0, len(queries), ASKED):
+        own = slice(start, start + ASKED)
+        asked, spots = queries[own], projected[own]
+        boxes = np.zeros((len(asked), len(parts)))
+        for axis in range(PROJECTED):
+            spot = spots[:, axis : axis + 1]
+            boxes += np.maximum(np.maximum(low[:, axis] - spot, spot - high[:, axis]), 0) ** 2
+        order = np.argsort(boxes, 1, kind="stable")
+        best, found = np.full((len(asked), k), -np.inf), np.full((len(asked), k), -1, np.int64)
+        active = np.arange(len(asked))
+        for taken in range(0, len(parts), STEP):
+            wave = order[active, taken : taken + STEP]
+            scores = np.full((len(active), wave.shape[1] * widest), -np.inf)
+            numbers = np.full(scores.shape, -1, np.int64)
+            for leaf in np.unique(wave):
+                rows, columns = np.nonzero(wave == leaf)
+                at = columns[:, None] * widest + np.arange(len(parts[leaf]))
+                scores[rows[:, None], at] = asked[active[rows]] @ held[leaf].T
+                numbers[rows[:, None], at] = parts[leaf]
+            scores, numbers = np.hstack([best[active], scores]), np.hstack([found[active], numbers])
+            keep = np.argpartition(-scores, k - 1, 1)[:, :k]
+            best[active], found[active] = np.take_along_axis(scores, keep, 1), np.take_along_axis(numbers, keep, 1)
+            if taken + STEP >= len(parts):
+                break
+            radius = boxes[active, order[active, taken + STEP]]
+            distance = np.maximum(2 * top - 2 * best[active].min(1) * scale[own][active], 1e-12)
+            active = active[~(chi_square_cdf(radius / distance, PROJECTED) >= confidence)]
+            if not len(active):
+                break
+        places[own] = found
+    return places
 
 
 def _matched(k: int, top: float, confidence: float):
@@ -120,9 +120,9 @@ def _matched(k: int, top: float, confidence: float):
             if entries and asked:
                 numbers, left, right = [e[0] for e in entries], [], []
                 found = search(np.array([e[1] for e in entries]), np.array([q[1] for q in asked]), k + 1, top, confidence)
-                for (query, _), places in zip(asked, found, strict=True):
-                    left += [query] * len(places)
-                    right += [numbers[p] for p in places]
+                for (query, _), places in zip(asked, found.tolist(), strict=True):
+                    right += [numbers[p] for p in places if p >= 0]
+                    left += [query] * (len(right) - len(left))
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["query", "entry"])
 
         for batch in batches:

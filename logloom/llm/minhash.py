@@ -3,12 +3,14 @@
 Signatures use two permutations of the 32-bit numbers only: the first spreads the shingles, the second,
 shifted circularly by k, gives coordinate k. ``bands`` bands of ``rows`` coordinates name the buckets.
 
-Documents with equal shingle sets are one *class* from the start; only classes are compared. In each
-bucket the classes of lowest key are its leaders; every other class there is compared with them, unless
-the two are joined already. Leaders that have met all others leave, and the next round takes four times
-as many, until each bucket's classes are joined or have all met. So a bucket of copies of one text costs
-its size, no pair of a bucket is left out, and no bucket is capped. Sets are compared as sorted 64-bit
-shingle hashes, streamed leader by leader.
+Documents with equal shingle sets are one *class* from the start; only classes are compared. Two
+passes find all links between classes that share a bucket. The first compares one class of each bucket,
+the one that meets most others in all its buckets, with the others there, which joins groups of copies at the cost of their size. The second
+takes the buckets that are not one group by then, and in blocks of bounded size compares all
+their pairs that are not joined, each in the first band that it shares: whole sets are looked at where the
+signatures agree as often as those of linked pairs do, less ``MARGIN`` standard deviations, and only links
+leave the block. No bucket is capped. Every link is confirmed on whole
+sets, as sorted 64-bit shingle hashes, streamed leader by leader.
 
 Defined results: words are split at ASCII white space after lowering A-Z. A text with fewer words than a
 shingle is one shingle of its words; null and empty texts have none, stay alone and are kept. Repeated
@@ -24,15 +26,17 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
 from logloom.llm.common import checkpointed, no_text, salted_join
 
 #: Words of a shingle, share of common shingles that links, bands and coordinates of a band.
-SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 24, 4
+SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 28, 6
 #: Parts that the members compared with one leader are dealt over; shingles whose signatures are worked out at once.
 LEADER_PARTS, GROUP_SHINGLES = 32, 30_000
+#: Classes of a block of the second pass; standard deviations of an agreement that are allowed for.
+BLOCK, MARGIN = 256, 5.0
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -158,108 +162,148 @@ def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """Per document: doc_id, class, n_shingles, component_id (least id of the group), kept."""
-    spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sketched = source.select("doc_id", F.xxhash64("text").alias("text_key"), _sketcher(words, bands, rows)("text").alias("s"))
     rows_ = checkpointed(sketched.select("doc_id", "text_key", "s.*"))
-    classes = checkpointed(
-        rows_.where(F.col("class").isNotNull()).groupBy("class")
-        .agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    )
-    roots = _joined(spark, source, rows_, classes, words, percent)
-    members = classes.select("class", "least_id")
-    if roots is not None:
-        members = salted_join(members, roots.select(F.col("node").alias("class"), "root"), ["class"], ["least_id"], "left", 1)
-        members = members.withColumn("root", F.coalesce("root", "class"))
-        least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        members = salted_join(members, least, ["root"], ["class"])
+    classes = rows_.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("least_id"))
+    roots = _joined(source, rows_, words, percent, bands, rows)
+    members = classes
+    if roots is None:
+        members = members.withColumnRenamed("least_id", "component_id")
     else:
-        members = members.withColumn("component_id", F.col("least_id"))
-    members = checkpointed(members.select("class", "component_id"))
-    named = salted_join(rows_.select("doc_id", "n_shingles", "class"), members, ["class"], ["doc_id"], "left")
-    alone = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    named = named.withColumn("component_id", alone)
-    kept = F.when(F.col("class").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        members = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        members = salted_join(members, least, ["root"], ["class"]).select("class", "component_id")
+    named = salted_join(rows_.select("doc_id", "n_shingles", "class"), checkpointed(members), ["class"], ["doc_id"], "left")
+    alone = F.col("class").isNull()
+    named = named.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
+    kept = F.when(alone, True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     return named.select("doc_id", "class", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _joined(spark: SparkSession, source: DataFrame, rows_: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that are linked with others; None if no bucket holds two."""
-    placed = classes.select("class", "n", F.posexplode("bands").alias("band", "bucket"))
+def _joined(source: DataFrame, rows_: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame | None:
+    """(node, root) of the classes that are linked with others; None if there is no link."""
+    placed = rows_.where(F.col("class").isNotNull()).select("class", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    placed = placed.groupBy("band", "bucket", "class").agg(F.min("n_shingles").alias("n"))  # copies of a class
     shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    # Buckets of several classes are few; the rest of each class's buckets is left behind here.
-    open_ = checkpointed(salted_join(placed, shared.drop("size"), ["band", "bucket"], ["class"]).select("band", "bucket", "class", "n", F.col("class").alias("root")))
-    if open_.isEmpty():
+    shared = checkpointed(salted_join(placed, shared, ["band", "bucket"], ["class"]))
+    if shared.isEmpty():
         return None
+    # The class that meets most others leads: of a text's copies, the text itself.
+    met = shared.groupBy("class").agg(F.sum("size").alias("met"))
+    shared = shared.join(met, "class")
+    heads = shared.groupBy("band", "bucket").agg(F.max(F.struct("met", "class", "n")).alias("head"))
+    open_ = checkpointed(salted_join(shared.drop("met", "size"), heads, ["band", "bucket"], ["class"]))
     texts = checkpointed(_representatives(source, rows_, open_))
-    edges: DataFrame | None = None
-    roots: DataFrame | None = None
-    leaders = 2
-    while True:
-        taken = _leaders(open_, leaders)
-        pairs = _pairs(open_, taken, percent)
-        found = checkpointed(_verified(pairs, texts, words, percent))
-        edges = found if edges is None else checkpointed(edges.union(found))
-        if not found.isEmpty():
-            roots = components(edges)
-        open_ = _still_open(open_, taken, roots)
-        if open_.isEmpty():
-            return roots
-        leaders *= 4
+    alike = F.least("head.n", "n") * 100 >= F.greatest("head.n", "n") * percent
+    first = open_.where((F.col("class") != F.col("head.class")) & alike).select(F.col("head.class").alias("leader"), F.col("class").alias("member")).distinct()
+    links = checkpointed(_verified(first, texts, words, percent))
+    roots = None if links.isEmpty() else components(links)
+    rest = _still_open(open_, roots)
+    if rest.isEmpty():
+        return roots
+    more = checkpointed(_linked_in_blocks(rest, texts, words, percent, bands, rows))
+    if more.isEmpty():
+        return roots
+    if roots is None:
+        return components(more)
+    # The groups so far are the nodes now.
+    left, right = (roots.select(F.col("node").alias(side), F.col("root").alias(f"to_{side}")) for side in "ab")
+    moved = salted_join(salted_join(more, left, ["a"], ["b"], "left"), right, ["b"], ["a"], "left")
+    joined = components(moved.select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")))
+    after = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    old = salted_join(roots, after, ["root"], ["node"], "left").select("node", F.coalesce("next", "root").alias("root"))
+    return checkpointed(old.union(joined.join(roots.select("node"), "node", "left_anti")))
 
 
 def _representatives(source: DataFrame, rows_: DataFrame, open_: DataFrame) -> DataFrame:
     """(class, text) of the classes that share a bucket, each from a row of least id."""
-    wanted = open_.select("class").distinct()
-    own = salted_join(rows_.select("doc_id", "text_key", "class"), wanted, ["class"], ["doc_id"])
+    own = salted_join(rows_.select("doc_id", "text_key", "class"), open_.select("class").distinct(), ["class"], ["doc_id"])
     least = own.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("class", "row.*")
     texts = source.where(F.length(no_text("text")) > 0).withColumn("text_key", F.xxhash64("text"))
     same = texts["doc_id"].eqNullSafe(least["doc_id"]) & (texts["text_key"] == least["text_key"])
     return texts.join(least, same).groupBy("class").agg(F.first("text").alias("text"))  # repeated rows
 
 
-def _leaders(open_: DataFrame, most: int) -> DataFrame:
-    """The classes of lowest key of each bucket, joined ones counting once; ``place`` numbers them."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("band", "bucket").orderBy("class")
-    return checkpointed(open_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most))
-
-
-def _pairs(open_: DataFrame, taken: DataFrame, percent: int) -> DataFrame:
-    """(leader, member) of one bucket that are not joined and of sizes that can be alike."""
-    heads = taken.groupBy("band", "bucket").agg(F.collect_list(F.struct("class", "root", "n")).alias("heads"))
-    met = salted_join(open_, heads, ["band", "bucket"], ["class"])
-    size = lambda h: F.least(h["n"], F.col("n")) * 100 >= F.greatest(h["n"], F.col("n")) * percent
-    fit = F.filter("heads", lambda h: (h["class"] != F.col("class")) & (h["root"] != F.col("root")) & size(h))
-    pairs = met.select(F.col("class").alias("member"), F.explode(F.transform(fit, lambda h: h["class"])).alias("leader"))
-    ordered = pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-    return ordered.distinct()
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are alike enough."""
+    """The pairs (a, b) whose whole sets are alike enough."""
     dealt = checkpointed(pairs.withColumn("part", F.pmod(F.xxhash64("member"), F.lit(LEADER_PARTS)).cast("int")))
-    members = salted_join(dealt, texts.select(F.col("class").alias("member"), "text"), ["member"], ["leader"], parts=1)
-    heads = dealt.select("leader", "part").distinct()
-    heads = salted_join(heads, texts.select(F.col("class").alias("leader"), "text"), ["leader"], ["part"], parts=4).withColumn("member", F.lit(None).cast("binary"))
+    members = dealt.join(texts.withColumnRenamed("class", "member"), "member")
+    heads = dealt.select("leader", "part").distinct().join(texts.withColumnRenamed("class", "leader"), "leader").withColumn("member", F.lit(None).cast("binary"))
     both = members.select("leader", "part", "member", "text").union(heads.select("leader", "part", "member", "text"))
     ready = both.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member").asc_nulls_first())
     return ready.select("leader", "member", "text").mapInArrow(_checked(percent, words), "a binary, b binary")
 
 
-def _still_open(open_: DataFrame, taken: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """What is left to compare: no leader that has met all others of its bucket, no bucket that is one group by now."""
-    spent = taken.select("band", "bucket", "class", F.lit(True).alias("spent"))
+def _still_open(open_: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(band, bucket, class, n, root) of the buckets that are not one group by now."""
     rest = open_.select("band", "bucket", "class", "n")
-    if roots is not None:
-        rest = salted_join(rest, roots.select(F.col("node").alias("class"), "root"), ["class"], ["bucket"], "left", 1)
-        rest = rest.withColumn("root", F.coalesce("root", "class"))
-    else:
+    if roots is None:
         rest = rest.withColumn("root", F.col("class"))
-    rest = rest.join(spent, ["band", "bucket", "class"], "left").where("spent IS NULL").drop("spent")
-    groups = rest.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return checkpointed(salted_join(rest, groups.select("band", "bucket"), ["band", "bucket"], ["class"]))
+    else:
+        rest = rest.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rest = checkpointed(rest)
+    groups = rest.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    return checkpointed(salted_join(rest, groups.select("band", "bucket", "size"), ["band", "bucket"], ["class"]))
+
+
+def _linked(words: int, percent: int, bands: int, rows: int):
+    """Over rows sorted by pair of blocks: the linked pairs (a, b) that are not joined, each in the first band that they share."""
+    alike, coordinates = percent / 100, bands * rows
+    least = coordinates * alike - MARGIN * (coordinates * alike * (1 - alike)) ** 0.5
+
+    def out(here: tuple, group: list) -> Iterator[pa.RecordBatch]:
+        keys, roots, sides, texts = zip(*group, strict=True)
+        sets = [shingles(t, words) for t in texts]
+        size, side = np.array([len(x) for x in sets]), np.array(sides)
+        ids = np.unique(np.array(roots, "S16"), return_inverse=True)[1]
+        table = signatures(sets, coordinates)
+        shared = table.reshape(len(sets), bands, rows)
+        left, right = [], []
+        for i in range(len(keys)):
+            if here[2] == here[3]:
+                others = np.arange(i + 1, len(keys))
+            elif side[i] == here[2]:
+                others = np.nonzero(side == here[3])[0]
+            else:
+                continue
+            others = others[(ids[others] != ids[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+            others = others[(table[others] == table[i]).sum(1) >= least]
+            others = others[(shared[others] == shared[i]).all(2).argmax(1) == here[0]]
+            if not len(others):
+                continue
+            every = np.concatenate([sets[j] for j in others])
+            at = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+            both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum([0, *size[others[:-1]]]))
+            for j in others[100 * both >= percent * (size[i] + size[others] - both)]:
+                left.append(keys[i])
+                right.append(keys[j])
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, group = None, []
+        for batch in batches:
+            columns = [batch[n].to_pylist() for n in ("band", "bucket", "one", "other", "class", "root", "side", "text")]
+            for band, bucket, one, other, *row in zip(*columns, strict=True):
+                if (band, bucket, one, other) != here:
+                    if len(group) > 1:
+                        yield from out(here, group)
+                    here, group = (band, bucket, one, other), []
+                group.append(row)
+        if len(group) > 1:
+            yield from out(here, group)
+
+    return compare
+
+
+def _linked_in_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """The links (a, b) of classes of one bucket that are not joined; the blocks of a bucket meet two by two."""
+    dealt = rest.withColumn("sides", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("class"), F.col("sides")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.withColumn("one", F.least("side", "with")).withColumn("other", F.greatest("side", "with"))
+    full = dealt.join(texts, "class").select("band", "bucket", "one", "other", "class", "root", "side", "text")
+    ready = full.repartition("band", "bucket", "one", "other").sortWithinPartitions("band", "bucket", "one", "other", "class")
+    return ready.mapInArrow(_linked(words, percent, bands, rows), "a binary, b binary")
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
