@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (no text, no letter) go; ``lang`` becomes the predicted one."""
     ship_package(spark)
     found = langid.judged(docs, langid.learned_from(docs)).where(f"verdict.lang_pred <> '{langid.UNDETERMINED}'")
-    return found.select("doc.*", "verdict.lang_pred").withColumn("lang", found["verdict.lang_pred"]).drop("lang_pred")
+    return found.select(F.col("doc").withField("lang", F.col("verdict.lang_pred")).alias("doc")).select("doc.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are replaced by a mark, and ``n_chars`` follows."""
     ship_package(spark)
     found = docs.select(F.struct("*").alias("doc"), secret_scan.find("text").alias("found"))
-    clean = found.withColumn("clean", secret_scan.redacted("doc.text", F.col("found")))
-    return clean.select("doc.*", "clean").withColumns({"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}).drop("clean")
+    clean = found.select("doc", secret_scan.redacted("doc.text", F.col("found")).alias("clean"))
+    return clean.select(F.col("doc").withField("text", F.col("clean")).withField("n_chars", F.length("clean").cast("long")).alias("doc")).select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

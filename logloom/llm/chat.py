@@ -38,7 +38,8 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 START, END = "### ", " </turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
-_MARK = re.compile(r"\\(?:\\|###|</turn>|:)|(: )|( </turn>\n)")
+_ROLE_END = re.compile(r"\\(?:\\|###|</turn>|:)|(: )")
+_TEXT_END = re.compile(r"\\(?:\\|###|</turn>)|( </turn>\n)")
 
 
 def escape(text: str) -> str:
@@ -55,16 +56,23 @@ def render(turns: Sequence[Turn]) -> str:
 
 def parse(text: str) -> Iterator[Turn]:
     """The turns that ``render`` has written."""
-    at, role = 0, None
-    for m in _MARK.finditer(text):
-        if role is None and m.group(1):
-            role, at = unescape(text[at + len(START) : m.start()]), m.end()
-        elif role is not None and m.group(2):
-            yield role, unescape(text[at : m.start()])
-            role, at = None, m.end()
-    if role is not None or at != len(text):
+    at = 0
+
+    def upto(end: re.Pattern) -> str:
+        nonlocal at
+        for m in end.finditer(text, at):
+            if m.group(1):
+                found, at = unescape(text[at : m.start()]), m.end()
+                return found
         raise ValueError("the text does not end with a turn")
 
+    while at < len(text):
+        if not text.startswith(START, at):
+            raise ValueError("a turn begins without its mark")
+        at += len(START)
+        role = upto(_ROLE_END)
+        yield role, upto(_TEXT_END)
+
 
 def located(turns: Sequence[Turn], context: Sequence[Turn], render_: Render, loss_role: str = "assistant") -> tuple[str, list[dict]]:
     """The text that ``turns`` add after ``context``, and each turn's span, text place, loss and rewriting mark in it."""
