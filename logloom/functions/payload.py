@@ -21,10 +21,21 @@ MAP = "map<string,string>"
 ENTRIES = "array<struct<key:string,value:string>>"
 
 
+def one_document(text: Column) -> Column:
+    """Whether the text is one JSON value and nothing else.
+
+    The parser stops after the first value, so text behind it only shows
+    inside brackets: it must be the one item of an array and the value of a key.
+    """
+    item = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(item, F.lit(False)) & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+
+
 def payload_map(raw: Column | str) -> Column:
     """The object as a map, or null when the text is no JSON object."""
     text = as_column(raw)
-    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, MAP))
+    # A whole JSON document; text after an object makes it plain text.
+    return F.when(F.ltrim(text).startswith("{") & one_document(text), F.from_json(text, MAP))
 
 
 def first_value(payload: Column, keys: Sequence[str]) -> Column:
@@ -43,7 +54,7 @@ def extract_message(raw: Column | str, keys: Sequence[str] = domain.MESSAGE_KEYS
 def normalize_payload(raw: Column | str, received_at: Column | str) -> Column:
     """Any text as a JSON object with ``received_at``; an object keeps all it has."""
     text = strip(raw)
-    keys = F.json_object_keys(text)
+    keys = F.when(one_document(text), F.json_object_keys(text))
     stamp = F.concat(F.lit('"received_at":"'), as_column(received_at).cast("string"), F.lit('"}'))
     open_object = F.rtrim(F.substring(text, F.lit(1), F.length(text) - 1))
     extended = F.concat(open_object, F.when(F.size(keys) == 0, "").otherwise(","), stamp)

@@ -33,6 +33,12 @@ LISTS = (  # kind of evidence, output list, cap
 )
 
 
+def of_any_branch(commits: DataFrame) -> DataFrame:
+    """The commits of each branch, and all of a repository once more under the branch '' of events that name none."""
+    anywhere = commits.where("branch <> ''").dropDuplicates(["repo", "sha"]).withColumn("branch", F.lit(""))
+    return commits.where("branch <> ''").unionByName(anywhere)
+
+
 def newest_first() -> list[Column]:
     return [F.col("committed_at").desc(), F.col("sha").desc()]
 
@@ -73,7 +79,7 @@ def branch_history(commits: DataFrame, limit: int = 10) -> DataFrame:
 def consecutive_pairs(signatures: DataFrame, commits: DataFrame, limit: int = 10) -> DataFrame:
     """Each signature with the latest commits of its branch that have a base to compare to."""
     limit = min(max(limit, 1), 25)
-    recent = branch_history(commits, limit).where(F.col("base_sha").isNotNull()).select("repo", "branch", "sha", "base_sha", "history_rank")
+    recent = branch_history(of_any_branch(commits), limit).where(F.col("base_sha").isNotNull()).select("repo", "branch", "sha", "base_sha", "history_rank")
     return spread_join(signatures.select("sig_id", "repo", "branch", "paths", "terms"), recent, ["repo", "branch"])
 
 
@@ -122,7 +128,7 @@ def candidates_by_path(signatures: DataFrame, commits: DataFrame, files: DataFra
     clean = F.btrim(F.replace("filename", F.lit("\\"), F.lit("/")), F.lit("/"))
     wanted = asked.select("repo", "path").distinct()
     touched = files.select("repo", "sha", clean.alias("path")).join(wanted, ["repo", "path"], "left_semi").distinct()
-    dated = touched.join(commits.select("repo", "branch", "sha", "committed_at"), ["repo", "sha"])
+    dated = touched.join(of_any_branch(commits.select("repo", "branch", "sha", "committed_at")), ["repo", "sha"])
     latest = top_rows(dated, ["repo", "branch", "path"], newest_first(), per_path)
     hits = spread_join(asked, latest.select("repo", "branch", "path", "sha"), ["repo", "branch", "path"])
     return hits.select("sig_id", "sha", "path_at", "path")
@@ -185,7 +191,7 @@ def candidates_by_terms(signatures: DataFrame, commits: DataFrame, hits: int = 5
 
 def candidates_recent(signatures: DataFrame, commits: DataFrame, limit: int = 10) -> DataFrame:
     """The latest commits of the branch within the look-back."""
-    newest = top_rows(commits.select("repo", "branch", "sha", "committed_at"), ["repo", "branch"], newest_first(), limit)
+    newest = top_rows(of_any_branch(commits.select("repo", "branch", "sha", "committed_at")), ["repo", "branch"], newest_first(), limit)
     met = spread_join(signatures.select("sig_id", "repo", "branch", "since"), newest, ["repo", "branch"])
     return met.where(F.to_date("committed_at") >= F.col("since")).select("sig_id", "sha")
 

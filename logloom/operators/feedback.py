@@ -9,7 +9,7 @@ from logloom.functions.labels import normalize_label
 from logloom.functions.payload import extract_message, first_value, payload_map
 from logloom.functions.text import strip
 from logloom.operators.dataset import valid_feedback_base
-from logloom.operators.skew import spread_join
+from logloom.operators.skew import repeated, spread_join
 
 
 def feedback_from_payload(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -43,12 +43,16 @@ def latest_labels(events: DataFrame) -> DataFrame:
 
 
 def upsert_feedback(base: DataFrame, events: DataFrame) -> DataFrame:
-    """The base with every row of a corrected message relabelled, and one row for each new message."""
-    clean = valid_feedback_base(base).select("message", "class")
-    latest = latest_labels(events)
-    kept = spread_join(clean, latest, ["message"], "left").select("message", F.coalesce("correct_label", "class").alias("class"))
-    added = latest.join(clean.select("message").distinct(), "message", "left_anti")
-    return kept.unionByName(added.select("message", F.col("correct_label").alias("class")))
+    """The base with every row of a corrected message relabelled, and one row for each new message.
+
+    Rows are only a message and its class, so equal ones are counted before
+    the join and written out after it: a message that fills a third of the
+    base is one row in the join.
+    """
+    counted = valid_feedback_base(base).groupBy("message", "class").agg(F.count(F.lit(1)).alias("n"))
+    merged = counted.join(latest_labels(events), "message", "full")
+    label = F.coalesce("correct_label", "class").alias("class")
+    return repeated(merged.select("message", label, F.coalesce("n", F.lit(1)).alias("n")), "n")
 
 
 def feedback_actions(events: DataFrame, base: DataFrame) -> DataFrame:

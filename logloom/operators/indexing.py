@@ -56,10 +56,15 @@ def with_order_index(df: DataFrame, order: Sequence[str | Column], groups: Seque
     counts = placed.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
     before = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
+    # Groups may be null; the renamed columns of the counts go after the join.
+    offsets = offsets.withColumnsRenamed({c: f"__of_{c}" for c in (*groups, "__part")})
+    same = F.col("__part") == F.col("__of___part")
+    for c in groups:
+        same = same & placed[c].eqNullSafe(offsets[f"__of_{c}"])
     return (
-        placed.join(offsets, [*groups, "__part"])
+        placed.join(offsets, same)
         .withColumn(name, F.col("__offset") + F.col("__at") - F.col("__first"))
-        .drop("__part", "__at", "__first", "__offset")
+        .drop("__part", "__at", "__first", "__offset", *[f"__of_{c}" for c in (*groups, "__part")])
     )
 
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.functions.diff import unified_diff
 from logloom.functions.text import line_count, strip, text_sha256
 from logloom.operators.indexing import with_order_index
 from logloom.operators.skew import spread_join
@@ -39,15 +38,22 @@ def version_history(versions: DataFrame, key: str | None = None) -> DataFrame:
 
 
 def version_diffs(history: DataFrame, versions: DataFrame) -> DataFrame:
-    """Unified diff of each version against its predecessor."""
+    """Lines of each version against its predecessor: ``change`` is how often a line was added, or below 0 removed.
+
+    Lines are counted once per version; two versions meet by line, so texts of
+    any length are spread over tasks.
+    """
     texts = versions.groupBy("version_id").agg(F.first("text").alias("text"))
-    old = texts.select(F.col("version_id").alias("previous_version_id"), F.col("text").alias("old_text"))
-    # A common first version is the predecessor in many histories: each pair is compared once, hot texts are spread.
+    lines = texts.select("version_id", F.explode(F.split("text", r"\r\n|[\n\r]")).alias("line")).groupBy("version_id", "line").agg(F.count(F.lit(1)).alias("n"))
+    # A common first version is the predecessor in many histories: each pair is compared once, hot versions are spread.
     asked = history.where(F.col("previous_version_id") != "").select("version_id", "previous_version_id").distinct()
-    pairs = spread_join(spread_join(asked, texts, ["version_id"]), old, ["previous_version_id"])
-    name = lambda c: F.concat(F.lit("version:"), F.substring(c, 1, 12))
-    diff = unified_diff("old_text", "text", name("previous_version_id"), name("version_id"))
-    return pairs.select("version_id", "previous_version_id", diff.alias("diff"))
+    new = spread_join(lines, asked.groupBy("version_id").agg(F.collect_set("previous_version_id").alias("of")), ["version_id"])
+    new = new.select("version_id", F.explode("of").alias("previous_version_id"), "line", "n")
+    before = lines.withColumnRenamed("version_id", "previous_version_id")
+    old = spread_join(asked, before.groupBy("previous_version_id").agg(F.collect_list(F.struct("line", "n")).alias("lines")), ["previous_version_id"])
+    old = old.select("version_id", "previous_version_id", F.explode("lines").alias("l")).select("version_id", "previous_version_id", "l.line", (-F.col("l.n")).alias("n"))
+    changed = new.unionByName(old).groupBy("version_id", "previous_version_id", "line").agg(F.sum("n").alias("change"))
+    return changed.where("change <> 0")
 
 
 def latest_report(history: DataFrame, keys: Sequence[str], order: Sequence[str] = ("created_at", "report_id")) -> DataFrame:

@@ -14,13 +14,10 @@ METRICS = ("accuracy", "weighted_f1", "macro_f1")
 
 
 def score_join(golden: DataFrame, predictions: DataFrame, key: str = "line_number") -> DataFrame:
-    """Golden rows with their predictions and a match flag."""
-    return golden.join(predictions.select(key, "predicted_label"), key).select(
-        key,
-        "message",
-        strip("label").alias("true_label"),
-        strip("predicted_label").alias("predicted_label"),
-        (strip("label") == strip("predicted_label")).alias("match"),
+    """Every golden row with its prediction, blank where there is none, and a match flag."""
+    predicted = F.coalesce(strip("predicted_label"), F.lit(""))
+    return golden.join(predictions.select(key, "predicted_label"), key, "left").select(
+        key, "message", strip("label").alias("true_label"), predicted.alias("predicted_label"), (strip("label") == predicted).alias("match")
     )
 
 

@@ -16,16 +16,17 @@ def spread_join(
     on: Sequence[str],
     how: str = "inner",
     hot_rows: int = 500_000,
-    max_copies: int = 256,
     strategy: str | None = None,
 ) -> DataFrame:
     """Join ``many`` with ``few`` (inner or left) and split hot keys of ``many``.
 
-    Keys with more than ``hot_rows`` rows get one part per ``hot_rows`` rows;
-    only the matching rows of ``few`` are copied, once per part. The part of a
-    row follows from its values, so a lost task is redone the same way. The
-    table of hot keys has at most ``rows / hot_rows`` rows; whether it is
-    broadcast is left to Spark's size limit. ``strategy`` is a join hint for
+    Keys with more than ``hot_rows`` rows get one part per ``hot_rows`` rows,
+    however many those are; only the matching rows of ``few`` are copied, once
+    per part. The part of a row follows from its values, so a lost task is
+    redone the same way; equal rows share a part, so tables with many of them
+    are counted first (see ``repeated``). The table of hot keys has at most
+    ``rows / hot_rows`` rows and is broadcast, so no look-up of a hot key
+    shuffles its rows. ``strategy`` is a join hint for
     work that is heavy per joined row: with ``merge`` the rows of ``many`` are
     spread by key and part and never sent to where the few are.
     """
@@ -34,8 +35,9 @@ def spread_join(
         many.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)
-        .select(*on, F.least(F.ceil(F.col("__n") / hot_rows), F.lit(max_copies)).cast("int").alias(COPIES))
+        .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias(COPIES))
     )
+    hot = F.broadcast(hot)
     spread_by = [c for c, t in many.dtypes if not t.startswith(("map", "variant"))]
     left = (
         many.join(hot, on, "left")
@@ -52,6 +54,14 @@ def spread_join(
     return left.join(right, [*on, SALT], how).drop(SALT)
 
 
+def repeated(df: DataFrame, times: str, block: int = 100_000) -> DataFrame:
+    """Each row ``times`` times, without that column. A row's copies are dealt in blocks before they are made."""
+    blocks = df.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / block))))
+    dealt = blocks.repartition(*[c for c in df.columns if c != times], "__block")
+    size = F.least(F.lit(block).cast("bigint"), F.col(times) - F.col("__block") * block)
+    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).drop("__block", "__copy", times)
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence, limit: int, rank: str = "rank") -> DataFrame:
     """The first ``limit`` rows of each key. Spark cuts each task's rows to the
     limit before the shuffle, so a hot key costs no more than a cold one."""

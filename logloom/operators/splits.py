@@ -11,10 +11,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.functions.text import template_group
-from logloom.operators.dataset import row_digest
 from logloom.session import checkpointed
 
 GROUP = "template_group"
@@ -24,25 +23,20 @@ class SplitImpossible(ValueError):
     """No split without a leak and with two non-empty sides exists."""
 
 
-def _bucket(seed: int, buckets: int | None) -> Column:
-    if buckets is None:
-        return F.col(GROUP)
+def _bucket(seed: int, buckets: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), GROUP), F.lit(buckets)).cast("string")
 
 
-def bucket_table(df: DataFrame, label: str, seed: int, max_buckets: int) -> tuple[list[str], np.ndarray, list[str], int | None]:
-    """Names of the buckets, their rows per label, the labels, and the bucket number used."""
-    cells = checkpointed(df.groupBy(GROUP, label).agg(F.count(F.lit(1)).alias("n")))
-    groups = cells.select(GROUP).distinct().count()
-    buckets = None if groups <= max_buckets else max_buckets
-    rows = cells.groupBy(_bucket(seed, buckets).alias("bucket"), label).agg(F.sum("n").alias("n")).collect()
+def bucket_table(df: DataFrame, label: str, seed: int, max_buckets: int) -> tuple[list[str], np.ndarray, list[str]]:
+    """Names of the buckets, their rows per label, and the labels; one rule for any number of groups."""
+    rows = df.groupBy(_bucket(seed, max_buckets).alias("bucket"), label).agg(F.count(F.lit(1)).alias("n")).collect()
     names = sorted({r["bucket"] for r in rows})
     labels = sorted({r[label] for r in rows})
     counts = np.zeros((len(names), len(labels)))
     at, column = {b: i for i, b in enumerate(names)}, {x: i for i, x in enumerate(labels)}
     for r in rows:
         counts[at[r["bucket"]], column[r[label]]] += r["n"]
-    return names, counts, labels, buckets
+    return names, counts, labels
 
 
 def choose_heldout(counts: np.ndarray, ratio: float, seed: int) -> np.ndarray:
@@ -72,7 +66,7 @@ def choose_heldout(counts: np.ndarray, ratio: float, seed: int) -> np.ndarray:
     return chosen
 
 
-def _look_up(df: DataFrame, names: Sequence[str], values: Sequence, buckets: int | None, seed: int, name: str, kind: str) -> DataFrame:
+def _look_up(df: DataFrame, names: Sequence[str], values: Sequence, buckets: int, seed: int, name: str, kind: str) -> DataFrame:
     table = df.sparkSession.createDataFrame(list(zip(names, values)), f"__bucket string, {name} {kind}")
     # At most ``max_buckets`` rows by construction, so the broadcast is bounded.
     return df.withColumn("__bucket", _bucket(seed, buckets)).join(F.broadcast(table), "__bucket").drop("__bucket")
@@ -81,14 +75,14 @@ def _look_up(df: DataFrame, names: Sequence[str], values: Sequence, buckets: int
 def grouped_split(df: DataFrame, test_size: float, seed: int = 42, message: str = "message", label: str = "class", max_buckets: int = 1024) -> DataFrame:
     """Add ``template_group`` and ``split`` (train / heldout); equal groups share a side."""
     grouped = df.withColumn(GROUP, template_group(message))
-    names, counts, _, buckets = bucket_table(grouped, label, seed, max_buckets)
+    names, counts, _ = bucket_table(grouped, label, seed, max_buckets)
     if len(names) < 2:
         raise SplitImpossible("a grouped split needs at least two template groups")
     chosen = choose_heldout(counts, test_size, seed)
     if not chosen.any() or chosen.all():
         raise SplitImpossible("no choice of groups gives two non-empty sides")
     sides = ["heldout" if c else "train" for c in chosen]
-    return _look_up(grouped, names, sides, buckets, seed, "split", "string")
+    return _look_up(grouped, names, sides, max_buckets, seed, "split", "string")
 
 
 def stratified_split(df: DataFrame, ratio: float, seed: int = 42, keys: Sequence[str] | None = None, message: str = "message", label: str = "class") -> DataFrame:
@@ -99,12 +93,34 @@ def stratified_split(df: DataFrame, ratio: float, seed: int = 42, keys: Sequence
     return df.withColumn(GROUP, template_group(message)).withColumn("split", side)
 
 
+def quota_split(df: DataFrame, ratio: float, seed: int = 42, message: str = "message", label: str = "class", ranges: int = 4096) -> DataFrame:
+    """Row split with exact quotas: of each label the rounded share, but a row at least on either side where it has two.
+
+    Rows are numbered and drawn by a hash of their number, so equal rows are
+    told apart. Counts per label and hash range find the range in which a
+    quota ends; only the rows of that range are ranked.
+    """
+    keyed = checkpointed(df.withColumn("__row", F.monotonically_increasing_id()))
+    drawn = keyed.withColumn("__draw", F.xxhash64(F.lit(seed), "__row")).withColumn("__range", F.pmod(F.shiftright("__draw", 20), F.lit(ranges)))
+    by = Window.partitionBy(label)
+    cells = drawn.groupBy(label, "__range").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("upto", F.sum("n").over(by.orderBy("__range"))).withColumn("all", F.sum("n").over(by))
+    quota = F.when(F.col("all") > 1, F.least(F.greatest(F.round(F.col("all") * ratio), F.lit(1)), F.col("all") - 1)).otherwise(0)
+    ends = checkpointed(cells.withColumn("quota", quota).select(F.col(label).alias("__label"), F.col("__range").alias("__at"), (F.col("quota") - F.col("upto") + F.col("n")).alias("left"), "n"))
+    met = drawn.join(ends, drawn[label].eqNullSafe(ends["__label"]) & (F.col("__range") == F.col("__at")))
+    last = met.where("left > 0 AND left < n").withColumn("__rank", F.row_number().over(Window.partitionBy(label, "__range").orderBy("__draw", "__row")))
+    held = last.where("__rank <= left").select("__row").withColumn("__held", F.lit(True))
+    side = F.when((F.col("left") >= F.col("n")) | F.col("__held"), "heldout").otherwise("train")
+    found = met.join(held, "__row", "left").withColumn("split", side).withColumn(GROUP, template_group(message))
+    return found.drop("__row", "__draw", "__range", "__label", "__at", "left", "n", "__held")
+
+
 def split_with_fallback(df: DataFrame, test_size: float, seed: int = 42, message: str = "message", label: str = "class", max_buckets: int = 1024) -> DataFrame:
     """Grouped split, or the row split where the groups do not allow one."""
     try:
         return grouped_split(df, test_size, seed, message, label, max_buckets)
     except SplitImpossible:
-        return stratified_split(df, test_size, seed, None, message, label)
+        return quota_split(df, test_size, seed, message, label)
 
 
 def choose_folds(counts: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -128,16 +144,11 @@ def choose_folds(counts: np.ndarray, k: int, seed: int) -> np.ndarray:
 def group_kfold(df: DataFrame, k: int, seed: int = 42, message: str = "message", label: str = "class", max_buckets: int = 1024) -> DataFrame:
     """Add ``template_group`` and ``fold`` (0..k-1); needs k rows of each label and k groups."""
     grouped = df.withColumn(GROUP, template_group(message))
-    names, counts, labels, buckets = bucket_table(grouped, label, seed, max_buckets)
+    names, counts, labels = bucket_table(grouped, label, seed, max_buckets)
     short = [x for x, n in zip(labels, counts.sum(axis=0)) if n < k]
     if short:
         raise SplitImpossible(f"fewer than {k} rows of {short}")
     if len(names) < k:
         raise SplitImpossible(f"fewer than {k} template groups")
     folds = [int(f) for f in choose_folds(counts, k, seed)]
-    return _look_up(grouped, names, folds, buckets, seed, "fold", "int")
-
-
-def row_key(columns: Sequence[str]) -> Column:
-    """A stable key for rows without one."""
-    return row_digest(columns)
+    return _look_up(grouped, names, folds, max_buckets, seed, "fold", "int")

@@ -123,7 +123,11 @@ def _(spark, sf):
     return history(spark, sf)[1].withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("version_diffs")
+@query("version_diffs", with_tables(f"""WITH {HISTORY}, pairs AS (SELECT DISTINCT version_id, previous_version_id FROM h WHERE previous_version_id <> ''), texts AS (SELECT version_id, any_value(text) AS text FROM v GROUP BY 1),
+  lines AS (SELECT version_id, line, count(*) AS n FROM (SELECT version_id, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')) AS line FROM texts) GROUP BY ALL)
+  SELECT version_id, previous_version_id, line, CAST(sum(n) AS BIGINT) AS change FROM (
+    SELECT p.version_id, p.previous_version_id, line, n FROM pairs p JOIN lines l ON p.version_id = l.version_id UNION ALL
+    SELECT p.version_id, p.previous_version_id, line, -n FROM pairs p JOIN lines l ON p.previous_version_id = l.version_id) GROUP BY ALL HAVING sum(n) <> 0""", "versions"))
 def _(spark, sf):
     versions, ordered = history(spark, sf)
     return lineage.version_diffs(ordered, versions)

@@ -195,12 +195,12 @@ def _(spark, sf):
     return spark.read.parquet(target).select("summary_key")
 
 
-@query("stream_incident_reuse", with_tables(f"SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS day, {duck.fold(duck.collapse(duck.summary(chr(39) + 'Incident: ' + chr(39) + ' || message')))} AS summary_key, count(*) - 1 AS reused FROM errors GROUP BY ALL", "errors"))
+@query("stream_incident_reuse", with_tables(f"SELECT day, summary_key, n - CASE WHEN day = min(day) OVER (PARTITION BY summary_key) THEN 1 ELSE 0 END AS reused FROM (SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS day, {duck.fold(duck.collapse(duck.summary(chr(39) + 'Incident: ' + chr(39) + ' || message')))} AS summary_key, count(*) AS n FROM errors GROUP BY ALL)", "errors"))
 def _(spark, sf):
     rows = derived(spark, sf, "errors").select(F.col("received_at").alias("ts"), "message")
     target = scratch_path(spark, "reuse")
-    jobs.write_updates(jobs.incident_reuse_totals(as_stream(spark, rows, "errors"), watermark="60 days"), target, scratch_path(spark, "check")).awaitTermination()
-    return jobs.latest_updates(spark, target, ["day", "summary_key"])
+    jobs.write_updates(jobs.incident_event_totals(as_stream(spark, rows, "errors"), watermark="60 days"), target, scratch_path(spark, "check")).awaitTermination()
+    return jobs.incident_reuses(jobs.latest_updates(spark, target, ["day", "summary_key"]))
 
 
 @query("daily_flush", with_tables("SELECT day, status, messages FROM (SELECT '2024-02-01' AS day, 'queued' AS status, count(*) AS messages FROM events UNION ALL SELECT '2024-02-02', 'empty', 0)"))

@@ -31,6 +31,8 @@ def local_session(app: str = "logloom", cpus: str = "*", shuffle_partitions: int
     )
     for key, value in LOCAL_SETTINGS.items():
         builder = builder.config(key, value)
+    if SparkSession.getActiveSession() is None:
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="logloom-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return ship_package(spark)
@@ -51,17 +53,12 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it gets a new folder.
-    """
+    """The folder that all executors see: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="logloom-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

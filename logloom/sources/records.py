@@ -23,7 +23,9 @@ def _as_record(item: Column) -> Column:
 
 
 def _reader(spark: SparkSession, suffix: str):
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}")
+    # Suffixes count in any case; each file is read by exactly one reader.
+    either = "".join(f"[{c.lower()}{c.upper()}]" for c in suffix)
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{either}")
 
 
 def _lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:

@@ -33,10 +33,13 @@ def append_lineage(record: DataFrame, root: str) -> None:
 
 
 def table_or_none(spark: SparkSession, root: str, merge: bool = True) -> DataFrame | None:
+    """The table, or none where nothing has been written yet; any other fault is raised."""
     try:
         return spark.read.option("mergeSchema", merge).parquet(root)
-    except AnalysisException:
-        return None
+    except AnalysisException as fault:
+        if fault.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_lineage(spark: SparkSession, root: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from logloom.functions.text import batch_date, match_text, monitoring_day, strip
+from logloom.functions.text import batch_date, match_text
 from logloom.operators import feedback
 from logloom.operators.incidents import incident_summary
 from logloom.sources import sinks
@@ -132,12 +132,15 @@ def incident_creates(errors: DataFrame, watermark: str = LATE, prefix: str = "In
     return late.drop("part").dropDuplicatesWithinWatermark(["summary_key"])
 
 
-def incident_reuse_totals(errors: DataFrame, prefix: str = "Incident: ", watermark: str = LATE) -> DataFrame:
-    """Reuses per summary and day with partial sums before the shuffle."""
+def incident_event_totals(errors: DataFrame, prefix: str = "Incident: ", watermark: str = LATE) -> DataFrame:
+    """Events per summary and day with partial sums before the shuffle."""
     keyed = errors.select("ts", match_text(incident_summary("message", prefix)).alias("summary_key")).withWatermark("ts", watermark)
     counted = keyed.groupBy(F.window("ts", "1 day").alias("w"), "summary_key").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "summary_key", (F.col("n") - 1).alias("reused"))
+    return counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "summary_key", "n")
 
 
-def clean_predictions(results: DataFrame) -> DataFrame:
-    return results.select(monitoring_day("received_at").alias("day"), strip("prediction").alias("prediction"))
+def incident_reuses(totals: DataFrame) -> DataFrame:
+    """Reuses per summary and day: all events but the one that created the incident, on its first day."""
+    first = totals.groupBy("summary_key").agg(F.min("day").alias("first_day"))
+    reused = F.col("n") - (F.col("day") == F.col("first_day")).cast("bigint")
+    return totals.join(first, "summary_key").select("day", "summary_key", reused.alias("reused"))

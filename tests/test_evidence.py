@@ -98,7 +98,7 @@ def test_spread_join_equals_plain_join(spark, rows):
     many = spark.range(3000).select("id", F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 50).alias("k"))
     few = spark.createDataFrame([(k, c) for k in range(40) for c in "ab"], "k bigint, c string")
     for how in ("inner", "left"):
-        split = spread_join(many, few, ["k"], how, hot_rows=100, max_copies=8)
+        split = spread_join(many, few, ["k"], how, hot_rows=100)
         assert rows(split, "id", "k", "c") == rows(many.join(few, ["k"], how), "id", "k", "c")
 
 

@@ -98,3 +98,14 @@ def test_training_learns_templates(spark, labelled):
     model, trials, test = training.train_classifier(labelled.where("id >= 2000"), [{"max_iter": 3}], test_size=0.2, val_size=0.2)
     assert trials.count() == 1 and test.count() > 0
     assert set(r["predicted_label"] for r in test.select("predicted_label").distinct().collect()) <= set(domain.LABELS)
+
+
+def test_quotas_of_equal_rows(spark):
+    rows = spark.createDataFrame([("same text", "Noise")] * 40 + [("one", "Error")] + [("two", None)] * 3, "message string, class string")
+    sides = {(r["class"], r["split"]): r["count"] for r in splits.quota_split(rows, 0.25).groupBy("class", "split").count().collect()}
+    assert sides == {("Noise", "heldout"): 10, ("Noise", "train"): 30, ("Error", "train"): 1, (None, "heldout"): 1, (None, "train"): 2}
+
+
+def test_groups_may_be_null_in_an_order_index(spark):
+    rows = spark.createDataFrame([(None, 2), ("a", 1), (None, 1)], "g string, v int")
+    assert sorted((r["g"] or "", r["v"], r["row_index"]) for r in with_order_index(rows, ["v"], ["g"]).collect()) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
