@@ -6,7 +6,8 @@ Only what no child of a node can take was never given to that node, because a no
 leaves hold; so shortages move among siblings before they reach the node above.
 
 A leaf takes its budget from seeded epochs: whole epochs first, then the documents of the next epoch in
-seeded order as long as their running tokens fit. The order is a hash of seed, epoch and id. The running
+seeded order as long as at least half of each fits, so that leaves of few documents miss their budgets by
+chance only. The order is a hash of seed, epoch and id. The running
 sums are built per leaf and hash range and only the range in which the budget ends is looked at by key,
 so a leaf of any size is spread over all tasks.
 
@@ -92,7 +93,7 @@ def leaf_cuts(rows: DataFrame, share: tuple[int, int], epochs: int, weights: Map
     inside = salted_join(ranged, last_range, [*LEAF, "range"], ["key"])
     keys = inside.groupBy(*LEAF, "before", "rest", "key").agg(F.sum("tokens").alias("tokens"))
     run = F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("key")) + F.col("before")
-    last = keys.withColumn("run", run).where("run <= rest").groupBy(*LEAF).agg(F.max("key").alias("last"))
+    last = keys.withColumn("run", run).where("2 * run - tokens <= 2 * rest").groupBy(*LEAF).agg(F.max("key").alias("last"))
     cut = last_range.join(last, list(LEAF), "left").select(*LEAF, F.coalesce("last", "range").alias("cut"))
     return checkpointed(plans.select(*LEAF, "whole").join(cut, list(LEAF), "left"))
 

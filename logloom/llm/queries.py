@@ -195,7 +195,7 @@ g3 AS ({_filled_sql('l3', 'domain, lang', 'source')}),
 plans AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole, given - CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END * tokens AS rest FROM g3),
 placed AS (SELECT d.*, p.whole, p.rest, md5('1:' || p.whole || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS k FROM d JOIN plans p USING (domain, lang, source)),
 run AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k) AS upto FROM placed)
-SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run
+SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN rest > 0 AND 2 * upto - tokens <= 2 * rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run
 """
 
 
