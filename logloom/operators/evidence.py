@@ -203,59 +203,49 @@ def path_points(filename: Column, path: Column) -> Column:
     return F.when((filename != "") & (path != ""), F.when((filename == path) | ends, domain.PATH_POINTS).when(name(filename) == name(path), domain.BASENAME_POINTS))
 
 
-def file_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Items of evidence of each changed file for each (signature, commit) pair.
+def evidence_items(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Items of evidence (kind, value, at, points, shown) of each changed file for each (signature, commit) pair.
 
-    Files without any evidence are dropped here, and the patch text goes no
-    further than this join.
+    Whether a term or path is in a file does not depend on the signature: each
+    distinct term and path asked of a commit is tested once against its files.
+    The signatures then meet the hits, and never the patch text.
     """
-    changed = files.select("repo", "sha", "position", "filename", "patch")
-    # Many signatures ask for the same few commits; hot commits are split by signature.
-    lowered = F.transform("terms", lambda t: F.lower(t))
-    met = spread_join(pairs.select("sig_id", "repo", "sha", "paths", "terms", lowered.alias("low")), changed, ["repo", "sha"], hot_rows=1000, strategy="merge")
+    lower_terms = F.transform("terms", lambda t: F.lower(t))
+    asked = pairs.select("sig_id", "repo", "sha", F.posexplode(F.arrays_zip(F.col("terms"), lower_terms.alias("low"))).alias("at", "t"))
+    asked = asked.select("sig_id", "repo", "sha", "at", F.col("t.terms").alias("value"), F.col("t.low").alias("low"))
+    on_path = pairs.select("sig_id", "repo", "sha", F.posexplode("paths").alias("at", "path"))
     patch = F.coalesce("patch", F.lit(""))
     clean = F.btrim(F.replace("filename", F.lit("\\"), F.lit("/")), F.lit("/"))
-    met = met.select(
-        "sig_id", "sha", "position", "filename", "paths", "terms", "low", patch.alias("patch"), clean.alias("clean"),
-        F.lower(patch).alias("patch_low"), F.lower("filename").alias("name_low"),
+    changed = files.join(pairs.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi").select(
+        "repo", "sha", "position", "filename", clean.alias("clean"), patch.alias("patch"), F.lower(patch).alias("patch_low")
     )
-    named = F.exists("low", lambda t: F.contains(F.col("patch_low"), t) | F.contains(F.col("name_low"), t))
-    met = met.where(named | F.exists("paths", lambda p: path_points(F.col("clean"), p).isNotNull()))
     lines = F.split("patch", r"\r\n|[\n\r]")
 
     def snippet(line: Column) -> Column:
         return texts.truncate_text(F.concat("filename", F.lit(": "), texts.strip(line)), 240)
 
-    def item(kind: str, value: Column, at: Column, points: Column | int, shown: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), value.alias("value"), at.cast("int").alias("at"),
-            (points if isinstance(points, Column) else F.lit(points)).cast("bigint").alias("points"), shown.alias("shown"),
-        )
-
-    nothing = F.lit(None).cast("string")
+    in_patch = F.contains("patch_low", "low")
+    line = snippet(F.get(F.filter(lines, lambda x: F.contains(F.lower(x), F.col("low"))), 0))
+    tested = changed.join(asked.select("repo", "sha", "low").distinct(), ["repo", "sha"])
+    term_hits = tested.where(in_patch | F.contains(F.lower("filename"), F.col("low"))).select(
+        "repo", "sha", "low", "position", "filename", F.when(in_patch, "term_diff").otherwise("term_file").alias("kind"),
+        F.when(in_patch, domain.PATCH_TERM_POINTS).otherwise(domain.FILENAME_TERM_POINTS).cast("bigint").alias("points"), F.when(in_patch, line).alias("shown"),
+    )
     edited = F.get(F.filter(lines, lambda x: x.rlike(r"^[+-]") & ~x.startswith("+++") & ~x.startswith("---")), 0)
-    with_points = F.filter(
-        F.transform("paths", lambda p, i: F.struct(p.alias("p"), i.alias("i"), path_points(F.col("clean"), p).alias("points"))),
-        lambda x: x["points"].isNotNull(),
+    points = path_points(F.col("clean"), F.col("path"))
+    path_hits = changed.join(on_path.select("repo", "sha", "path").distinct(), ["repo", "sha"]).where(points.isNotNull()).select(
+        "repo", "sha", "path", "position", "filename", points.cast("bigint").alias("points"),
+        snippet(F.coalesce(edited, F.concat(F.lit("changed file matched "), F.col("path")))).alias("line"),
     )
-    met = met.withColumn("on_path", with_points).withColumn("edited", F.when(F.size("on_path") > 0, edited))
-    path_items = F.transform("on_path", lambda x: item("path", x["p"], x["i"], x["points"], nothing))
-    path_snippets = F.transform(
-        "on_path",
-        lambda x: item("snippet", snippet(F.coalesce(F.col("edited"), F.concat(F.lit("changed file matched "), x["p"]))), x["i"], 0, nothing),
+    columns = ("sig_id", "sha", "position", "filename", "kind", "value", "at", "points", "shown")
+    by_term = spread_join(asked, term_hits, ["repo", "sha", "low"]).withColumn("at", F.col("at") + 100).select(*columns)
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    item = lambda kind, value, at, gained: F.struct(F.lit(kind).alias("kind"), value.alias("value"), at.alias("at"), gained.alias("points"))
+    three = F.array(
+        item("path", F.col("path"), F.col("at"), F.col("points")), item("snippet", F.col("line"), F.col("at"), zero), item("file", F.col("filename"), F.lit(0), zero)
     )
-    file_items = F.when(F.size("on_path") > 0, F.array(item("file", F.col("filename"), F.lit(0), 0, nothing))).otherwise(F.array())
-    indexed = F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i"), F.get(F.col("low"), i).alias("low")))
-    in_patch = F.filter(indexed, lambda x: F.contains(F.col("patch_low"), x["low"]))
-    in_name = F.filter(indexed, lambda x: ~F.contains(F.col("patch_low"), x["low"]) & F.contains(F.col("name_low"), x["low"]))
-
-    def line_of(x: Column) -> Column:
-        return snippet(F.get(F.filter(lines, lambda line: F.contains(F.lower(line), x["low"])), 0))
-
-    diff_items = F.transform(in_patch, lambda x: item("term_diff", x["t"], x["i"] + 100, domain.PATCH_TERM_POINTS, line_of(x)))
-    name_items = F.transform(in_name, lambda x: item("term_file", x["t"], x["i"] + 100, domain.FILENAME_TERM_POINTS, nothing))
-    items = F.concat(path_items, path_snippets, file_items, diff_items, name_items)
-    return met.select("sig_id", "sha", "position", "filename", items.alias("items")).where(F.size("items") > 0)
+    met = spread_join(on_path, path_hits, ["repo", "sha", "path"]).select("sig_id", "sha", "position", "filename", F.explode(three).alias("x"))
+    return by_term.unionByName(met.select("sig_id", "sha", "position", "filename", "x.*", none.alias("shown")))
 
 
 def diff_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -264,10 +254,9 @@ def diff_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
     Lists are cut to their caps by rank before they are gathered, so a commit
     of any size gives a bounded row.
     """
-    found = file_evidence(pairs, files).select("sig_id", "sha", "position", "filename", F.explode("items").alias("x"))
-    place = F.struct("position", "filename", "x.at")
-    first = found.groupBy("sig_id", "sha", "x.kind", "x.value").agg(
-        F.min(place).alias("place"), F.min_by("x.shown", place).alias("shown"), F.sum("x.points").alias("points")
+    place = F.struct("position", "filename", "at")
+    first = evidence_items(pairs, files).groupBy("sig_id", "sha", "kind", "value").agg(
+        F.min(place).alias("place"), F.min_by("shown", place).alias("shown"), F.sum("points").alias("points")
     )
     # The line of a term is shown once, from the first file that has it; then equal lines are merged.
     both = first.select(
