@@ -99,9 +99,10 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare:
     half = F.floor(F.col("n") / 2).cast("int")
     after = order.select(F.pmod(F.col("at") - 1, F.lit(total)).alias("at"), F.col("key").alias("before_key"), half.alias("before_half"))
     before = order.select(F.pmod(F.col("at") + 1, F.lit(total)).alias("at"), F.col("key").alias("next_key"))
-    places = checkpointed(order.join(after, "at").join(before, "at").select("key", "times", "next_key", "before_key", "before_half"))
+    places = checkpointed(order.join(after, "at").join(before, "at").select("doc_id", "key", "times", "next_key", "before_key", "before_half"))
     one = Window.partitionBy("key").orderBy("key")
-    texts = keyed.join(places, "key").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    # Only the key and the text of a document are shuffled, so both uses below share one exchange.
+    texts = keyed.select("key", "text").join(places, "key").withColumn("nth", F.row_number().over(one)).where("nth = 1")
     tails = texts.select(F.col("before_key").alias("key"), F.expr("substring(text, 1, before_half)").alias("tail"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS INT))"), F.col("tail"))
     pairs = texts.join(tails, "key").select("doc_id", "key", "next_key", "times", "text", edited.alias("edited"))

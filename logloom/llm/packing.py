@@ -17,7 +17,10 @@ empty table gives no pieces. Other columns are not read.
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -28,35 +31,96 @@ from logloom.llm.common import checkpointed
 from logloom.operators.indexing import with_order_index
 
 LENGTH, CLOSING, WIDTH, GAP = 2048, 1, 8, 1e-4
-#: Texts between white space whose ids a Python worker keeps.
-KNOWN = 400_000
+#: Texts between white space, and words, whose ids a Python worker keeps.
+KNOWN_PARTS, KNOWN_WORDS = 400_000, 600_000
+# What the vocabulary's pre-tokenizer takes as words, and the mark of a word's last byte pair.
+_WORDS, _END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+#: Separate words for Python, but are no white space for the pre-tokenizer.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_MARKS = ".,;:!?|#*%$&"
+_PROBE = "The quick brown fox's 12 naïve jumpers, they're över-excited!! tionouble"
+
+
+def _bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
+class _Words(dict):
+    """Ids, as bytes, of lower-case Latin words: the vocabulary's merges, done by a faster byte-pair engine.
+
+    The merges of the vocabulary are in the order of their ids, so the ids are the ranks. A word's end is a
+    byte that no text holds; its pairs have the lowest ranks after the single bytes, so it joins the last
+    byte first, as the vocabulary's mark does.
+    """
+
+    def __init__(self, model: dict):
+        import regex
+        import tiktoken
+
+        super().__init__()
+        # The byte-level alphabet: printable Latin-1 characters stand for their own bytes, the rest follow from 256.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {}
+        for token, at in model["vocab"].items():
+            body = token.removesuffix(_END)
+            if all(c in byte for c in body) and not token.startswith("<|"):
+                ranks[bytes(byte[c] for c in body) + b"\xff" * (body != token)] = at
+        ranks.setdefault(b"\xff", 1 << 30)
+        self.merge = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.split = regex.compile(_WORDS).findall
+
+    def __missing__(self, word: str) -> bytes:
+        ids = _bytes(self.merge(word.encode() + b"\xff"))
+        if len(self) < KNOWN_WORDS and len(word) <= 48:
+            self[word] = ids
+        return ids
+
+    def of(self, part: str) -> bytes:
+        word = part.rstrip(_MARKS)
+        if word.isalpha():  # the common case, without the pattern: letters and perhaps marks behind them
+            return self[word.lower()] + (self[part[len(word) :]] if len(word) < len(part) else b"")
+        return b"".join([self[word] for word in self.split(part.lower())])
 
 
 class _Ids(dict):
     """Ids, as bytes, of the texts between white space.
 
     The vocabulary's pre-tokenizer drops white space and lets no token cross it, so the ids of a text are
-    those of its parts in a row.
+    those of its parts in a row. Parts of Latin letters go to the faster engine, if it gives the
+    tokenizer's ids for a probe; all others go to the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.words = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as text:
+            model = json.load(text)["model"]
+        if model.get("type") == "BPE" and model.get("end_of_word_suffix") == _END:
+            words = _Words(model)
+            if b"".join(map(words.of, _PROBE.split())) == self.exact(_PROBE):
+                self.words = words
+
+    def exact(self, text: str) -> bytes:
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < KNOWN and len(part) <= 64:
+        plain = self.words is not None and "<|" not in part and (part.isascii() or max(part) < "\u0250")
+        ids = self.words.of(part) if plain else self.exact(part)
+        if len(self) < KNOWN_PARTS and len(part) <= 48:
             self[part] = ids
         return ids
 
     def of(self, text: str | None) -> bytes:
         if not text:
             return b""
-        # Only these four separate words for Python and are not white space for the pre-tokenizer.
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self[text]
+        if any(c in text for c in _SEPARATORS):
+            return self.exact(text)
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -73,7 +137,7 @@ def _encoded(path: str, length: int):
     @F.pandas_udf("doc_tokens long, crcs array<long>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids = _ids(path)
-        closing = np.array([CLOSING], "<u4").tobytes()
+        closing = _bytes([CLOSING])
         for texts in batches:
             sizes, marks = [], []
             for text in texts:

@@ -157,7 +157,7 @@ def test_ids_of_odd_white_space():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, ids = Tokenizer.from_file(path), packing._ids(path)
-    for text in ("a\x1cb  c d", "İΣ's re've x", "<|endoftext|> x<|endoftext|>y", "é ́e", "\t\n", "12a34 !?…é"):
+    for text in ("a\x1cb  c d", "İΣ's re've x", "<|endoftext|> x<|endoftext|>y", "é ́e", "\t\n", "12a34 !?…é", "ÀÉÎßſİx ÿ¿¡ªº²", "don't I'LL x" + "y" * 300):
         assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
