@@ -34,7 +34,7 @@ SPACE, OTHER = 0, 1
 _ENDED, _NEXT = 29, (1 << 29) - 1
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 96, chars: int = 640) -> dict[str, str]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 64, chars: int = 640) -> dict[str, str]:
     """Samples of text by language: of ``rows`` different texts, chosen by hash, at most ``chars`` characters each.
 
     ``rows * chars`` bounds what is learned and what reaches the driver per language. A text that is

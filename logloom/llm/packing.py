@@ -32,7 +32,7 @@ from logloom.operators.indexing import with_order_index
 
 LENGTH, CLOSING, WIDTH, GAP = 2048, 1, 8, 1e-4
 #: Texts between white space, and words, whose ids a Python worker keeps.
-KNOWN_PARTS, KNOWN_WORDS = 400_000, 600_000
+KNOWN_PARTS, KNOWN_WORDS = 100_000, 500_000
 # What the vocabulary's pre-tokenizer takes as words, and the mark of a word's last byte pair.
 _WORDS, _END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 #: Separate words for Python, but are no white space for the pre-tokenizer.
