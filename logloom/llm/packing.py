@@ -110,7 +110,8 @@ class _Ids(dict):
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, part: str) -> bytes:
-        plain = self.words is not None and "<|" not in part and (part.isascii() or max(part) < "\u0250")
+        # The dotted capital I becomes a letter and a mark of its own in lower case.
+        plain = self.words is not None and "<|" not in part and (part.isascii() or max(part) < "\u0250" and "\u0130" not in part)
         ids = self.words.of(part) if plain else self.exact(part)
         if len(self) < KNOWN_PARTS and len(part) <= 48:
             self[part] = ids
