@@ -157,6 +157,10 @@ def test_ids_of_odd_white_space():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, ids = Tokenizer.from_file(path), packing._ids(path)
+    assert ids.words is not None
+    for code in range(33, 0x260):
+        for part in (chr(code), f"a{chr(code)}", f"{chr(code)}a", f"Ab{chr(code)}c's"):
+            assert np.frombuffer(ids.of(part), "<u4").tolist() == tokenizer.encode(part, add_special_tokens=False).ids
     for text in ("a\x1cb  c d", "İΣ's re've x", "<|endoftext|> x<|endoftext|>y", "é ́e", "\t\n", "12a34 !?…é", "ÀÉÎßſİx ÿ¿¡ªº²", "don't I'LL x" + "y" * 300):
         assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
