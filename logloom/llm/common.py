@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.session import checkpointed
 
-__all__ = ["checkpointed", "given", "no_text", "salted_join", "text_groups"]
+__all__ = ["checkpointed", "given", "kept", "no_text", "salted_join", "text_groups"]
+
+
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, build: Callable[[], object]):
+    """A large object that a Python worker builds once. It keeps one at a time: the stages of a pipeline share workers."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
 
 
 def given(spark: SparkSession, folder: str, table: str) -> DataFrame:

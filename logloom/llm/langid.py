@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logloom.llm.common import text_groups
+from logloom.llm.common import kept, text_groups
 
 UNDETERMINED = "und"
 RESULT = "lang_pred string, lang_score double, entropy double"
@@ -182,16 +182,9 @@ def _complete(edges: list[dict[int, int]], width: int, start: int) -> np.ndarray
     return table.astype(np.int32).ravel()
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def _parser(samples: Mapping[str, str]) -> Parser:
     """One parser per Python worker; its tables are built from the small samples where they are used."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    return kept(f"language {hash(tuple(sorted(samples.items())))}", lambda: Parser(samples))
 
 
 def identify(text: str | Column, samples: Mapping[str, str]) -> Column:

@@ -27,12 +27,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logloom.llm.common import checkpointed
+from logloom.llm.common import checkpointed, kept
 from logloom.operators.indexing import with_order_index
 
 LENGTH, CLOSING, WIDTH, GAP = 2048, 1, 8, 1e-4
 #: Texts between white space, and words, whose ids a Python worker keeps.
-KNOWN_PARTS, KNOWN_WORDS = 100_000, 500_000
+KNOWN_PARTS, KNOWN_WORDS = 100_000, 300_000
 # What the vocabulary's pre-tokenizer takes as words, and the mark of a word's last byte pair.
 _WORDS, _END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 #: Separate words for Python, but are no white space for the pre-tokenizer.
@@ -125,13 +125,8 @@ class _Ids(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_known: dict[str, _Ids] = {}
-
-
 def _ids(path: str) -> _Ids:
-    if path not in _known:
-        _known[path] = _Ids(path)
-    return _known[path]
+    return kept(f"ids {path}", lambda: _Ids(path))
 
 
 def _encoded(path: str, length: int):

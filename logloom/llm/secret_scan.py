@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from logloom.llm.common import kept
+
 # The patterns of the base kinds and the least lengths of what they find.
 ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,19 +37,18 @@ DIGEST = re.compile(r"(?:(?:md5|sha-?1|sha-?224|sha-?256|sha-?384|sha-?512)[-_:=
 IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F-]*-[0-9-]*|[0-9_/+=-]*")
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
-_encodings: dict[str, object] = {}
-
-
 def encoding(ranks: str):
     """The byte-level BPE of a rank file, one per Python worker."""
-    if ranks not in _encodings:
+
+    def build():
         import public_tokenizers
         import tiktoken
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[ranks] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return _encodings[ranks]
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    return kept(f"ranks {ranks}", build)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
