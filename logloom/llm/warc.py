@@ -25,8 +25,9 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.llm.common import checkpointed, no_text, salted_join
 from logloom.operators.indexing import with_order_index
@@ -106,6 +107,15 @@ class _Roller:
             self.out, self.part = None, self.part + 1
 
 
+def _packed(pages: pd.Series) -> pd.Series:
+    return pd.Series([None if page is None else zlib.compress(page.encode("utf-8", "surrogatepass"), 1) for page in pages], dtype=object)
+
+
+def _deflated(page: Column) -> Column:
+    """Pages in UTF-8, packed before they are shuffled."""
+    return F.pandas_udf(_packed, "binary")(page)
+
+
 def _writer(folder: str, roll_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, key, nth, plan = None, None, 0, {}
@@ -123,7 +133,7 @@ def _writer(folder: str, roll_bytes: int, date: str):
                 if key != (row["id"], row["sha"]):
                     raise ValueError("a page came before its plan")
                 response = plan["response"] and nth == 0
-                roller.add(page_record(str(row["id"]), row["url"], (row["payload"] or "").encode("utf-8", "surrogatepass"), nth, plan["refers_to"], response, date))
+                roller.add(page_record(str(row["id"]), row["url"], zlib.decompress(row["payload"]) if row["payload"] else b"", nth, plan["refers_to"], response, date))
                 nth += 1
         if roller is not None:
             roller.close()
@@ -152,7 +162,7 @@ def write(
     spark = pages.sparkSession
     folder = _qualified(spark, folder)
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("payload"), F.sha2(no_text(html).cast("binary"), 256).alias("sha"))
+    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), _deflated(F.col(html)).alias("payload"), F.sha2(no_text(html).cast("binary"), 256).alias("sha"))
     keys = rows.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("times"))
     placed = checkpointed(with_order_index(keys, ["id", "sha"], name="at").withColumn("shard", F.floor(F.col("at") / shard_rows).cast("long")))
     groups = placed.groupBy("sha").agg(F.max("id").alias("refers_to"))
@@ -161,7 +171,7 @@ def write(
     own = plans.select(F.col("id").alias("key"), F.col("sha").alias("key_sha"), "shard")
     bodies = rows.join(own, rows["id"].eqNullSafe(own["key"]) & (rows["sha"] == own["key_sha"])).select("shard", "id", "sha", "url", "payload")
     bodies = bodies.select("shard", "id", "sha", F.lit(False).alias("plan"), F.lit(None).cast("boolean").alias("response"), F.lit(None).cast("string").alias("refers_to"), "url", "payload")
-    heads = plans.select("shard", "id", "sha", F.lit(True).alias("plan"), "response", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"))
+    heads = plans.select("shard", "id", "sha", F.lit(True).alias("plan"), "response", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     ordered = bodies.union(heads).repartition("shard").sortWithinPartitions("shard", "id", "sha", F.desc("plan"), "url")
     ordered.mapInArrow(_writer(folder, roll_bytes, date), MANIFEST).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
