@@ -2,8 +2,8 @@
 
 The base kinds are patterns. The method adds ``random`` spans: unbroken runs with letters and digits that
 a byte-level BPE vocabulary needs many tokens for, as it has no pieces of random strings. Runs that are
-digests of a known length, labelled digests, UUIDs or numbers are left out, and so are runs longer than
-``LONGEST_RUN`` characters, which are embedded data. Runs that overlap a base span add nothing.
+digests of a known length, labelled digests, UUIDs or numbers are left out, and so is what a ``data:`` URI
+embeds. Runs that overlap a base span add nothing.
 
 Defined results: null and empty texts have no spans. Places are code points, ends exclusive. Whole texts
 are searched, each by itself, so repeated rows and ties need no rule.
@@ -31,10 +31,13 @@ KINDS = ("assign", "access", "hex", "random")
 #: Words without which no assignment can match, in lower case.
 KEYWORDS = ("passw", "secret", "token", "api")
 
-RUN_LEAST, LONGEST_RUN = 20, 512
+RUN_LEAST = 20
+#: Characters given to the encoder at once; a run's tokens are summed over its slices.
+SLICE = 1024
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % RUN_LEAST)
 DIGEST = re.compile(r"(?:(?:md5|sha-?1|sha-?224|sha-?256|sha-?384|sha-?512)[-_:=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|sha(?:256|384|512)-[A-Za-z0-9+/]{40,90}={0,2}", re.I)
 IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F-]*-[0-9-]*|[0-9_/+=-]*")
+EMBEDDED = re.compile(r"data:[A-Za-z0-9.+/_-]*(?:;[A-Za-z0-9.=_-]+)*;base64,\Z", re.I)
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 def encoding(ranks: str):
@@ -67,11 +70,12 @@ def random_runs(text: str, ranks: str, most_chars_per_token: float) -> list[tupl
     found = []
     for m in RUN.finditer(text):
         run = m.group()
-        if len(run) > LONGEST_RUN or run.isalpha() or not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run):
+        if run.isalpha() or not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run):
             continue
-        if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+        if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run) or EMBEDDED.search(text, max(0, m.start() - 128), m.start()):
             continue
-        if len(run) <= most_chars_per_token * len(encoding(ranks).encode_ordinary(run)):
+        tokens = sum(len(encoding(ranks).encode_ordinary(run[at : at + SLICE])) for at in range(0, len(run), SLICE))
+        if len(run) <= most_chars_per_token * tokens:
             found.append(m.span())
     return found
 

@@ -105,6 +105,22 @@ def test_secrets(spark, nothing):
     assert nothing.select(secret_scan.find("text")).count() == 0
 
 
+def test_secrets_of_any_length_and_letters():
+    import random
+
+    import public_tokenizers
+
+    ranks, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(4)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    mixed = lower + lower.upper()
+    key = lambda n: draw(mixed + "0123456789+/", n)
+    found = lambda text: [(s["kind"], s["start"], s["end"]) for s in secret_scan.spans(text, ranks, 2.0)]
+    for run in (key(683), key(1600), key(3100), key(100_000)):
+        assert found(f"a {run} b") == [("random", 2, 2 + len(run))]
+    assert found(f"<img src='data:image/png;base64,{key(2000)}'>") == []
+
+
 def test_spans_of_odd_documents(docs):
     assert all(r.s == [] for r in docs.select(secret_scan.find("text").alias("s")).collect())
 
