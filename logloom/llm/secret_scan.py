@@ -1,9 +1,11 @@
 """Secrets in texts: assignments, access keys, long hex runs, and random strings by token efficiency.
 
-The base kinds are patterns. The method adds ``random`` spans: unbroken runs with letters and digits that
-a byte-level BPE vocabulary needs many tokens for, as it has no pieces of random strings. Runs that are
-digests of a known length, labelled digests, UUIDs or numbers are left out, and so is what a ``data:`` URI
-embeds. Runs that overlap a base span add nothing.
+The base kinds are patterns. The method adds ``random`` spans: unbroken runs with letters, of any length from
+``RUN_LEAST`` on, that a byte-level BPE vocabulary needs many tokens for, as it has no pieces of random
+strings. Runs that are digests of a known length, labelled digests, UUIDs, times or numbers are left out,
+and so is what a ``data:`` URI embeds. Of a run that overlaps base spans the parts outside them are tested.
+Words of letters in one case with fewer than ``WORD_LEAST`` characters have a bound of their own, as the
+ratio does not tell all of them from random letters.
 
 Defined results: null and empty texts have no spans. Places are code points, ends exclusive. Whole texts
 are searched, each by itself, so repeated rows and ties need no rule.
@@ -31,12 +33,13 @@ KINDS = ("assign", "access", "hex", "random")
 #: Words without which no assignment can match, in lower case.
 KEYWORDS = ("passw", "secret", "token", "api")
 
-RUN_LEAST = 20
+RUN_LEAST, WORD_LEAST, SHORT_WORD_RATIO = 16, 20, 1.5
 #: Characters given to the encoder at once; a run's tokens are summed over its slices.
 SLICE = 1024
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % RUN_LEAST)
 DIGEST = re.compile(r"(?:(?:md5|sha-?1|sha-?224|sha-?256|sha-?384|sha-?512)[-_:=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|sha(?:256|384|512)-[A-Za-z0-9+/]{40,90}={0,2}", re.I)
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F-]*-[0-9-]*|[0-9_/+=-]*")
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F-]*-[0-9-]*|[0-9_/+=-]*|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2}(?:-?[0-9]{2}){1,2}Z?")
+ONE_CASE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*")
 EMBEDDED = re.compile(r"data:[A-Za-z0-9.+/_-]*(?:;[A-Za-z0-9.=_-]+)*;base64,\Z", re.I)
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -65,18 +68,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def random_runs(text: str, ranks: str, most_chars_per_token: float) -> list[tuple[int, int]]:
-    """(start, end) of the runs with at most so many characters a token."""
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of start to end that no span of ``taken`` covers."""
+    for a, b in sorted(taken):
+        if a < end and start < b:
+            if start < a:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def random_runs(text: str, ranks: str, most_chars_per_token: float, taken: list[tuple[int, int]] = []) -> list[tuple[int, int]]:  # noqa: B006
+    """(start, end) of the runs, or their parts outside the spans of ``taken``, with at most so many characters a token."""
     found = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if run.isalpha() or not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run):
-            continue
-        if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run) or EMBEDDED.search(text, max(0, m.start() - 128), m.start()):
+        if DIGEST.fullmatch(m.group()) or IDENTIFIER.fullmatch(m.group()) or EMBEDDED.search(text, max(0, m.start() - 128), m.start()):
             continue
-        tokens = sum(len(encoding(ranks).encode_ordinary(run[at : at + SLICE])) for at in range(0, len(run), SLICE))
-        if len(run) <= most_chars_per_token * tokens:
-            found.append(m.span())
+        for start, end in outside(*m.span(), taken):
+            run = text[start:end]
+            if len(run) < RUN_LEAST or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
+                continue
+            most = min(SHORT_WORD_RATIO, most_chars_per_token) if len(run) < WORD_LEAST and ONE_CASE.fullmatch(run) else most_chars_per_token
+            tokens = sum(len(encoding(ranks).encode_ordinary(run[at : at + SLICE])) for at in range(0, len(run), SLICE))
+            if len(run) <= most * tokens:
+                found.append((start, end))
     return found
 
 
@@ -90,8 +106,7 @@ def spans(text: str | None, ranks: str, most_chars_per_token: float) -> list[dic
         return []
     found = base_spans(text)
     if long_word:
-        taken = [(a, b) for a, _, b in found]
-        found += [(a, 3, b) for a, b in random_runs(text, ranks, most_chars_per_token) if not any(a < d and c < b for c, d in taken)]
+        found += [(a, 3, b) for a, b in random_runs(text, ranks, most_chars_per_token, [(a, b) for a, _, b in found])]
     return [{"kind": KINDS[kind], "start": start, "end": end} for start, kind, end in sorted(found)]
 
 

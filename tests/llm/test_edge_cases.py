@@ -116,9 +116,14 @@ def test_secrets_of_any_length_and_letters():
     mixed = lower + lower.upper()
     key = lambda n: draw(mixed + "0123456789+/", n)
     found = lambda text: [(s["kind"], s["start"], s["end"]) for s in secret_scan.spans(text, ranks, 2.0)]
-    for run in (key(683), key(1600), key(3100), key(100_000)):
+    for run in (key(683), key(1600), key(3100), key(100_000), draw(mixed, 20), draw(mixed, 16), draw(mixed, 700), draw(lower, 40), key(16), key(19)):
         assert found(f"a {run} b") == [("random", 2, 2 + len(run))]
+    hexes, rest = "0123456789abcdef01234567", "Zq8vT1xKp0Wm4sYb7NdRf2HZ"
+    assert found(f"a {hexes}{rest} b") == [("hex", 2, 26), ("random", 26, 50)]
+    assert found(f"a {rest}{hexes} b") == [("random", 2, 26), ("hex", 26, 50)]
     assert found(f"<img src='data:image/png;base64,{key(2000)}'>") == []
+    for words in ("einpfauaueinchpf", "keitstlichschenverpf", "getElementsByClassName", "state-of-the-art-design", "2024-01-15T12-00-00"):
+        assert found(f"a {words} b") == []
 
 
 def test_spans_of_odd_documents(docs):
