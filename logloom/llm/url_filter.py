@@ -3,7 +3,8 @@
 Rules judge what they fit. All other URLs are judged by their host: trust flows from hosts with allowed
 pages along host edges (personalised PageRank), and distrust flows against the edges from hosts with
 blocked pages, so a host that links to blocked ones is distrusted. A host is blocked where its distrust is
-more than ``threshold`` times its trust.
+more than ``threshold`` times its trust. Both are followed until no more than ``tolerance`` of them still
+moves, and what flows into hosts without further edges goes back to the seeds, so both sum to 1.
 
 Host edges are the hyperlinks between hosts of the pages' ``href`` attributes, counted, and for every host
 below another one an edge each way between it and the domain it is part of. Edges are summed before any
@@ -28,7 +29,9 @@ Rule = tuple[str, str, str]
 RULES: tuple[Rule, ...] = (
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 )
-STEPS, DAMPING, THRESHOLD = 8, 0.85, 1.0
+#: Steps between two looks at the change of the ranks, and what may still change in them, as a share of all rank.
+STEPS, TOLERANCE = 8, 1e-6
+DAMPING, THRESHOLD = 0.85, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^"'\s/?#>]+)"""
 
@@ -66,26 +69,40 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.union(steps).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank) after some steps of PageRank that returns to the seeds (host, weight).
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank): PageRank that returns to the seeds (kind, host, weight) over edges (kind, a, b, weight), each kind by itself.
 
-    What flows into hosts without further edges is not given back; all ranks lie below what they would
-    be then by one factor, which the seeds' own ranks share.
+    The ranks grow from the seeds' own part, so their summed change is the growth of their sum. Giving the
+    mass of hosts without further edges back to the seeds is the same as raising all ranks by one factor,
+    until they sum to 1; that is done at the end.
     """
-    total = seeds.agg(F.sum("weight").alias("total"))
-    start = checkpointed(seeds.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select("host", (F.col("weight") / F.col("total")).alias("seed")))
-    out = edges.groupBy("a").agg(F.sum("weight").alias("out"))
-    shares = checkpointed(salted_join(edges, out, ["a"], ["b"]).select("a", "b", (F.col("weight") / F.col("out")).alias("share")))
-    rank = start.select("host", F.col("seed").alias("rank"))
-    for _ in range(steps):
-        flow = salted_join(shares, rank.withColumnRenamed("host", "a"), ["a"], ["b"]).select(F.col("b").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
-        back = start.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
-        rank = checkpointed(flow.union(back).groupBy("host").agg(F.sum("rank").alias("rank")))
-    return rank
+
+    def by_kind(table: DataFrame, column: str) -> dict[str, float]:
+        return {r["kind"]: r["total"] for r in table.groupBy("kind").agg(F.sum(column).alias("total")).collect()}
+
+    def share(column: str, totals: dict[str, float]) -> Column:
+        of = F.lit(None).cast("double")
+        for kind, total in totals.items():
+            of = F.when(F.col("kind") == kind, F.lit(total)).otherwise(of)
+        return F.col(column) / of
+
+    start = checkpointed(seeds.select("kind", "host", ((1 - damping) * share("weight", by_kind(seeds, "weight"))).alias("rank")))
+    out = edges.groupBy("kind", "a").agg(F.sum("weight").alias("out"))
+    shares = checkpointed(salted_join(edges, out, ["kind", "a"], ["b"]).select("kind", "a", "b", (F.col("weight") / F.col("out")).alias("share")))
+    rank, totals = start, by_kind(start, "rank")
+    while True:
+        for _ in range(STEPS):
+            flow = salted_join(shares, rank.withColumnRenamed("host", "a"), ["kind", "a"], ["b"])
+            flow = flow.select("kind", F.col("b").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
+            rank = flow.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = checkpointed(rank)
+        before, totals = totals, by_kind(rank, "rank")
+        if all(total - before[kind] <= tolerance * total for kind, total in totals.items()):
+            return rank.select("kind", "host", share("rank", totals).alias("rank"))
 
 
 def judged(
-    pages: DataFrame, rules: Sequence[Rule] = RULES, steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD,
+    pages: DataFrame, rules: Sequence[Rule] = RULES, tolerance: float = TOLERANCE, damping: float = DAMPING, threshold: float = THRESHOLD,
     page_id: str = "page_id", url: str = "url", html: str = "html",
 ) -> DataFrame:
     """Per page: page_id, host, path, rule (null if none fits), verdict."""
@@ -94,10 +111,10 @@ def judged(
     rows = checkpointed(rows.withColumn("rule", rule).withColumn("known", verdict))
     edges = checkpointed(host_edges(pages, url, html))
     seeds = rows.where("known IS NOT NULL AND host <> ''").groupBy("host", "known").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    trust = propagated(edges, seeds.where("known = 'allow'").select("host", "weight"), steps, damping)
-    against = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
-    distrust = propagated(against, seeds.where("known = 'block'").select("host", "weight"), steps, damping)
-    bad = distrust.withColumnRenamed("rank", "distrust").join(trust.withColumnRenamed("rank", "trust"), "host", "left")
-    bad = checkpointed(bad.where(F.col("distrust") > threshold * F.coalesce("trust", F.lit(0.0)) + 1e-12).select("host", F.lit("block").alias("found")))
+    both = edges.select(F.lit("allow").alias("kind"), "a", "b", "weight").union(edges.select(F.lit("block"), "b", "a", "weight"))
+    ranks = propagated(both, seeds.withColumnRenamed("known", "kind"), damping, tolerance)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
+    bad = ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
+    bad = checkpointed(bad.where(F.col("distrust") > threshold * F.col("trust") + 1e-12).select("host", F.lit("block").alias("found")))
     named = salted_join(rows, bad, ["host"], ["page_id"], "left")
     return named.select("page_id", "host", "path", "rule", F.coalesce("known", "found", F.lit("allow")).alias("verdict"))

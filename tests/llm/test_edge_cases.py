@@ -210,6 +210,36 @@ def test_url_filter(spark):
     assert edges[("a.b.org:80", "bad.example")] == 1 and edges[("a.b.org:80", "mid.test")] == 1 and edges[("www.example.org", "example.org")] == 1
 
 
+def test_url_filter_follows_long_chains(spark):
+    link = lambda b: f'<a href="http://{b}/">'
+    rows = [(n, f"http://h{n}.net/", link(f"h{n + 1}.net" if n < 20 else "bad.com")) for n in range(21)] + [(21, "http://bad.com/de/", None), (22, "http://good.com/fr/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judged(pages).collect()}
+    assert got == {n: "allow" if n == 22 else "block" for n in range(23)}
+
+
+def test_ranks_against_plain_iteration(spark):
+    """A cycle, a host without further edges, weights, and a seed without edges."""
+    links = [("a", "b", 1.0), ("b", "c", 3.0), ("c", "a", 1.0), ("b", "end", 1.0), ("end2", "a", 2.0)]
+    weights, damping = {"a": 3.0, "alone": 1.0}, 0.85
+    seed = {h: w / 4 for h, w in weights.items()}
+    edges = spark.createDataFrame([("k", *e) for e in links] + [("other", b, a, w) for a, b, w in links], "kind string, a string, b string, weight double")
+    seeds = spark.createDataFrame([(k, h, w) for k in ("k", "other") for h, w in weights.items()], "kind string, host string, weight double")
+    got = {(r.kind, r.host): r["rank"] for r in url_filter.propagated(edges, seeds).collect()}
+    for kind, own in (("k", links), ("other", [(b, a, w) for a, b, w in links])):
+        rank = dict(seed)
+        for _ in range(300):
+            out = {a: sum(w for x, _, w in own if x == a) for a, _, _ in own}
+            back = 1 - damping + damping * sum(r for h, r in rank.items() if h not in out)
+            new = {h: back * s for h, s in seed.items()}
+            for a, b, w in own:
+                new[b] = new.get(b, 0.0) + damping * rank.get(a, 0.0) * w / out[a]
+            rank = new
+        for host, value in rank.items():
+            assert abs(got.get((kind, host), 0.0) - value) < 1e-5
+        assert abs(sum(v for (k, _), v in got.items() if k == kind) - 1) < 1e-9
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a/ü b", "<p>x</p>"), (7, None, "<p>x</p>"), (1, "u", None), (2, "u", ""), (5, "u", "é" * 300_000), (5, "u", "z"), (9, "r", "twice"), (9, "r", "twice"), (None, "n", "<p>x</p>")]
     pages = spark.createDataFrame([(*r, "s", 1) for r in rows], "page_id long, url string, html string, shard string, plan int")
