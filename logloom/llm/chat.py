@@ -6,10 +6,14 @@ turn's span. An output that does not begin with the one before shows that the te
 and the turn is marked. Inside a span the text's place is found by rendering the turn once more with a
 one-character probe as its text. Nothing is assumed about the template's marks.
 
-Conversations are cut into blocks of ``window`` turns, and a block's prefixes are rendered after the
-``context`` turns before it, so long conversations are spread over tasks and cost the window's length a
-turn, not their own. A template may therefore look back ``context`` turns; one that depends on more shows
-up as rewriting only if it changes what it has written before.
+The prefixes begin with the first turn of the conversation, whatever its length, and the blocks of
+``window`` turns that come out are cuts of the whole text: joined, they are what the template makes of all
+turns. Of turns whose text a later turn rewrites, the spans end where that begins, without loss. All
+prefixes of a conversation are rendered in one task, at a cost with the square of its length.
+
+For a template that is known to be local, ``context`` says how many turns it looks back. A block's prefixes
+are then rendered after so many turns before it, so that long conversations are spread over tasks and cost
+the window's length a turn. If such a template rewrites what lies before the block, an error is raised.
 
 Defined results: rows are ordered by turn, then role, then text, so ties and repeated rows keep one order
 each. Null role and text are empty ones. A null conversation id is a conversation. Texts of any length
@@ -30,7 +34,7 @@ from logloom.operators.indexing import with_order_index
 
 Turn = tuple[str, str]
 Render = Callable[[Sequence[Turn]], str]
-WINDOW, CONTEXT, PROBE = 32, 1, "\x1a"
+WINDOW, PROBE = 32, "\x1a"
 FORMATTED = "conv_id long, block long, first_turn long, text string, spans array<struct<turn:long,start:long,end:long,text_start:long,text_end:long,loss:boolean,rewrites:boolean>>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
 
@@ -74,16 +78,36 @@ def parse(text: str) -> Iterator[Turn]:
         yield role, upto(_TEXT_END)
 
 
+def _shared(a: str, b: str) -> int:
+    """Length of what two texts begin with alike."""
+    least, most = 0, min(len(a), len(b))
+    while least < most:
+        middle = (least + most + 1) // 2
+        if a[least:middle] == b[least:middle]:
+            least = middle
+        else:
+            most = middle - 1
+    return least
+
+
 def located(turns: Sequence[Turn], context: Sequence[Turn], render_: Render, loss_role: str = "assistant") -> tuple[str, list[dict]]:
-    """The text that ``turns`` add after ``context``, and each turn's span, text place, loss and rewriting mark in it."""
+    """The text that ``turns`` add after ``context``, and each turn's span, text place, loss and rewriting mark in it.
+
+    Without ``context`` it is the whole text.
+    """
     done = list(context)
     before = render_(done)
-    base = len(before)
+    base = len(before) if done else 0
     spans = []
     for role, text in turns:
         now = render_([*done, (role, text)])
         rewrites = not now.startswith(before)
-        start = len(before) if not rewrites else next((i for i, (x, y) in enumerate(zip(before, now, strict=False)) if x != y), min(len(before), len(now)))
+        start = len(before) if not rewrites else _shared(before, now)
+        if rewrites:
+            for span in reversed(spans):
+                if span["end"] <= start - base:
+                    break
+                span.update({n: min(span[n], start - base) for n in ("start", "end", "text_start", "text_end")}, loss=False)
         probed = render_([*done, (role, PROBE)])
         # The probe is looked for behind what both outputs share, from the end: no earlier text can hide it.
         place = probed.rfind(PROBE)
@@ -98,18 +122,24 @@ def located(turns: Sequence[Turn], context: Sequence[Turn], render_: Render, los
     return before[base:], spans
 
 
-def _formatter(render_: Render, window: int, context: int, loss_role: str):
+def _formatter(render_: Render, window: int, loss_role: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, turns, lead, first = None, [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             if turns:
                 text, spans = located(turns, lead, render_, loss_role)
-                for n, span in enumerate(spans):
-                    span["turn"] = first + n
+                if lead and any(span["start"] < 0 for span in spans):
+                    raise ValueError("the template rewrites turns before the block, so it is not local")
                 kind = pa.list_(pa.struct([(n, pa.bool_() if n in ("loss", "rewrites") else pa.int64()) for n in ("turn", "start", "end", "text_start", "text_end", "loss", "rewrites")]))
-                columns = [pa.array([here[0]], pa.int64()), pa.array([here[1]], pa.int64()), pa.array([first], pa.int64()), pa.array([text]), pa.array([spans], kind)]
-                yield pa.RecordBatch.from_arrays(columns, ["conv_id", "block", "first_turn", "text", "spans"])
+                cuts = [0, *[spans[n]["start"] for n in range(window, len(spans), window)], len(text)]
+                for n, (cut, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    own = [
+                        {**{k: v if isinstance(v, bool) else v - cut for k, v in span.items()}, "turn": first + n * window + m}
+                        for m, span in enumerate(spans[n * window : (n + 1) * window])
+                    ]
+                    columns = [pa.array([here[0]], pa.int64()), pa.array([here[1] + n], pa.int64()), pa.array([first + n * window], pa.int64()), pa.array([text[cut:end]]), pa.array([own], kind)]
+                    yield pa.RecordBatch.from_arrays(columns, ["conv_id", "block", "first_turn", "text", "spans"])
 
         for batch in batches:
             for conv, block, at, role, text in zip(*[batch[n].to_pylist() for n in ("conv_id", "block", "at", "role", "text")], strict=True):
@@ -123,18 +153,25 @@ def _formatter(render_: Render, window: int, context: int, loss_role: str):
 
 
 def formatted(
-    turns: DataFrame, render_: Render = render, window: int = WINDOW, context: int = CONTEXT, loss_role: str = "assistant",
+    turns: DataFrame, render_: Render = render, window: int = WINDOW, context: int | None = None, loss_role: str = "assistant",
     conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
-    """Per block of a conversation: conv_id, block, first_turn, text, and the spans of its turns in that text."""
+    """Per block of a conversation: conv_id, block, first_turn, text, and the spans of its turns in that text.
+
+    ``context`` is for templates that look back so many turns only; without it, all turns before are rendered.
+    """
     rows = turns.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), no_text(role).alias("role"), no_text(text).alias("text"))
     placed = with_order_index(rows, ["turn", "role", "text"], ["conv_id"], "at")
+    if context is None:
+        whole = placed.select("conv_id", "at", "role", "text", F.lit(0).cast("long").alias("block"))
+        ready = whole.repartition("conv_id").sortWithinPartitions("conv_id", "at")
+        return ready.mapInArrow(_formatter(render_, window, loss_role), FORMATTED)
     block = F.floor(F.col("at") / window)
     # The last turns of a block lead the next one; a block of leading turns only gives nothing.
     after = F.when(F.col("at") % window >= window - context, F.array(block, block + 1)).otherwise(F.array(block))
     dealt = placed.select("conv_id", "at", "role", "text", F.explode(after).alias("block"))
     ready = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "at")
-    return ready.mapInArrow(_formatter(render_, window, context, loss_role), FORMATTED)
+    return ready.mapInArrow(_formatter(render_, window, loss_role), FORMATTED)
 
 
 def _digester(parse_: Callable[[str], Iterator[Turn]], unescape_: Callable[[str], str]):

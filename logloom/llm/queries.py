@@ -19,7 +19,7 @@ def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     given_rows = given(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.digests(chat.formatted(given_rows.unionByName(more))).drop("rewrites")
+    return chat.digests(chat.formatted(given_rows.unionByName(more), context=1)).drop("rewrites")
 
 
 OP5_SQL = r"""

@@ -301,6 +301,38 @@ def test_chat(spark):
     assert not spans[0]["rewrites"] and spans[1]["rewrites"] and not spans[1]["loss"] and text == "Ab"
 
 
+def test_chat_of_templates_that_look_far_back(spark):
+    def system_in_last_user(turns):
+        system = "".join(t for r, t in turns if r == "system")
+        if turns and turns[0][0] == "assistant":
+            raise ValueError("an assistant turn comes first")
+        last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+        return "".join(f"<{r}>{system if i == last else ''}{t}\n" for i, (r, t) in enumerate(turns) if r != "system")
+
+    def hides_far_thoughts(turns):
+        return "".join(f"<{r}>{t if len(turns) - i < 40 or r != 'assistant' else '-'}\n" for i, (r, t) in enumerate(turns))
+
+    def counted(turns):
+        return "".join(f"<{r} {i}>{t}\n" for i, (r, t) in enumerate(turns))
+
+    said = [("system", "be brief. ")] + [("assistant" if t % 2 else "user", f"said {t}") for t in range(80)]
+    convs = {1: said, 2: said[1:]}
+    table = spark.createDataFrame([(c, n, *t) for c, turns in convs.items() for n, t in enumerate(turns)], "conv_id long, turn int, role string, text string")
+    for template, rewrites in ((system_in_last_user, {1: True, 2: False}), (hides_far_thoughts, {1: True, 2: True}), (counted, {1: False, 2: False})):
+        rows = chat.formatted(table, template).orderBy("conv_id", "block").collect()
+        for conv, turns in convs.items():
+            own = [r for r in rows if r.conv_id == conv]
+            assert [r.first_turn for r in own] == [0, 32, 64]
+            assert "".join(r.text for r in own) == template(turns)
+            assert [s.turn for r in own for s in r.spans] == list(range(len(turns)))
+            assert any(s.rewrites for r in own for s in r.spans) == rewrites[conv]
+            for r in own:
+                for s in r.spans:
+                    assert not s.loss or r.text[s.text_start : s.text_end] == turns[s.turn][1]
+                    assert s.loss or rewrites[conv] or turns[s.turn][0] != "assistant"
+    assert chat.formatted(table, counted, context=40).count() == 6
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages(spark, docs, nothing, stage):
     name, work = corpus_pipeline.STAGES[stage]
