@@ -2,10 +2,14 @@
 
 Each language is a suffix automaton over a bounded sample of its labelled text. A document is parsed
 greedily against each automaton into longest matches; a language's entropy is its number of phrases
-times log2 of its sample's length, per symbol. The lowest one wins.
+times log2 of its sample's length in characters, per character. The lowest one wins.
+
+No letter of a sample is merged with another: the most frequent ones of all languages have a symbol each,
+the others are written as a few digits, each place with symbols of its own. A language's table has columns
+only for the symbols of its sample. Letters that no sample has are unknown to all languages.
 
 The greedy parse is a walk through a complete table: where the automaton has no edge, a phrase ends and
-the walk goes on from the root. The table lets numpy walk many texts and all languages at once. Texts
+the walk goes on from the root. The table lets numpy walk many texts at once. Texts
 are parsed in blocks of ``BLOCK`` symbols (a phrase ends at a block's end), so that one very long text
 costs as much per symbol as many short ones; all blocks of a text count.
 
@@ -28,7 +32,7 @@ from logloom.llm.common import kept, text_groups
 
 UNDETERMINED = "und"
 RESULT = "lang_pred string, lang_score double, entropy double"
-#: Symbols per lane of the parse, distinct letters of the samples that get a symbol of their own, characters handled at once.
+#: Symbols per lane of the parse, distinct letters of the samples with one symbol, characters handled at once.
 BLOCK, MAX_SYMBOLS, GROUP_CHARS = 2048, 126, 2_000_000
 SPACE, OTHER = 0, 1
 _ENDED, _NEXT = 29, (1 << 29) - 1
@@ -58,49 +62,67 @@ class Parser:
 
     def __init__(self, samples: Mapping[str, str]):
         self.names = sorted(samples)
-        letters = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:MAX_SYMBOLS]]
-        self.width = len(alphabet) + 2
-        self.symbol = np.full(0x110000, SPACE, np.uint8)
-        self.letter = np.zeros(0x110000, bool)
+        letters = Counter(c.lower()[0] for text in samples.values() for c in text if c.isalpha())
+        alphabet = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))]
+        # Letters are numbered from 2 on; those from ``first`` on are written as digits, in as few as fit a byte.
+        self.first = 2 + min(len(alphabet), MAX_SYMBOLS)
+        rare = max(1, len(alphabet) - MAX_SYMBOLS)
+        for self.digits in range(2, 5):
+            self.base = next(b for b in range(1, rare + 2) if b**self.digits >= rare)
+            if self.first + self.digits * self.base <= 256:
+                break
+        number = {c: at + 2 for at, c in enumerate(alphabet)}
+        self.number = np.full(0x110000, SPACE, np.int32)
         for code in range(0x110000):
             if chr(code).isalpha():
-                self.letter[code] = True
-        self.symbol[self.letter] = OTHER
-        for at, c in enumerate(alphabet):
-            for form in {c, c.upper()}:
-                if len(form) == 1:
-                    self.symbol[ord(form)] = at + 2
-        tables, self.roots, self.weights, start = [], [], [], 0
+                self.number[code] = number.get(chr(code).lower()[0], OTHER)
+        self.tables, self.local, self.weights = [], [], []
         for name in self.names:
-            learned = self.symbols(samples[name])
-            table = _complete(_automaton(learned.tolist()), self.width, start)
-            tables.append(table)
-            self.roots.append(start)
-            self.weights.append(math.log2(max(2, len(learned))))
-            start += len(table)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            learned, chars = self._read(samples[name])
+            own = np.unique(learned[learned > OTHER])
+            local = np.full(256, OTHER, np.uint8)
+            local[SPACE] = SPACE
+            local[own] = np.arange(2, len(own) + 2)
+            edges = _automaton(local[learned].tolist())
+            if len(edges) * (len(own) + 2) > _NEXT:
+                raise ValueError(f"the sample of {name} is too large: {len(edges)} states of {len(own) + 2} symbols")
+            self.tables.append(_complete(edges, len(own) + 2, 0))
+            self.local.append(local)
+            self.weights.append(math.log2(max(2, chars)))
 
     def codes(self, text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
-    def symbols(self, text: str) -> np.ndarray:
-        """Lower-cased letters as symbols; all else as single spaces."""
-        found = self.symbol[self.codes(text)]
+    def _read(self, text: str) -> tuple[np.ndarray, int]:
+        """(symbols, number of characters they stand for): lower-cased letters, and all else as single spaces."""
+        found = self.number[self.codes(text)]
         keep = found != SPACE
         keep[1:] |= found[:-1] != SPACE
-        return found[keep]
+        found = found[keep]
+        rare = found >= self.first
+        if not rare.any():
+            return found.astype(np.uint8), len(found)
+        size = np.where(rare, self.digits, 1)
+        out, at, rest = np.repeat(found, size), (np.cumsum(size) - size)[rare], found[rare] - self.first
+        for place in range(self.digits - 1, -1, -1):
+            out[at + place] = self.first + place * self.base + rest % self.base
+            rest = rest // self.base
+        return out.astype(np.uint8), len(found)
+
+    def symbols(self, text: str) -> np.ndarray:
+        return self._read(text)[0]
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(has a letter, entropy of each text by language)."""
-        found = [self.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
+        read = [self._read(t) if t else (np.zeros(0, np.uint8), 0) for t in texts]
+        found = [s for s, _ in read]
         known = np.array([bool((s != SPACE).any()) for s in found], bool)
-        size = np.array([len(s) for s in found])
+        size, chars = np.array([len(s) for s in found]), np.array([n for _, n in read])
         owner = np.repeat(np.arange(len(found)), -(-size // BLOCK))
         lanes = [s[at : at + BLOCK] for s in found for at in range(0, len(s), BLOCK)]
         phrases = self._parse(lanes)
         total = np.stack([np.bincount(owner, row, len(found)) for row in phrases], 1) if lanes else np.zeros((len(found), len(self.names)))
-        return known, total * np.array(self.weights) / np.maximum(size, 1)[:, None]
+        return known, total * np.array(self.weights) / np.maximum(chars, 1)[:, None]
 
     def _parse(self, lanes: list[np.ndarray]) -> np.ndarray:
         """Phrases of each lane, by language; lanes are walked together, the longest first."""
@@ -112,14 +134,14 @@ class Parser:
         grid = np.zeros((int(length.max()), len(lanes)), np.uint8)
         for column, lane in enumerate(order):
             grid[: length[lane], column] = lanes[lane]
-        roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, len(lanes), 1)
         active = np.searchsorted(-length[order], -np.arange(len(grid)), side="left")
-        for at, alive in enumerate(active):
-            went = self.table[state[:, :alive] + grid[at, :alive]]
-            count[:, :alive] += went >> _ENDED
-            state[:, :alive] = went & _NEXT
-        count += state != roots
+        for table, local, phrases in zip(self.tables, self.local, count, strict=True):
+            own, state = local[grid], np.zeros(len(lanes), np.int32)
+            for at, alive in enumerate(active):
+                went = table[state[:alive] + own[at, :alive]]
+                phrases[:alive] += went >> _ENDED
+                state[:alive] = went & _NEXT
+            phrases += state != 0
         out = np.empty_like(count)
         out[:, order] = count
         return out

@@ -77,6 +77,20 @@ def test_language(docs, nothing):
     assert langid.Parser({"en": "abc"}).predict(["abc"])[1][0] == 1
 
 
+def test_language_of_many_scripts():
+    """Languages whose letters do not all have a symbol each: none is merged, and texts are told apart."""
+    rng = np.random.default_rng(8)
+    words = lambda a, n, k: [" ".join("".join(chr(a + c) for c in rng.integers(0, n, 3)) for _ in range(60)) for _ in range(k)]
+    starts = {"ru": (0x430, 32), "ka": (0x10D0, 33), "hy": (0x561, 38), "am": (0x1200, 70), "zh": (0x4E00, 900), "zh2": (0x5E00, 900), "ko": (0xAC00, 900), "en": (0x61, 26)}
+    samples = {name: " ".join(words(a, n, 12)) for name, (a, n) in starts.items()}
+    parser = langid.Parser(samples)
+    letters = {c for text in samples.values() for c in text if c != " "}
+    assert len({parser.symbols(c).tobytes() for c in letters}) == len(letters) > 2000
+    for name, (a, n) in starts.items():
+        assert parser.predict(words(a, n, 5))[0] == [name] * 5
+    assert all(len(t) <= 1 << 29 for t in parser.tables)
+
+
 def test_parse_of_blocks_against_plain_search():
     samples = {"en": "the cat sat on the mat", "de": "der hund sass auf der matte"}
     parser, text = langid.Parser(samples), "the hund sat zzq auf the mat der"
