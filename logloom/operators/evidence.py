@@ -35,7 +35,7 @@ LISTS = (  # kind of evidence, output list, cap
 
 def of_any_branch(commits: DataFrame) -> DataFrame:
     """The commits of each branch, and all of a repository once more under the branch '' of events that name none."""
-    anywhere = commits.where("branch <> ''").dropDuplicates(["repo", "sha"]).withColumn("branch", F.lit(""))
+    anywhere = commits.dropDuplicates(["repo", "sha"]).withColumn("branch", F.lit(""))
     return commits.where("branch <> ''").unionByName(anywhere)
 
 

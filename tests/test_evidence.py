@@ -36,6 +36,12 @@ def impact(spark, commits, files, *payloads):
     return signed, signatures, candidates
 
 
+def test_commits_without_a_branch_meet_events_that_name_none(spark):
+    rows = [(REPO, "main", "a"), (REPO, None, "b"), (REPO, "", "c"), (REPO, "dev", "a")]
+    found = evidence.of_any_branch(spark.createDataFrame(rows, "repo string, branch string, sha string")).collect()
+    assert sorted((r.branch, r.sha) for r in found) == [("", "a"), ("", "b"), ("", "c"), ("dev", "a"), ("main", "a")]
+
+
 def test_the_fifth_of_ten_diffs_wins(spark, commits, files):
     signed, signatures, found = impact(spark, commits, files, '{"message":"PaymentError in src/app/pay.py line 3"}')
     top = evidence.top_candidates(found, commits).orderBy("rank").first()
