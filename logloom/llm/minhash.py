@@ -33,6 +33,8 @@ from logloom.llm.common import checkpointed, no_text, salted_join
 
 #: Words of a shingle, share of common shingles that links, bands and coordinates of a band.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 28, 6
+#: The same at the pipeline's bound of 0.8, where 28 bands of 6 miss 2.0e-4 of the links and these 1.4e-6.
+STAGE_BANDS, STAGE_ROWS = 34, 5
 #: Parts that the members compared with one leader are dealt over; shingles whose signatures are worked out at once.
 LEADER_PARTS, GROUP_SHINGLES = 32, 30_000
 #: Classes of a block of the second pass; standard deviations of an agreement that are allowed for.
@@ -306,7 +308,10 @@ def _linked_in_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: in
     return ready.mapInArrow(_linked(words, percent, bands, rows), "a binary, b binary")
 
 
-def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text",
+    bands: int = STAGE_BANDS, rows: int = STAGE_ROWS,
+) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row of least id stays, rows without words stay.
 
     Needs a written table (a stage's input), as the rows are numbered to tell repeated ones apart.
@@ -315,7 +320,7 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, d
 
     numbered = checkpointed(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row_key")))
     flat = numbered.select(F.col("row_key").alias("doc_id"), F.col(f"doc.{text}").alias("text"), F.col(f"doc.{doc_id}").alias("own_id"))
-    groups = near_duplicates(flat.select("doc_id", "text"), words=words, percent=percent)
+    groups = near_duplicates(flat.select("doc_id", "text"), words=words, percent=percent, bands=bands, rows=rows)
     ids = flat.select(F.col("doc_id").alias("row_key"), "own_id")
     found = groups.select(F.col("doc_id").alias("row_key"), "component_id", F.col("class").isNull().alias("alone")).join(ids, "row_key")
     first = found.where("NOT alone").groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", "row_key")).alias("least"))

@@ -39,6 +39,13 @@ def test_minhash(docs, nothing):
     assert minhash.one_of_each(nothing).count() == 0
 
 
+def test_bands_of_the_stage_at_its_bound():
+    import inspect
+
+    chosen = {n: p.default for n, p in inspect.signature(minhash.one_of_each).parameters.items()}
+    assert (1 - (chosen["percent"] / 100) ** chosen["rows"]) ** chosen["bands"] < 2e-6
+
+
 def test_minhash_of_a_large_group_against_brute_force(spark):
     """Copies with more and more changes: chains of links, pairs just above and below the bound."""
     rng = np.random.default_rng(5)
