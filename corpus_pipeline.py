@@ -14,9 +14,15 @@ from logloom.session import ship_package
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no text, no letter) go; ``lang`` becomes the predicted one."""
+    """Documents whose language cannot be told (no text, no letter) go; ``lang`` becomes the predicted one.
+
+    Where no language could be learned, all documents stay as they are.
+    """
     ship_package(spark)
-    found = langid.judged(docs, langid.learned_from(docs)).where(f"verdict.lang_pred <> '{langid.UNDETERMINED}'")
+    samples = langid.learned_from(docs)
+    if not samples:
+        return docs
+    found = langid.judged(docs, samples).where(f"verdict.lang_pred <> '{langid.UNDETERMINED}'")
     return found.select(F.col("doc").withField("lang", F.col("verdict.lang_pred")).alias("doc")).select("doc.*")
 
 

@@ -372,5 +372,10 @@ def test_stages(spark, docs, nothing, stage):
         assert {r.doc_id for r in rows} <= {1, 2, 3, 4, 5, 6, None, 8, 9}
 
 
+def test_language_stage_without_labels_keeps_all(spark, docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, "/nowhere").count() == docs.count()
+
+
 def test_queries_cover_the_operators():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
