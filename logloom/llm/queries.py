@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import ann, chat, imatch, langid, minhash, mixing, packing, secret_scan, url_filter, warc
+from logloom.llm import align, ann, chat, imatch, langid, minhash, mixing, mtree, packing, repair, secret_scan, url_filter, warc
 from logloom.llm.common import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +223,31 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(given(spark, folder, "documents"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    return align.linked(given(spark, folder, "documents"), show=digest).withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.top_k(given(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repaired(given(spark, folder, "conversations"), repair.damaged).withColumnRenamed("key", "conv_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secrets": op2_secrets,
@@ -234,5 +259,8 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
     "op6_minhash": op6_minhash,
     "op7_language": op7_language,
+    "op11_alignment": op11_alignment,
+    "op12_top_products": op12_top_products,
+    "op13_repair": op13_repair,
 }
-ORACLE: dict[str, str] = {"op1_url_filter": _url_sql(), "op3_imatch": _imatch_sql(), "op4_mixture": OP4_SQL, "op5_chat": OP5_SQL, "op6_minhash": OP6_SQL, "op8_warc": OP8_SQL}
+ORACLE: dict[str, str] = {"op1_url_filter": _url_sql(), "op3_imatch": _imatch_sql(), "op4_mixture": OP4_SQL, "op5_chat": OP5_SQL, "op6_minhash": OP6_SQL, "op8_warc": OP8_SQL, "op12_top_products": OP12_SQL}
