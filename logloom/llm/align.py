@@ -38,7 +38,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logloom.llm.common import checkpointed, kept
 
 #: Characters of a block, bytes of a lane, segments a worker remembers, and the largest group whose links are written out one by one.
-BLOCK, LANE, KNOWN, SMALL = 4_000_000, 1024, 300_000, 4096
+BLOCK, LANE, KNOWN, SMALL = 1_000_000, 1024, 200_000, 4096
+#: Characters of segments that are encoded in a row, and rows that are encoded at once.
+ROW, AT_ONCE = 2000, 100
 #: Longest segment that is remembered after its block.
 LONGEST = 48
 # Python's white space holds all that A's pre-tokenizer takes as such.
@@ -52,6 +54,23 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
+def _joins(segment: str) -> bool:
+    """Whether a further segment may follow in one text: there is a place to break behind it, and B keeps its bytes."""
+    return segment != "" and not segment[-1].isspace() and "▁" not in segment
+
+
+def _rows(segments: list[str]) -> Iterator[list[str]]:
+    row, chars = [], 0
+    for segment in segments:
+        row.append(segment)
+        chars += len(segment)
+        if chars >= ROW:
+            yield row
+            row, chars = [], 0
+    if row:
+        yield row
+
+
 class Side:
     """One tokenizer: the bytes of its tokens and the ids of segments."""
 
@@ -60,15 +79,27 @@ class Side:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.ids, self.first = array("i"), array("q", [0])
 
-    def add(self, segments: list[str]) -> list[bool]:
-        """Remember the ids of segments; tells which of them come back as their own bytes."""
+    def add(self, segments: list[str], joined: bool) -> list[bool]:
+        """Remember the ids of segments, encoded in rows of many where they may be joined; tells which come back as their own bytes."""
         right = []
-        for segment, ids in zip(segments, self.encoded(segments), strict=True):
-            self.ids.extend(ids)
-            self.first.append(len(self.ids))
-            right.append(b"".join([self.tokens[i] for i in ids]) == b" " + segment.encode())
+        rows = list(_rows(segments)) if joined else [[s] for s in segments]
+        for start in range(0, len(rows), AT_ONCE):
+            some = rows[start : start + AT_ONCE]
+            for row, ids in zip(some, self.encoded([" ".join(r) for r in some]), strict=True):
+                right += self._remembered(row, ids)
         return right
 
+    def _remembered(self, row: list[str], ids: list[int]) -> list[bool]:
+        whole = b"".join([self.tokens[i] for i in ids]) == b" " + " ".join(row).encode()
+        ends, wanted = np.cumsum(self.sizes[ids]), np.cumsum([len(s.encode()) + 1 for s in row])
+        after = np.searchsorted(ends, wanted) + 1 if whole else wanted
+        if len(row) > 1 and not (whole and np.array_equal(ends[after - 1], wanted)):
+            return [r for s in row for r in self._remembered([s], self.encoded([s])[0])]
+        base = len(self.ids)
+        self.ids.extend(ids)
+        self.first.extend((after + base).tolist() if whole else [len(self.ids)])
+        return [whole] * len(row)
+
     def forget(self) -> None:
         self.ids, self.first = array("i"), array("q", [0])
 
@@ -248,11 +279,10 @@ class Aligner:
             self.b.forget()
         known = self.known
         new = [s for s in dict.fromkeys(chain.from_iterable(parts)) if s not in known]
-        for segment in new:
-            known[segment] = len(known)
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            self.right += [x and y for x, y in zip(self.a.add(some), self.b.add(some), strict=True)]
+        for joined in (True, False):
+            some = [s for s in new if _joins(s) == joined]
+            known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
+            self.right += [x and y for x, y in zip(self.a.add(some, joined), self.b.add(some, joined), strict=True)]
         block = Block(self.a, self.b, [[known[s] for s in p] for p in parts], np.array(self.right, bool), lane)
         if sum(len(s) > LONGEST for s in new) > 1000 or any(len(s) > 1 << 16 for s in new):  # long ones are not worth keeping
             self.known, self.right = {}, []
