@@ -37,7 +37,7 @@ from logloom.llm.common import checkpointed
 from logloom.operators.indexing import with_order_index
 
 #: Entries of a page, of a node, routing objects of the root per length of vectors, lengths with own routing objects, queries per copy of a page.
-PAGE, NODE, ROOT, LENGTHS, ASKED = 8192, 128, 256, 16, 8192
+PAGE, NODE, ROOT, LENGTHS, ASKED = 8192, 512, 256, 16, 8192
 SLACK = 1e-6
 NO_ID = np.iinfo(np.int64).max
 
@@ -116,20 +116,20 @@ class Tree:
             if node.children is None:
                 # Entries are in order of their parent distance, so those within the bound are a run.
                 places = node.places[np.searchsorted(node.far, to_pivot - bound) : np.searchsorted(node.far, to_pivot + bound, "right")]
-                if not len(places):
-                    continue
                 scores = self.vectors[places] @ query
                 self.computed += len(places)
-                keep = distance(scores.astype(float)) <= bound
-                keep &= ~((self.first[places] == own) & (self.second[places] == NO_ID))
+                keep = np.flatnonzero(scores >= worst)
+                keep = keep[(self.first[places[keep]] != own) | (self.second[places[keep]] != NO_ID)]
+                if not len(keep):
+                    continue
                 places, scores = np.concatenate([best_places, places[keep]]), np.concatenate([best_scores, scores[keep]])
-                if len(places) > k:
+                if len(places) >= k:
                     ids = np.where(self.first[places] == own, self.second[places], self.first[places])
                     order = np.lexsort((ids, -scores))[:k]
                     places, scores = places[order], scores[order]
+                    worst = scores[-1]
+                    bound = min(bound, float(distance(float(worst))) + slack)
                 best_places, best_scores = places, scores
-                if len(places) == k:
-                    bound = min(bound, float(distance(float(scores.min()))) + slack)
                 continue
             near = np.abs(to_pivot - node.far) - np.array([c.radius for c in node.children]) <= bound
             for at in np.flatnonzero(near):
