@@ -107,6 +107,16 @@ def line_count(text: Column | str) -> Column:
     return F.when(F.length(value) == 0, 0).otherwise(breaks + F.when(value.endswith("\n"), 0).otherwise(1))
 
 
+# Line ends as in Python's str.splitlines.
+LINE_END = r"(?:\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029])"
+
+
+def text_lines(text: Column | str) -> Column:
+    """The lines of a text; a line end at the very end opens no further line, and null has no lines."""
+    value = F.coalesce(as_column(text), F.lit(""))
+    return F.when(value == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(value, LINE_END + r"\z", ""), LINE_END, -1))
+
+
 def commit_sha(value: Column | str) -> Column:
     """The longest run of 7 to 40 hex digits, the first of equals, or empty text."""
     found = F.regexp_extract_all(F.coalesce(as_column(value), F.lit("")), F.lit(UNICODE + r"\b([0-9a-fA-F]{7,40})\b"), 1)
