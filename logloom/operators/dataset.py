@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom import domain
 from logloom.functions.labels import label_id, normalize_label
 from logloom.functions.text import sanitize_cell, template_group
+from logloom.operators.indexing import with_order_index
+from logloom.session import checkpointed
 
 
 def label_rows_table(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -64,11 +66,22 @@ def dataset_profile(df: DataFrame, label: str = "class") -> DataFrame:
     )
 
 
-def row_digest(columns: Sequence[str]) -> Column:
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]
+def row_digest(columns: Sequence[str | Column]) -> Column:
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\x00")) for c in columns]
     return F.md5(F.concat_ws("\x1f", *parts).cast("binary"))
 
 
+def row_numbers(columns: Sequence[str | Column]) -> list[Column]:
+    """Two 60-bit numbers of a row; their sums over a table do not depend on the order of its rows."""
+    digest = row_digest(columns)
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+
+
+def content_id(columns: Sequence[str], rows: Column, first: Column, second: Column) -> Column:
+    """The id of a table from its columns, its number of rows and the sums of their numbers, all as text."""
+    return F.sha2(F.concat_ws("|", F.lit(",".join(columns)), rows, first, second), 256)
+
+
 def dataset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Content id of a table that does not depend on the order of its rows.
 
@@ -76,15 +89,13 @@ def dataset_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) ->
     folded into one hash. One aggregation with partial sums, no sort.
     """
     columns = list(columns or df.columns)
-    digest = row_digest(columns)
-    numbers = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+    numbers = row_numbers(columns)
     sums = df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(numbers[0]), F.lit(0)).cast("string").alias("s1"),
         F.coalesce(F.sum(numbers[1]), F.lit(0)).cast("string").alias("s2"),
     )
-    content = F.concat_ws("|", F.lit(",".join(columns)), F.col("row_count").cast("string"), "s1", "s2")
-    return sums.select(F.sha2(content, 256).alias("data_version_id"), "row_count")
+    return sums.select(content_id(columns, F.col("row_count").cast("string"), F.col("s1"), F.col("s2")).alias("data_version_id"), "row_count")
 
 
 def preview(df: DataFrame, order: Sequence[str], rows: int = 100, cell_chars: int = 200) -> DataFrame:
@@ -119,3 +130,36 @@ def split_report(df: DataFrame, split: str = "split", group: str = "template_gro
         .unionByName(groups.select(split, F.lit("template_groups").alias("item"), none.alias("key"), "n"))
         .unionByName(per_label.select(split, F.lit("label").alias("item"), F.col(label).alias("key"), "n"))
     )
+
+
+def ordered_fingerprint(df: DataFrame, order: Sequence[str | Column], columns: Sequence[str] | None = None, fan: int = 4096) -> DataFrame:
+    """Content id of a table that depends on the order of its rows, and on nothing else: data_version_id, row_count.
+
+    Rows are numbered over all tasks. The digests of ``fan`` rows in a row make up a block's, those of ``fan``
+    blocks the next one's, until one is left, so no task sees more than ``fan`` digests and the id is the same for
+    any partitioning. Rows that are equal in ``order`` must be equal in ``columns`` for the id to be fixed.
+    """
+    columns = list(columns or df.columns)
+    named = all(isinstance(c, str) for c in order)
+    digested = df.select(*(order if named else df.columns), row_digest(columns).alias("digest"))
+    rows = with_order_index(digested, list(order), name="place").select("place", "digest")
+    # Blocks of rows are written, as their number tells how many levels there are.
+    level = checkpointed(_block_digests(rows, fan).withColumn("rows", F.col("n")).drop("n"))
+    total = level.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("blocks")).first()
+    blocks, top = total["blocks"], level.select("place", "digest")
+    while blocks > 1:
+        top, blocks = _block_digests(top, fan).drop("n"), -(-blocks // fan)
+    head = F.concat_ws("|", F.lit(",".join(columns)), F.lit(str(total["row_count"])), F.coalesce(F.max("digest"), F.lit("")))
+    return top.agg(F.sha2(head, 256).alias("data_version_id")).withColumn("row_count", F.lit(total["row_count"]).cast("bigint"))
+
+
+def _block_digests(rows: DataFrame, fan: int) -> DataFrame:
+    inside = F.array_sort(F.collect_list(F.struct("place", "digest")))
+    digest = F.sha2(F.array_join(F.transform(inside, lambda r: r["digest"]), ""), 256)
+    return rows.groupBy(F.floor(F.col("place") / fan).alias("block")).agg(digest.alias("digest"), F.count(F.lit(1)).alias("n")).withColumnRenamed("block", "place")
+
+
+def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """The sha256 of each file's bytes, and its size. A file is read as one value, so it may have 2 GB at most; empty files are not listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("_metadata.file_name").alias("source_file"), F.sha2("content", 256).alias("file_sha256"), F.col("length").alias("bytes"))

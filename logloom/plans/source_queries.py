@@ -12,9 +12,10 @@ from logloom.plans.quality_queries import fingerprint_sql
 from logloom.plans.registry import query
 from logloom.plans.service_queries import BASE, EVENTS, SIDECARS, feedback_tables
 from logloom.plans.tables import derived, given, with_tables
+from logloom.plans.triage_queries import INCIDENTS
 from logloom.session import scratch_path
 from logloom.sources import readers, records, sinks
-from logloom.streaming import jobs
+from logloom.streaming import feedback_versions, incidents, jobs
 
 
 def raw_lines(df, path, header=None):
@@ -105,6 +106,17 @@ def _(spark, sf):
     return back.withColumn("predicted_label", F.nullif("predicted_label", F.lit("")))
 
 
+@query("latest_reports", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 1) AS in_copy FROM orders GROUP BY o_custkey")
+def _(spark, sf):
+    """Reports in two writes: the newest of each key from both, and the copy of the last write."""
+    root = scratch_path(spark, "reports")
+    orders = given(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    for half in (0, 1):
+        sinks.write_report_with_latest(orders.where(F.col("o_orderkey") % 2 == half), root)
+    copied = spark.read.json(f"{root}/latest").count()
+    return sinks.latest_reports(spark, root, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", F.lit(copied).cast("bigint").alias("in_copy"))
+
+
 @query("lineage_round_trip", f"""SELECT dataset_id, pipeline_id, 'b' || parent_run_id AS parent_run_id FROM ({SIDECARS.format(customer='customer')})""")
 def _(spark, sf):
     path = scratch_path(spark, "lineage")
@@ -182,6 +194,34 @@ def _(spark, sf):
     return jobs.newest_dataset(spark, root)
 
 
+def feedback_versions_of(spark, sf):
+    """The corrections in two halves of the month, as versions of the base."""
+    base, events = feedback_tables(spark, sf)
+    root, source, check = (scratch_path(spark, n) for n in ("versions", "corrections", "check"))
+    for late in (False, True):
+        events.where((F.dayofmonth("received_at") > 15) == F.lit(late)).write.mode("append").parquet(source)
+        feedback_versions.stream_feedback_versions(spark.readStream.schema(events.schema).parquet(source), base, root, check).awaitTermination()
+    return root
+
+
+@query("feedback_versions", with_tables(f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY received_at, event_id) AS version FROM ({EVENTS}))
+  SELECT version, event_id, CASE WHEN row_number() OVER (PARTITION BY message ORDER BY version) > 1 OR message IN (SELECT message FROM ({BASE})) THEN 'corrected' ELSE 'appended' END AS action,
+    (SELECT count(*) FROM ({BASE})) + CAST(sum(CASE WHEN message IN (SELECT message FROM ({BASE})) OR (message, version) NOT IN (SELECT message, min(version) FROM e GROUP BY 1) THEN 0 ELSE 1 END) OVER (ORDER BY version) AS BIGINT) AS row_count FROM e""", "messages"))
+def _(spark, sf):
+    return feedback_versions.versions(spark, feedback_versions_of(spark, sf)).where("version > 0").select("version", "event_id", "action", "row_count")
+
+
+@query("read_feedback_version", with_tables(f"""WITH e AS (SELECT *, row_number() OVER (ORDER BY received_at, event_id) AS version FROM ({EVENTS})),
+  latest AS (SELECT message, max_by(CASE correct_label WHEN 'noise' THEN 'Noise' ELSE correct_label END, version) AS correct_label FROM e WHERE version <= (SELECT count(*) // 2 FROM e) GROUP BY 1)
+  SELECT b.message, coalesce(l.correct_label, b.class) AS class FROM ({BASE}) b LEFT JOIN latest l USING (message) UNION ALL SELECT message, correct_label FROM latest WHERE message NOT IN (SELECT message FROM ({BASE}))""", "messages"))
+def _(spark, sf):
+    """The version after half of the feedback, read from a snapshot after a quarter of it."""
+    root = feedback_versions_of(spark, sf)
+    count = feedback_versions.versions(spark, root).count() - 1
+    feedback_versions.compact(spark, root, count // 4)
+    return feedback_versions.read_version(spark, root, count // 2)
+
+
 ERROR_KEYS = f"SELECT DISTINCT {duck.fold(duck.collapse(duck.summary(chr(39) + 'Incident: ' + chr(39) + ' || message')))} AS summary_key FROM errors"
 
 
@@ -195,6 +235,19 @@ def _(spark, sf):
     return spark.read.parquet(target).select("summary_key")
 
 
+@query("stream_incident_operations", with_tables(f"WITH {INCIDENTS} SELECT event_id, summary, issue_key, operation FROM opened", "errors", "issues"))
+def _(spark, sf):
+    """The errors come in by thirds of the month, with a restart between; known issues are the first state."""
+    rows = derived(spark, sf, "errors").select("event_id", "received_at", "message")
+    issues = derived(spark, sf, "issues")
+    source, target, check = (scratch_path(spark, n) for n in ("errors", "incidents", "check"))
+    for third in range(3):
+        day = F.dayofmonth("received_at")
+        rows.where((day > 10 * third) & ((day <= 10 * third + 10) | F.lit(third == 2))).write.mode("append").parquet(source)
+        incidents.stream_incidents(spark.readStream.schema(rows.schema).parquet(source), target, check, issues).awaitTermination()
+    return incidents.incident_operations(rows, incidents.incidents(spark, target))
+
+
 @query("stream_incident_reuse", with_tables(f"SELECT day, summary_key, n - CASE WHEN day = min(day) OVER (PARTITION BY summary_key) THEN 1 ELSE 0 END AS reused FROM (SELECT CAST(CAST(received_at AS DATE) AS VARCHAR) AS day, {duck.fold(duck.collapse(duck.summary(chr(39) + 'Incident: ' + chr(39) + ' || message')))} AS summary_key, count(*) AS n FROM errors GROUP BY ALL)", "errors"))
 def _(spark, sf):
     rows = derived(spark, sf, "errors").select(F.col("received_at").alias("ts"), "message")
@@ -210,4 +263,15 @@ def _(spark, sf):
     target, ledger, check = (scratch_path(spark, n) for n in ("flush", "ledger", "check"))
     for day in ("2024-02-01", "2024-02-02", "2024-02-02"):
         jobs.daily_flush(stream, target, ledger, check, day)
-    return spark.read.parquet(ledger)
+    return jobs.flush_ledger(spark, ledger)
+
+
+@query("daily_flush_payloads", "SELECT CAST(CAST(l AS DATE) + CASE WHEN CAST(l AS TIME) <= TIME '18:00:00' THEN 0 ELSE 1 END AS VARCHAR) AS batch_date, props AS payload FROM (SELECT props, timezone('Europe/Berlin', timezone('UTC', ts)) AS l FROM events)")
+def _(spark, sf):
+    """The events come in twice as two halves; both flushes together hold each payload once."""
+    rows = given(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("received_at"), F.col("props").alias("payload"), "event_id")
+    source, target, ledger, check = (scratch_path(spark, n) for n in ("incoming", "flush", "ledger", "check"))
+    for half, day in enumerate(("2024-02-01", "2024-02-02")):
+        rows.where(F.col("event_id") % 2 == half).write.mode("append").parquet(source)
+        jobs.daily_flush(spark.readStream.schema(rows.schema).parquet(source), target, ledger, check, day, "18:00", "Europe/Berlin")
+    return spark.read.schema("value string, batch_date string").text(target).select("batch_date", F.col("value").alias("payload"))

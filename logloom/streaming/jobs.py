@@ -7,8 +7,9 @@ writes, a target; ``available_now`` makes it an incremental job that ends.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from logloom.functions.text import batch_date, match_text
@@ -33,16 +34,53 @@ def write_daily_batches(events: DataFrame, target: str, checkpoint: str, cutoff:
     return _start(writer, available_now)
 
 
+def _mark(spark: SparkSession, ledger: str, what: str, batch_id: int, day: str, messages: int) -> None:
+    spark.createDataFrame([(day, messages)], "day string, messages bigint").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/{what}/micro_batch={batch_id}")
+
+
+def _flushed(target: str, ledger: str, day: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch step of the flush: note the day, write the payloads, note how many there were.
+
+    All three overwrite what an earlier try of the same micro-batch left. The day is that of the first try, so
+    payloads that were written before a crash stay with the day that took them.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        begun = sinks.table_or_none(spark, f"{ledger}/begun")
+        known = begun.where(F.col("micro_batch") == batch_id).first() if begun is not None else None
+        of_day = known["day"] if known else day
+        if not known:
+            _mark(spark, ledger, "begun", batch_id, of_day, 0)
+        taken = Observation()
+        batch.observe(taken, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("batch_date").text(f"{target}/micro_batch={batch_id}")
+        _mark(spark, ledger, "done", batch_id, of_day, taken.get["n"])
+
+    return step
+
+
 def daily_flush(events: DataFrame, target: str, ledger: str, checkpoint: str, day: str, cutoff: str = "00:00", zone: str = "UTC") -> None:
-    """One run of the daily job: take what has come in, then mark the day as done, empty or not."""
-    query = write_daily_batches(events, target, checkpoint, cutoff, zone)
-    query.awaitTermination()
-    taken = sum(int(p.get("numInputRows", 0)) for p in query.recentProgress)
+    """One run of the daily job: take what has come in, then mark the day as done, empty or not.
+
+    The ledger is written with each micro-batch, before the stream commits it: a run that stops halfway leaves no day
+    marked, and the next one does its open micro-batch again, under the day that began it.
+    """
+    dated = events.select(F.col("payload").alias("value"), batch_date("received_at", cutoff, zone).alias("batch_date"))
+    _start(dated.writeStream.foreachBatch(_flushed(target, ledger, day)).option("checkpointLocation", checkpoint), True).awaitTermination()
     spark = events.sparkSession
-    done = sinks.table_or_none(spark, ledger)
+    done = sinks.table_or_none(spark, f"{ledger}/done")
     if done is None or done.where(F.col("day") == day).isEmpty():
-        status = "queued" if taken else "empty"
-        spark.createDataFrame([(day, status, taken)], "day string, status string, messages bigint").write.mode("append").parquet(ledger)
+        spark.createDataFrame([(day,)], "day string").write.mode("append").parquet(f"{ledger}/empty")
+
+
+def flush_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    """Per day that was flushed: ``queued`` with its messages, or ``empty``."""
+    parts = [sinks.table_or_none(spark, f"{ledger}/{what}") for what in ("done", "empty")]
+    rows = [p.select("day", (F.col("messages") if "messages" in p.columns else F.lit(0).cast("bigint")).alias("messages")) for p in parts if p is not None]
+    if not rows:
+        return spark.createDataFrame([], "day string, status string, messages bigint")
+    whole = reduce(DataFrame.unionByName, rows).groupBy("day").agg(F.sum("messages").alias("messages"))
+    return whole.select("day", F.when(F.col("messages") > 0, "queued").otherwise("empty").alias("status"), "messages")
 
 
 def daily_counts(predictions: DataFrame, watermark: str = LATE) -> DataFrame:

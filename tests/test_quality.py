@@ -87,3 +87,22 @@ def test_valid_rows_only(spark):
     assert [(r["message"], r["class"], r["label"]) for r in dataset.valid_labeled(rows).collect()] == [("a", "Error", 0)]
     with pytest.raises(ValueError):
         dataset.valid_labeled(rows.where("message = 'b'"), check=True)
+
+
+def test_ordered_fingerprint_follows_the_order_and_not_the_partitions(spark):
+    rows = spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    of = lambda df, fan=8: dataset.ordered_fingerprint(df, ["id"], ["text"], fan).first()
+    whole = of(rows)
+    assert whole["row_count"] == 1000 and all(of(rows.repartition(n)) == whole for n in (1, 7, 40))
+    swapped = rows.withColumn("id", F.when(F.col("id") == 500, 501).when(F.col("id") == 501, 500).otherwise(F.col("id")))
+    assert of(swapped) != whole and dataset.dataset_fingerprint(swapped, ["text"]).first() == dataset.dataset_fingerprint(rows, ["text"]).first()
+    assert of(rows.where("id < 999")) != whole and of(rows.limit(0))["row_count"] == 0 and of(rows.limit(1))["row_count"] == 1
+
+
+def test_file_fingerprints_are_those_of_the_bytes(spark, tmp_path):
+    import hashlib
+
+    for name, data in (("a.csv", b"x,y\r\n1,2\n"), ("b.bin", bytes(range(256)))):
+        (tmp_path / name).write_bytes(data)
+    got = {r["source_file"]: (r["file_sha256"], r["bytes"]) for r in dataset.file_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {p.name: (hashlib.sha256(p.read_bytes()).hexdigest(), p.stat().st_size) for p in tmp_path.iterdir()}
