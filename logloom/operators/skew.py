@@ -17,6 +17,7 @@ def spread_join(
     how: str = "inner",
     hot_rows: int = 500_000,
     strategy: str | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` with ``few`` (inner or left) and split hot keys of ``many``.
 
@@ -28,12 +29,13 @@ def spread_join(
     ``rows / hot_rows`` rows and is broadcast, so no look-up of a hot key
     shuffles its rows. ``strategy`` is a join hint for
     work that is heavy per joined row: with ``merge`` the rows of ``many`` are
-    spread by key and part and never sent to where the few are.
+    spread by key and part and never sent to where the few are. ``counts`` gives the
+    rows of each key as ``__n`` where they are known, which saves a pass over ``many``.
     """
     on = list(on)
+    counted = many.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")) if counts is None else counts
     hot = (
-        many.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        counted
         .where(F.col("__n") > hot_rows)
         .select(*on, F.ceil(F.col("__n") / hot_rows).cast("int").alias(COPIES))
     )

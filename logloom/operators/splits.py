@@ -1,88 +1,196 @@
 """Train / held-out splits and folds that never part rows of one template group.
 
-Groups are gathered in a bounded number of buckets; only the bucket table
-(buckets x labels) is decided on the driver, whatever the number of rows or
-groups. A bucket follows from the group's text alone, so the rows get their
-side by one broadcast look-up of at most ``max_buckets`` rows and no shuffle.
+The choice is made over template groups, whatever their number. Groups of equal counts per label can stand for
+each other, so they are one class: a class is decided by how many of its groups go to which side, and those
+are the first ones by a seeded hash. Small counts are classes of their own; large ones are told apart by their leading bits, and the
+class then counts with its mean until its chosen groups are summed. The driver sees the classes only, at most
+``max_classes`` of them; groups are ranked within their class over all tasks. A null label is a label like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.functions.text import template_group
+from logloom.operators.indexing import with_order_index
+from logloom.operators.skew import spread_join
 from logloom.session import checkpointed
 
 GROUP = "template_group"
+#: Leading bits that tell large counts apart, finest first; with none, groups are told apart by their main label and size.
+BITS = (5, 3, 2, 1)
+#: Above so many groups and classes, all orders and all exchanges of two groups are not tried.
+FEW_GROUPS, FEW_CLASSES = 20_000, 400
 
 
 class SplitImpossible(ValueError):
     """No split without a leak and with two non-empty sides exists."""
 
 
-def _bucket(seed: int, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), GROUP), F.lit(buckets)).cast("string")
-
-
-def bucket_table(df: DataFrame, label: str, seed: int, max_buckets: int) -> tuple[list[str], np.ndarray, list[str]]:
-    """Names of the buckets, their rows per label, and the labels; one rule for any number of groups."""
-    rows = df.groupBy(_bucket(seed, max_buckets).alias("bucket"), label).agg(F.count(F.lit(1)).alias("n")).collect()
-    names = sorted({r["bucket"] for r in rows})
-    labels = sorted({r[label] for r in rows})
-    counts = np.zeros((len(names), len(labels)))
-    at, column = {b: i for i, b in enumerate(names)}, {x: i for i, x in enumerate(labels)}
-    for r in rows:
-        counts[at[r["bucket"]], column[r[label]]] += r["n"]
-    return names, counts, labels
-
-
-def choose_heldout(counts: np.ndarray, ratio: float, seed: int) -> np.ndarray:
-    """Buckets to hold out: the one that lowers the cost most is added until none does.
-
-    The cost is the squared relative error of the held-out size plus that of each label.
-    """
-    target = counts.sum(axis=0) * ratio
+@dataclass
+class Classes:
+    """The classes of groups: name, number of groups, mean counts per label, and whether all groups have these counts."""
+
+    names: list[str]
+    groups: np.ndarray
+    means: np.ndarray
+    exact: np.ndarray
+    labels: list
+    table: DataFrame  # template_group, counts, rows, class, place
+
+    @property
+    def totals(self) -> np.ndarray:
+        return (self.means * self.groups[:, None]).sum(axis=0)
+
+
+def _leading(n: Column, bits: int) -> Column:
+    """The count with all but its leading bits cleared; counts below 2^bits as they are."""
+    drop = F.greatest(F.length(F.bin(n)) - bits, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", n, drop), drop)
+
+
+def _class(counts: Column, labels: int, bits: int) -> Column:
+    """The name of a group's class."""
+    if bits:
+        return F.concat_ws(",", F.transform(counts, lambda n: _leading(n, bits).cast("string")))
+    most = F.array_max(F.transform(counts, lambda n, i: F.struct(n.alias("n"), (-i).alias("i"))))
+    whole = F.aggregate(counts, F.lit(0).cast("bigint"), lambda done, n: done + n)
+    return F.concat_ws(":", (-most["i"]).cast("string"), _leading(whole, 3).cast("string"))
+
+
+def group_classes(grouped: DataFrame, label: str, seed: int, max_classes: int) -> Classes:
+    """Groups are counted per label, put into classes and ranked in them by a seeded hash; both are written once."""
+    cells = checkpointed(grouped.groupBy(GROUP, label).agg(F.count(F.lit(1)).alias("n")))
+    labels = sorted((r[0] for r in cells.select(label).distinct().collect()), key=lambda x: (x is not None, x))
+    of = [F.coalesce(F.sum(F.when(F.col(label).eqNullSafe(F.lit(x)), F.col("n"))), F.lit(0)) for x in labels]
+    groups = cells.groupBy(GROUP).agg(F.array(*of).alias("counts"), F.sum("n").alias("rows"))
+    sizes = groups.agg(*[F.approx_count_distinct(_class(F.col("counts"), len(labels), b), 0.02).alias(f"b{b}") for b in BITS]).first()
+    bits = next((b for b in BITS if sizes[f"b{b}"] * 1.1 <= max_classes), 0)
+    named = groups.withColumns({"class": _class(F.col("counts"), len(labels), bits), "draw": F.xxhash64(F.lit(seed), GROUP)})
+    table = with_order_index(named, ["draw"], ["class"], "place").drop("draw")
+    sums = [F.sum(F.col("counts")[i]).cast("double").alias(f"s{i}") for i in range(len(labels))]
+    same = (F.min("counts") == F.max("counts")).alias("same")
+    rows = table.groupBy("class").agg(F.count(F.lit(1)).alias("n"), same, *sums).orderBy("class").collect()
+    number = np.array([r["n"] for r in rows], dtype=float)
+    means = np.array([[r[f"s{i}"] for i in range(len(labels))] for r in rows], dtype=float).reshape(len(rows), len(labels)) / number[:, None]
+    return Classes([r["class"] for r in rows], number.astype(int), means, np.array([r["same"] for r in rows], dtype=bool), labels, table)
+
+
+def _cost(target: np.ndarray):
+    """Of held-out counts: the squared relative error of their sum plus that of each label."""
     wanted = target.sum()
-    order = np.random.default_rng(seed).permutation(len(counts))
-    chosen = np.zeros(len(counts), dtype=bool)
 
     def cost(rows: np.ndarray) -> np.ndarray:
         size = ((rows.sum(axis=-1) - wanted) / max(wanted, 1.0)) ** 2
         return size + (((rows - target) / np.maximum(target, 1.0)) ** 2).sum(axis=-1)
 
-    held = np.zeros(counts.shape[1])
-    now = cost(held)
-    while not chosen.all():
-        free = order[~chosen[order]]
-        costs = cost(held + counts[free])
-        best = int(np.argmin(costs))
-        if costs[best] >= now:
-            break
-        chosen[free[best]] = True
-        held, now = held + counts[free[best]], costs[best]
-    return chosen
+    return cost
+
+
+def _added(means: np.ndarray, groups: np.ndarray, target: np.ndarray, start: np.ndarray, order: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class that lowers the cost most gives ``block`` groups, or takes as many back, until none does; then half as many, down to one.
 
+    Single groups are only taken back where blocks came before them.
+    """
+    cost, chosen, held = _cost(target), np.zeros(len(groups), dtype=int), start.astype(float)
+    now, back = float(cost(held)), block > 1
+    while block:
+        while True:
+            free = order[chosen[order] + block <= groups[order]]
+            full = order[chosen[order] >= block] if back else free[:0]
+            if not len(free) + len(full):
+                break
+            costs = cost(np.concatenate([held + block * means[free], held - block * means[full]]))
+            best = int(np.argmin(costs))
+            if costs[best] >= now * (1 - 1e-12):
+                break
+            at, sign = (free[best], 1) if best < len(free) else (full[best - len(free)], -1)
+            chosen[at] += sign * block
+            held, now = held + sign * block * means[at], float(costs[best])
+        block //= 2
+    return chosen, held
+
+
+def _exchanged(chosen: np.ndarray, held: np.ndarray, means: np.ndarray, groups: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One group goes out, or comes in, or both, as long as that lowers the cost."""
+    cost, chosen = _cost(target), chosen.copy()
+    moves = np.vstack([means, np.zeros((1, means.shape[1]))])  # the last one is no group
+    for _ in range(10 * len(groups) + 100):
+        ins, outs = np.append(np.flatnonzero(chosen < groups), len(groups)), np.append(np.flatnonzero(chosen), len(groups))
+        costs = cost(held + moves[ins][:, None, :] - moves[outs][None, :, :])
+        best = np.unravel_index(int(np.argmin(costs)), costs.shape)
+        if costs[best] >= float(cost(held)) - 1e-15:
+            break
+        into, out = ins[best[0]], outs[best[1]]
+        held = held + moves[into] - moves[out]
+        if into < len(groups):
+            chosen[into] += 1
+        if out < len(groups):
+            chosen[out] -= 1
+    return chosen, held
 
-def _look_up(df: DataFrame, names: Sequence[str], values: Sequence, buckets: int, seed: int, name: str, kind: str) -> DataFrame:
-    table = df.sparkSession.createDataFrame(list(zip(names, values)), f"__bucket string, {name} {kind}")
-    # At most ``max_buckets`` rows by construction, so the broadcast is bounded.
-    return df.withColumn("__bucket", _bucket(seed, buckets)).join(F.broadcast(table), "__bucket").drop("__bucket")
 
+def choose_heldout(means: np.ndarray, groups: np.ndarray, target: np.ndarray, seed: int, start: np.ndarray | None = None) -> np.ndarray:
+    """How many groups of each class to hold out, next to what is held (``start``) already.
 
-def grouped_split(df: DataFrame, test_size: float, seed: int = 42, message: str = "message", label: str = "class", max_buckets: int = 1024) -> DataFrame:
+    Groups are added by the greatest gain: one by one where there are few, else in blocks that halve, so the
+    work follows the classes and not the groups. Of several orders the cheapest result counts.
+    """
+    start = np.zeros(len(target)) if start is None else start
+    if not len(groups):
+        return np.zeros(0, dtype=int)
+    few, draw = groups.sum() <= FEW_GROUPS, np.random.default_rng(seed)
+    block = 1 << max(int(groups.max()).bit_length() - 1, 0)
+    found = [_added(means, groups, target, start, draw.permutation(len(groups)), size) for size in ([1] * 6 if few and len(groups) <= FEW_CLASSES else [1] if few else []) + [block]]
+    if len(groups) <= FEW_CLASSES:
+        found += [_exchanged(chosen, held, means, groups, target) for chosen, held in found]
+    cost = _cost(target)
+    return min(found, key=lambda f: float(cost(f[1])))[0]
+
+
+def _picked(classes: Classes, chosen: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """The counts per label of the first ``chosen`` groups of the classes in ``only``."""
+    spark = classes.table.sparkSession
+    known = np.zeros(len(classes.labels))
+    cut = [(classes.names[i], int(chosen[i])) for i in np.flatnonzero(only) if 0 < chosen[i] < classes.groups[i]]
+    for i in np.flatnonzero(only):
+        if chosen[i] == classes.groups[i]:
+            known += classes.means[i] * classes.groups[i]
+    if cut:
+        plan = spark.createDataFrame(cut, "class string, chosen long")  # at most one row per class
+        rows = classes.table.join(F.broadcast(plan), "class").where("place < chosen")
+        known += np.array(rows.agg(*[F.sum(F.col("counts")[i]).cast("double").alias(f"s{i}") for i in range(len(known))]).first(), dtype=float)
+    return known
+
+
+def _sided(grouped: DataFrame, sides: DataFrame, name: str) -> DataFrame:
+    """Rows with the side of their group; the counts of the groups tell which ones are split over several parts."""
+    counts = sides.select(GROUP, F.col("rows").alias("__n"))
+    return spread_join(grouped, sides.select(GROUP, name), [GROUP], counts=counts)
+
+
+def grouped_split(df: DataFrame, test_size: float, seed: int = 42, message: str = "message", label: str = "class", max_classes: int = 20_000) -> DataFrame:
     """Add ``template_group`` and ``split`` (train / heldout); equal groups share a side."""
     grouped = df.withColumn(GROUP, template_group(message))
-    names, counts, _ = bucket_table(grouped, label, seed, max_buckets)
-    if len(names) < 2:
+    classes = group_classes(grouped, label, seed, max_classes)
+    if classes.groups.sum() < 2:
         raise SplitImpossible("a grouped split needs at least two template groups")
-    chosen = choose_heldout(counts, test_size, seed)
-    if not chosen.any() or chosen.all():
+    target = classes.totals * test_size
+    chosen = choose_heldout(classes.means, classes.groups, target, seed)
+    if not classes.exact.all() and chosen[~classes.exact].any():
+        # Classes of unlike groups count with what their chosen groups really hold; the others make up for it.
+        held = _picked(classes, chosen, ~classes.exact)
+        chosen[classes.exact] = choose_heldout(classes.means[classes.exact], classes.groups[classes.exact], target, seed, held)
+    if not chosen.any() or (chosen == classes.groups).all():
         raise SplitImpossible("no choice of groups gives two non-empty sides")
-    sides = ["heldout" if c else "train" for c in chosen]
-    return _look_up(grouped, names, sides, max_buckets, seed, "split", "string")
+    plan = df.sparkSession.createDataFrame([(n, int(c)) for n, c in zip(classes.names, chosen, strict=True)], "class string, chosen long")
+    side = F.when(F.col("place") < F.col("chosen"), "heldout").otherwise("train")
+    # One row per class, of which there are ``max_classes`` at most.
+    return _sided(grouped, classes.table.join(F.broadcast(plan), "class").withColumn("split", side), "split")
 
 
 def stratified_split(df: DataFrame, ratio: float, seed: int = 42, keys: Sequence[str] | None = None, message: str = "message", label: str = "class") -> DataFrame:
@@ -115,40 +223,70 @@ def quota_split(df: DataFrame, ratio: float, seed: int = 42, message: str = "mes
     return found.drop("__row", "__draw", "__range", "__label", "__at", "left", "n", "__held")
 
 
-def split_with_fallback(df: DataFrame, test_size: float, seed: int = 42, message: str = "message", label: str = "class", max_buckets: int = 1024) -> DataFrame:
+def split_with_fallback(df: DataFrame, test_size: float, seed: int = 42, message: str = "message", label: str = "class", max_classes: int = 20_000) -> DataFrame:
     """Grouped split, or the row split where the groups do not allow one."""
     try:
-        return grouped_split(df, test_size, seed, message, label, max_buckets)
+        return grouped_split(df, test_size, seed, message, label, max_classes)
     except SplitImpossible:
         return quota_split(df, test_size, seed, message, label)
 
 
-def choose_folds(counts: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Fold of each bucket: uneven buckets first, each to the fold that keeps the labels most even."""
-    totals = counts.sum(axis=0)
-    shuffled = np.random.default_rng(seed).permutation(len(counts))
-    order = shuffled[np.argsort(-counts[shuffled].std(axis=1), kind="stable")]
-    folds = np.zeros((k, counts.shape[1]))
-    placed = np.zeros(len(counts), dtype=int)
+def choose_folds(means: np.ndarray, groups: np.ndarray, totals: np.ndarray, k: int, seed: int, start: np.ndarray | None = None) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
+    """(class, first place, place after the last, fold) of each run of groups, and the counts of the folds.
+
+    Uneven classes first, each group to the fold that keeps the labels most even; of a class of many groups
+    a part at a time, smaller ones towards its end.
+    """
+    shuffled = np.random.default_rng(seed).permutation(len(groups))
+    order = shuffled[np.argsort(-means[shuffled].std(axis=1), kind="stable")] if len(groups) else []
+    folds = np.zeros((k, means.shape[1])) if start is None else start.astype(float)
+    runs = []
     for at in order:
-        options = []
-        for fold in range(k):
-            trial = folds.copy()
-            trial[fold] += counts[at]
-            options.append((float((trial / totals).std(axis=0).mean()), float(folds[fold].sum()), fold))
-        placed[at] = min(options)[2]
-        folds[placed[at]] += counts[at]
-    return placed
+        place = 0
+        while place < groups[at]:
+            size = max(1, (int(groups[at]) - place) // (2 * k))
+            options = []
+            for fold in range(k):
+                trial = folds.copy()
+                trial[fold] += size * means[at]
+                options.append((float((trial / totals).std(axis=0).mean()), float(folds[fold].sum()), fold))
+            best = min(options)[2]
+            folds[best] += size * means[at]
+            runs.append((int(at), place, place + size, best))
+            place += size
+    return runs, folds
+
+
+def _run_table(classes: Classes, runs: Sequence[tuple[int, int, int, int]]) -> DataFrame:
+    rows = [(classes.names[at], first, after, fold) for at, first, after, fold in runs]
+    return classes.table.sparkSession.createDataFrame(rows, "class string, first long, after long, fold int")
+
+
+def _folded(classes: Classes, runs: Sequence[tuple[int, int, int, int]]) -> DataFrame:
+    # The runs of a class grow with the logarithm of its groups, the classes are ``max_classes`` at most.
+    return classes.table.join(F.broadcast(_run_table(classes, runs)), "class").where("place >= first AND place < after")
 
 
-def group_kfold(df: DataFrame, k: int, seed: int = 42, message: str = "message", label: str = "class", max_buckets: int = 1024) -> DataFrame:
+def group_kfold(df: DataFrame, k: int, seed: int = 42, message: str = "message", label: str = "class", max_classes: int = 20_000) -> DataFrame:
     """Add ``template_group`` and ``fold`` (0..k-1); needs k rows of each label and k groups."""
     grouped = df.withColumn(GROUP, template_group(message))
-    names, counts, labels = bucket_table(grouped, label, seed, max_buckets)
-    short = [x for x, n in zip(labels, counts.sum(axis=0)) if n < k]
+    classes = group_classes(grouped, label, seed, max_classes)
+    totals = classes.totals
+    short = [x for x, n in zip(classes.labels, totals, strict=True) if n < k]
     if short:
         raise SplitImpossible(f"fewer than {k} rows of {short}")
-    if len(names) < k:
+    if classes.groups.sum() < k:
         raise SplitImpossible(f"fewer than {k} template groups")
-    folds = [int(f) for f in choose_folds(counts, k, seed)]
-    return _look_up(grouped, names, folds, max_buckets, seed, "fold", "int")
+    runs, start = [], None
+    for part in (~classes.exact, classes.exact):
+        at = np.flatnonzero(part)
+        found, folds = choose_folds(classes.means[at], classes.groups[at], totals, k, seed, start)
+        runs += [(int(at[c]), first, after, fold) for c, first, after, fold in found]
+        if found and not classes.exact[at].all():
+            # What the folds of unlike groups really hold.
+            sums = [F.sum(F.col("counts")[i]).cast("double").alias(f"s{i}") for i in range(len(totals))]
+            folds = np.zeros((k, len(totals)))
+            for r in _folded(classes, runs).groupBy("fold").agg(*sums).collect():
+                folds[r["fold"]] = [r[f"s{i}"] for i in range(len(totals))]
+        start = folds
+    return _sided(grouped, _folded(classes, runs), "fold")

@@ -16,19 +16,88 @@ def labelled(spark):
     return ids.select("id", F.concat(F.lit("kind "), letters, F.lit(" user="), "id").alias("message"), label.alias("class"))
 
 
-@pytest.mark.parametrize("max_buckets", [1024, 64])
-def test_grouped_split_keeps_groups_whole(labelled, max_buckets):
-    out = splits.grouped_split(labelled, 0.2, max_buckets=max_buckets)
+@pytest.mark.parametrize("max_classes", [20_000, 40, 3])
+def test_grouped_split_keeps_groups_whole(labelled, max_classes):
+    out = splits.grouped_split(labelled, 0.2, max_classes=max_classes)
     assert out.count() == 6000
     assert dataset.leakage_check(out).count() == 0
     share = out.where("split = 'heldout'").count() / 6000
     assert 0.1 < share < 0.3
 
 
-def test_greedy_choice_meets_the_target():
-    counts = np.random.default_rng(1).integers(1, 9, size=(200, 4)).astype(float)
-    chosen = splits.choose_heldout(counts, 0.15, 7)
-    assert abs(counts[chosen].sum() / counts.sum() - 0.15) < 0.01
+def _cost(counts, chosen, ratio):
+    target = counts.sum(axis=0) * ratio
+    held = counts[chosen].sum(axis=0)
+    size = ((held.sum() - target.sum()) / max(target.sum(), 1.0)) ** 2
+    return size + (((held - target) / np.maximum(target, 1.0)) ** 2).sum()
+
+
+def _one_by_one(counts, ratio, order):
+    """The plain rule: the group that lowers the cost most is added until none does; the first of equals in the order."""
+    chosen, left = [], list(order)
+    now = _cost(counts, chosen, ratio)
+    while left:
+        costs = [_cost(counts, [*chosen, g], ratio) for g in left]
+        if min(costs) >= now:
+            break
+        now = min(costs)
+        chosen.append(left.pop(costs.index(now)))
+    return now
+
+
+def _as_classes(counts):
+    """(means, groups) of the classes of equal rows."""
+    rows, number = np.unique(counts, axis=0, return_counts=True)
+    return rows, number
+
+
+def test_choice_is_never_worse_than_the_plain_rule():
+    draw = np.random.default_rng(0)
+    for case in range(300):
+        counts = draw.integers(0, draw.integers(2, 9), size=(draw.integers(2, 14), draw.integers(1, 5))).astype(float)
+        counts = counts[counts.sum(axis=1) > 0]
+        if len(counts) < 2:
+            continue
+        ratio = float(draw.choice([0.1, 0.15, 0.3, 0.5]))
+        means, groups = _as_classes(counts)
+        chosen = splits.choose_heldout(means, groups, counts.sum(axis=0) * ratio, case)
+        assert (chosen <= groups).all() and (chosen >= 0).all()
+        mine = _cost(np.repeat(means, groups, axis=0), np.concatenate([np.arange(g) < c for g, c in zip(groups, chosen)]), ratio)
+        for seed in range(3):
+            assert mine <= _one_by_one(counts, ratio, np.random.default_rng(seed).permutation(len(counts))) + 1e-12
+
+
+def test_choice_over_many_groups_of_few_classes_is_exact_and_quick():
+    means = np.array([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [3, 1, 0, 0], [10**6, 0, 0, 0]], dtype=float)
+    groups = np.array([10**9, 3 * 10**8, 10**7, 11, 10**6, 3])
+    total = (means * groups[:, None]).sum(axis=0)
+    chosen = splits.choose_heldout(means, groups, total * 0.15, 1)
+    held = (means * chosen[:, None]).sum(axis=0)
+    assert (chosen <= groups).all() and np.abs(held - total * 0.15).max() <= 4  # of hundreds of millions: a double holds no finer cost
+
+
+def test_unlike_groups_of_one_class_are_made_up_for(spark):
+    # Sizes from 40 to 240, told apart by few bits only, and single rows to fill up with.
+    letters = lambda c: F.translate(F.col(c).cast("string"), "0123456789", "ghijklmnop")
+    large = spark.range(60).select("id", F.explode(F.sequence(F.lit(1), 40 + F.pmod(F.col("id") * 37, F.lit(200)))).alias("i"))
+    rows = large.select(F.concat(F.lit("kind "), letters("id")).alias("message"), F.when(F.col("id") % 3 == 0, "Error").alias("class"))
+    rows = rows.union(spark.range(900).select(F.concat(F.lit("single x"), letters("id")), F.when(F.col("id") % 2 == 0, "Error")))
+    for max_classes in (20_000, 30, 2):
+        out = splits.grouped_split(rows, 0.2, max_classes=max_classes).cache()
+        assert out.count() == rows.count() and dataset.leakage_check(out).count() == 0
+        held = {r["class"]: r["n"] for r in out.where("split = 'heldout'").groupBy("class").agg(F.count("*").alias("n")).collect()}
+        whole = {r["class"]: r["n"] for r in rows.groupBy("class").agg(F.count("*").alias("n")).collect()}
+        assert set(held) == set(whole) == {None, "Error"}
+        if max_classes > 2:
+            assert all(abs(held[x] - 0.2 * whole[x]) <= 5 for x in whole)
+
+
+def test_folds_of_null_labels_and_many_equal_groups(spark):
+    letters = F.translate(F.col("id").cast("string"), "0123456789", "ghijklmnop")
+    rows = spark.range(3000).select("id", F.concat(F.lit("single x"), letters).alias("message"), F.when(F.col("id") % 3 > 0, "Error").alias("class"))
+    out = splits.group_kfold(rows, 5)
+    sizes = {(r["fold"], r["class"]): r["n"] for r in out.groupBy("fold", "class").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {(f, c): n for f in range(5) for c, n in ((None, 200), ("Error", 400))}
 
 
 def test_one_group_cannot_be_split(spark):
@@ -81,6 +150,35 @@ def test_labelling_waits_and_pays_once(spark):
     assert len(calls) == 3
 
 
+def test_a_stopped_labelling_pays_for_each_batch_once(spark, tmp_path):
+    import json
+
+    rows = spark.range(230).select("id", F.concat(F.lit("m"), F.format_string("%03d", F.col("id") % 200)).alias("message"))
+    log, ledger = tmp_path / "calls", str(tmp_path / "ledger")
+    log.mkdir()
+
+    def client(broken):
+        def ask(messages):
+            import uuid
+
+            if broken and messages[0] in ("m050", "m110"):
+                raise TimeoutError("no answer")
+            (log / f"{messages[0]}-{uuid.uuid4().hex}").write_text("")
+            return {"content": json.dumps({"results": [{"class": m} for m in messages]}), "prompt_tokens": 2, "completion_tokens": 1}
+
+        return ask
+
+    with pytest.raises(labeling.LabellingStopped, match="2 batches got no answer: TimeoutError"):
+        labeling.label_rows_with_ledger(rows, client(True), ["id"], ledger, callers=3)
+    assert len(list(log.iterdir())) == 18
+    labelled, usage = labeling.label_rows_with_ledger(rows, client(False), ["id"], ledger, wave=1)
+    assert {r["id"]: r["class"] for r in labelled.collect()} == {i: f"m{i % 200:03d}" for i in range(230)}
+    # 20 different batches, as the last three repeat the first: each was paid for once over both runs.
+    assert sorted(p.name[:4] for p in log.iterdir()) == [f"m{i:03d}" for i in range(0, 200, 10)] and usage.first()["prompt_tokens"] == 4
+    again, none = labeling.label_rows_with_ledger(rows, client(True), ["id"], ledger)
+    assert again.count() == 230 and none.first()["prompt_tokens"] == 0 and len(list(log.iterdir())) == 20
+
+
 def test_bad_answers_are_noise(spark):
     batches = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0)], "batch_id bigint, pos int")
     said = spark.createDataFrame([(1, '{"results":[{"class":"Error"}]}'), (2, "no json")], "batch_id bigint, content string")
