@@ -11,7 +11,7 @@ from logloom import domain
 from logloom.functions.columns import resolve_column, with_text_column
 from logloom.functions.payload import normalize_payload
 from logloom.functions.text import strip
-from logloom.operators.indexing import with_file_position, with_row_index
+from logloom.sources import split_csv
 
 OVERFLOW = "__overflow"
 # A value no file holds, so that empty fields stay empty text and only absent ones become null.
@@ -19,8 +19,7 @@ ABSENT = "\x01absent\x01"
 
 
 def csv_reader(spark: SparkSession, multi_line: bool):
-    """CSV with doubled quotes. Files without line breaks inside fields can be
-    read with ``multi_line=False``; Spark then splits large files."""
+    """CSV with doubled quotes, read by Spark's own reader: with ``multi_line`` a task reads a whole file."""
     return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
 
 
@@ -33,15 +32,27 @@ def _missing(name: str) -> Column:
     return F.when(~value.isin(list(domain.CSV_MISSING)), value).alias(name)
 
 
+def csv_rows(spark: SparkSession, path: str | list[str], names: Sequence[str], multi_line: bool, absent: str | None = None) -> DataFrame:
+    """The rows behind the header, every column a text, with the file and the number of the row in it (from 1) where lines are split.
+
+    With ``multi_line`` fields may hold line breaks; files are split all the same.
+    """
+    if multi_line:
+        texts = split_csv.csv_texts(spark, path).where("record > 0")
+        return texts.select("source_path", "record", split_csv.fields("text", names, absent).alias("r")).select("source_path", "record", "r.*")
+    schema = StructType([StructField(n, StringType()) for n in names])
+    reader = csv_reader(spark, False).schema(schema).option("enforceSchema", True)
+    return (reader.option("nullValue", absent) if absent else reader).csv(path)
+
+
 def read_labeled_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows of a labelled CSV, and one row of statistics on what was skipped.
 
     A row with more fields than the header is skipped and counted; a shorter
-    one is kept with nulls. Both frames are lazy.
+    one is kept with nulls. Files without line breaks inside fields are read faster with ``multi_line=False``.
     """
     names = csv_columns(spark, path, multi_line)
-    schema = StructType([StructField(n, StringType()) for n in [*names, OVERFLOW]])
-    rows = csv_reader(spark, multi_line).schema(schema).option("nullValue", ABSENT).option("enforceSchema", True).csv(path)
+    rows = csv_rows(spark, path, [*names, OVERFLOW], multi_line, ABSENT)
     skipped = F.count_if(F.col(OVERFLOW).isNotNull())
     stats = rows.agg(skipped.alias("csv_bad_rows_skipped"), F.count(F.lit(1)).alias("rows_seen")).select(
         F.when(F.col("csv_bad_rows_skipped") > 0, "skip_bad_lines").otherwise("strict").alias("csv_parse_mode"),
@@ -52,7 +63,8 @@ def read_labeled_csv(spark: SparkSession, path: str | list[str], multi_line: boo
 
 def read_raw_logs(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Any CSV with its text column renamed to ``message``; all columns are text."""
-    return with_text_column(csv_reader(spark, multi_line).csv(path))
+    names = csv_columns(spark, path, multi_line)
+    return with_text_column(csv_rows(spark, path, names, multi_line).select(*[F.col(f"`{n}`") for n in names]))
 
 
 def read_golden(
@@ -66,13 +78,11 @@ def read_golden(
 
     An empty message or label, or a file without rows, is an error that names the first such row.
     """
-    rows = csv_reader(spark, True).csv(path)
-    message = resolve_column(rows.columns, message_aliases, "message")
-    label = resolve_column(rows.columns, label_aliases, "label")
-    placed = with_file_position(rows.select(F.col(f"`{message}`").alias("message"), F.col(f"`{label}`").alias("label"), "_metadata"))
-    golden = with_row_index(placed.drop("_metadata"), "line_number", 2).select(
-        "line_number", strip("message").alias("message"), strip("label").alias("label")
-    )
+    names = csv_columns(spark, path, True)
+    message = resolve_column(names, message_aliases, "message")
+    label = resolve_column(names, label_aliases, "label")
+    rows = csv_rows(spark, path, names, True)
+    golden = rows.select((F.col("record") + 1).alias("line_number"), strip(f"`{message}`").alias("message"), strip(f"`{label}`").alias("label"))
     if check:
         bad = golden.agg(
             F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("message") == "", F.col("line_number"))).alias("no_message"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -90,3 +90,20 @@ def data_versions(spark: SparkSession, root: str) -> DataFrame:
     )
     heads = rows.groupBy("data_version_id").agg(F.min("created_at").alias("created_at"), F.max("row_count").alias("row_count"))
     return heads.join(notes, "data_version_id", "left")
+
+
+def write_report_with_latest(report: DataFrame, root: str) -> None:
+    """Add a report to ``root/history`` and put it as JSON in ``root/latest``, next to it.
+
+    The copy is for people and other programs. It follows the history: a run that stops between the two is made good by
+    the next report, and ``latest_reports`` never reads the copy.
+    """
+    report.write.mode("append").parquet(f"{root}/history")
+    report.coalesce(1).write.mode("overwrite").json(f"{root}/latest")
+
+
+def latest_reports(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str] = ("created_at",)) -> DataFrame:
+    """The newest report of each key from the history."""
+    history = spark.read.option("mergeSchema", True).parquet(f"{root}/history")
+    newest = F.max_by(F.struct(*history.columns), F.struct(*order, F.xxhash64(*history.columns)))
+    return history.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(newest.alias("r")).select("r.*")
