@@ -23,6 +23,8 @@ from logloom.operators.indexing import with_order_index
 from logloom.operators.skew import spread_join, top_rows
 from logloom.session import checkpointed
 
+#: Terms that one copy of a patch is searched for.
+TERMS_AT_ONCE = 500
 SIGNATURE = ("repo", "branch", "commit_sha", "previous_sha", "since", "paths", "terms")
 LISTS = (  # kind of evidence, output list, cap
     ("path", "matched_source_paths", 8),
@@ -226,8 +228,13 @@ def evidence_items(pairs: DataFrame, files: DataFrame) -> DataFrame:
 
     in_patch = F.contains("patch_low", "low")
     line = snippet(F.get(F.filter(lines, lambda x: F.contains(F.lower(x), F.col("low"))), 0))
-    tested = changed.join(asked.select("repo", "sha", "low").distinct(), ["repo", "sha"])
-    term_hits = tested.where(in_patch | F.contains(F.lower("filename"), F.col("low"))).select(
+    # A file meets the different terms of its commit as arrays, so its patch is copied once per ``TERMS_AT_ONCE`` terms and not per term.
+    terms = asked.groupBy("repo", "sha").agg(F.collect_set("low").alias("terms"))
+    starts = F.sequence(F.lit(1), F.size("terms"), F.lit(TERMS_AT_ONCE))
+    parts = terms.select("repo", "sha", F.explode(F.transform(starts, lambda at: F.slice("terms", at, TERMS_AT_ONCE))).alias("terms"))
+    found = F.filter("terms", lambda t: F.contains(F.col("patch_low"), t) | F.contains(F.lower("filename"), t))
+    tested = changed.join(parts, ["repo", "sha"]).withColumn("low", F.explode(found)).drop("terms")
+    term_hits = tested.select(
         "repo", "sha", "low", "position", "filename", F.when(in_patch, "term_diff").otherwise("term_file").alias("kind"),
         F.when(in_patch, domain.PATCH_TERM_POINTS).otherwise(domain.FILENAME_TERM_POINTS).cast("bigint").alias("points"), F.when(in_patch, line).alias("shown"),
     )

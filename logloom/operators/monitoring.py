@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom import domain
 from logloom.functions.text import monitoring_day, strip, truncate_text
 from logloom.operators.incidents import action_status, compact_errors
-from logloom.operators.skew import top_rows
+from logloom.operators.skew import spread_join, top_rows
 
 NO_REASON = "The incident was not created, and no error details were recorded."
 
@@ -123,3 +123,57 @@ def average_latency(samples: DataFrame, minutes: int = 5) -> DataFrame:
         .agg(F.sum(duration).alias("s"), F.count(F.lit(1)).alias("requests"))
         .select(F.col("w.start").alias("window_start"), "method", "path", "requests", (F.col("s") / F.col("requests")).alias("avg_latency"))
     )
+
+
+def trailing_sums(samples: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], minutes: int = 5, step_seconds: int = 30) -> DataFrame:
+    """Sums over the trailing minutes at every step that has a sample in them: ``at``, the keys, the sums.
+
+    A row at ``at`` covers the samples from ``at`` less the minutes up to, but without, ``at``. Samples are summed
+    per pane of a step first, so a series of any length is a row per pane, and each pane goes to the steps it counts for.
+    """
+    seconds = minutes * 60
+    if seconds % step_seconds:
+        raise ValueError("the trailing minutes are not a whole number of steps")
+    pane = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (step_seconds * 1_000_000)).cast("bigint")
+    panes = samples.groupBy(*keys, pane.alias("__pane")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    steps = panes.withColumn("__at", F.explode(F.sequence(F.col("__pane") + 1, F.col("__pane") + seconds // step_seconds)))
+    return steps.groupBy(*keys, "__at").agg(*[F.sum(n).alias(n) for n in sums]).select(
+        F.timestamp_seconds(F.col("__at") * step_seconds).alias("at"), *keys, *sums
+    )
+
+
+def trailing_request_rate(samples: DataFrame, minutes: int = 5, step_seconds: int = 30) -> DataFrame:
+    """Requests per second of each method, path and status over the trailing minutes, at each step."""
+    named = samples.withColumn("status", F.col("status").cast("string"))
+    found = trailing_sums(named, ["method", "path", "status"], {"requests": F.lit(1)}, minutes, step_seconds)
+    return found.withColumn("rate", F.col("requests") / (minutes * 60.0))
+
+
+def trailing_latency(samples: DataFrame, minutes: int = 5, step_seconds: int = 30) -> DataFrame:
+    """Mean duration of the requests of each method and path over the trailing minutes, at each step."""
+    sums = {"requests": F.lit(1), "duration": F.greatest(F.col("duration"), F.lit(0.0))}
+    found = trailing_sums(samples, ["method", "path"], sums, minutes, step_seconds)
+    return found.withColumn("avg_latency", F.col("duration") / F.col("requests")).drop("duration")
+
+
+def counter_increases(counters: DataFrame, keys: Sequence[str], value: str = "value", span: str = "1 hour") -> DataFrame:
+    """What each reading of a counter adds to the one before it: ``increase``; a counter that fell was set back to 0 and counts whole.
+
+    The first reading of a series adds nothing. Readings are put side by side within a span of time; a span begins
+    with the last reading of the one before, of which there is one row, so a long series is spread over its spans.
+    """
+    spans = counters.withColumn("__span", F.window(F.col("ts").cast("timestamp"), span)["start"])
+    order = F.struct("ts", value)
+    lasts = spans.groupBy(*keys, "__span").agg(F.max_by(value, order).alias("__last"))
+    before = lasts.withColumn("__before", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__span"))).drop("__last")
+    joined = spread_join(spans, before, [*keys, "__span"])
+    earlier = F.coalesce(F.lag(value).over(Window.partitionBy(*keys, "__span").orderBy("ts", value)), F.col("__before"))
+    grown = F.when(earlier.isNull(), 0).when(F.col(value) >= earlier, F.col(value) - earlier).otherwise(F.col(value))
+    return joined.withColumn("increase", grown).drop("__span", "__before")
+
+
+def counter_rate(counters: DataFrame, keys: Sequence[str], value: str = "value", minutes: int = 5, step_seconds: int = 30) -> DataFrame:
+    """Increase per second of each counter over the trailing minutes, at each step, across resets."""
+    grown = counter_increases(counters, keys, value)
+    found = trailing_sums(grown, keys, {"increase": F.col("increase")}, minutes, step_seconds)
+    return found.withColumn("rate", F.col("increase") / (minutes * 60.0))

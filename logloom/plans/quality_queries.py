@@ -229,6 +229,29 @@ def _(spark, sf):
     return splits.grouped_split(training_rows(spark, sf), 0.15).groupBy("template_group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("sides"))
 
 
+@query("grouped_split_errors", with_tables("""SELECT coalesce(label, 'all rows') AS class, count(*) AS n, true AS within, CAST(1 AS BIGINT) AS splits FROM messages GROUP BY GROUPING SETS ((label), ())""", "messages"))
+def _(spark, sf):
+    """The held-out rows of each label, and of all, against the asked share: at most the largest group beside it."""
+    out = splits.grouped_split(training_rows(spark, sf), 0.15)
+    cells = out.groupBy("class", "template_group").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("split") == "heldout", 1).otherwise(0)).alias("held"), F.count_distinct("split").alias("splits"))
+    whole = cells.groupingSets([["class"], []], "class").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("held")).alias("held"), F.max("n").alias("largest"), F.max("splits").alias("splits"), F.grouping("class").alias("all"),
+    )
+    error = F.abs(F.col("held") - 0.15 * F.col("rows"))
+    return whole.select(F.when(F.col("all") == 1, "all rows").otherwise(F.col("class")).alias("class"), F.col("rows").alias("n"), (error <= F.greatest("largest", 0.02 * F.col("rows"))).alias("within"), "splits")
+
+
+@query("group_kfold_sizes", with_tables("SELECT CAST(f AS INT) AS fold, label AS class, true AS within FROM (SELECT DISTINCT label FROM messages), (SELECT unnest(range(5)) AS f)", "messages"))
+def _(spark, sf):
+    """The rows of each label in each fold against a fifth of them: at most the largest group beside it."""
+    out = splits.group_kfold(training_rows(spark, sf), 5)
+    cells = out.groupBy("fold", "class", "template_group").agg(F.count(F.lit(1)).alias("n"))
+    largest = cells.groupBy("class").agg(F.max("n").alias("largest"), F.sum("n").alias("rows"))
+    every = largest.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    sizes = every.join(cells.groupBy("fold", "class").agg(F.sum("n").alias("n")), ["fold", "class"], "left").fillna(0, ["n"])
+    return sizes.select("fold", "class", (F.abs(F.col("n") - F.col("rows") / 5) <= F.greatest("largest", 0.02 * F.col("rows"))).alias("within"))
+
+
 @query("group_kfold_coverage", with_tables(f"SELECT {duck.template_group('message')} AS template_group, count(*) AS n, CAST(1 AS BIGINT) AS folds FROM messages GROUP BY 1", "messages"))
 def _(spark, sf):
     return splits.group_kfold(training_rows(spark, sf), 5).groupBy("template_group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
@@ -296,3 +319,12 @@ def _(spark, sf):
 @query("template_labels", with_tables(f"SELECT {duck.template_group('message')} AS template_group, label, count(*) AS n FROM messages GROUP BY 1, 2", "messages"))
 def _(spark, sf):
     return derived(spark, sf, "messages").groupBy(template_group("message").alias("template_group"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Two levels of blocks at least: 16 rows to a block.
+@query("ordered_fingerprint", """WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY doc_id DESC) - 1 AS place, md5(CAST(doc_id AS VARCHAR) || chr(31) || text) AS digest FROM documents),
+  top AS (SELECT 0 AS level, place // 16 AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest, count(*) OVER () AS blocks FROM r GROUP BY place // 16
+    UNION ALL SELECT level + 1, place // 16, sha256(string_agg(digest, '' ORDER BY place)), count(*) OVER () FROM top WHERE blocks > 1 GROUP BY level, place // 16)
+  SELECT sha256('doc_id,text|' || (SELECT count(*) FROM r) || '|' || max(digest)) AS data_version_id, (SELECT count(*) FROM r) AS row_count FROM top WHERE level = (SELECT max(level) FROM top)""")
+def _(spark, sf):
+    return dataset.ordered_fingerprint(given(spark, sf, "documents"), [F.desc("doc_id")], ["doc_id", "text"], fan=16)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from contextlib import suppress
 
 from pyspark.sql import functions as F
 
 from logloom.functions.labels import rule_label
-from logloom.operators import feedback, incidents, labeling, lineage, monitoring
+from logloom.operators import diffs, feedback, incidents, labeling, lineage, monitoring
 from logloom.operators.indexing import into_batches, with_order_index
 from logloom.plans import duck
 from logloom.plans.quality_queries import rounded
 from logloom.plans.registry import query
 from logloom.plans.tables import derived, given, with_tables
+from logloom.session import checkpointed, scratch_path
 
 BATCHES = "SELECT event_id, message, label, k, CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) / 10) AS BIGINT) AS batch_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) % 10 AS INT) AS pos FROM messages"
 
@@ -76,6 +78,22 @@ def _(spark, sf):
     return labeling.label_rows(rows, length_client, ["ts", "event_id"])[1]
 
 
+def half_client(messages: list[str]) -> dict:
+    """As ``length_client``, but without an answer to batches that begin with a request."""
+    if messages[0].startswith("GET"):
+        raise ConnectionError("no answer")
+    return length_client(messages)
+
+
+@query("label_rows_with_ledger", with_tables("SELECT event_id, CASE WHEN length(message) % 2 = 1 THEN 'Noise' ELSE 'Error' END AS class FROM messages", "messages"))
+def _(spark, sf):
+    """A run that stops for want of answers, and one that asks for those only."""
+    rows, ledger = derived(spark, sf, "messages").select("event_id", "message", "ts"), scratch_path(spark, "answers")
+    with suppress(labeling.LabellingStopped):
+        labeling.label_rows_with_ledger(rows, half_client, ["ts", "event_id"], ledger)
+    return labeling.label_rows_with_ledger(rows, length_client, ["ts", "event_id"], ledger)[0].select("event_id", "class")
+
+
 # --- feedback ------------------------------------------------------------------
 
 BASE = "SELECT message, label AS class FROM messages WHERE event_type <> 'signup'"
@@ -133,6 +151,43 @@ def _(spark, sf):
     return lineage.version_diffs(ordered, versions)
 
 
+# Every line end of Python's splitlines; the last one opens no line.
+LINE_END = r"(?:\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}])"
+DIFF_PAIRS = f"""WITH {HISTORY}, pairs AS (SELECT DISTINCT version_id, previous_version_id FROM h WHERE previous_version_id <> ''),
+  texts AS (SELECT version_id, CASE WHEN any_value(text) = '' THEN [] ELSE regexp_split_to_array(regexp_replace(any_value(text), '{LINE_END}\\z', ''), '{LINE_END}') END AS l FROM v GROUP BY 1)"""
+
+
+@query("unified_diff", with_tables(f"""{DIFF_PAIRS} SELECT p.version_id, p.previous_version_id, CAST(len(n.l) AS BIGINT) AS new_lines, CAST(len(n.l) - len(o.l) AS BIGINT) AS growth, sha256(array_to_string(n.l, chr(10))) AS lines_sha256
+  FROM pairs p JOIN texts n ON p.version_id = n.version_id JOIN texts o ON p.previous_version_id = o.version_id""", "versions"))
+def _(spark, sf):
+    """The hunks applied to the old versions: what comes out are the new ones, and the headers tell the growth."""
+    versions, ordered = history(spark, sf)
+    hunks = checkpointed(diffs.unified_diffs(ordered, versions))
+    growth = hunks.groupBy(*diffs.PAIR).agg(F.sum(F.col("new_lines") - F.col("old_lines")).alias("growth"))
+    lines = diffs.applied(ordered, hunks, versions).join(growth, diffs.PAIR, "left")
+    return lines.select(*diffs.PAIR, F.size("lines").cast("bigint").alias("new_lines"), F.coalesce("growth", F.lit(0)).alias("growth"), F.sha2(F.array_join("lines", "\n"), 256).alias("lines_sha256"))
+
+
+@query("unified_diff_balance", with_tables(f"""{DIFF_PAIRS}, lines AS (SELECT version_id, line, count(*) AS n FROM (SELECT version_id, unnest(l) AS line FROM texts) GROUP BY ALL)
+  SELECT version_id, previous_version_id, line, CAST(sum(n) AS BIGINT) AS change FROM (
+    SELECT p.version_id, p.previous_version_id, line, n FROM pairs p JOIN lines l ON p.version_id = l.version_id UNION ALL
+    SELECT p.version_id, p.previous_version_id, line, -n FROM pairs p JOIN lines l ON p.previous_version_id = l.version_id) GROUP BY ALL HAVING sum(n) <> 0""", "versions"))
+def _(spark, sf):
+    versions, ordered = history(spark, sf)
+    return diffs.line_balance(diffs.unified_diffs(ordered, versions))
+
+
+@query("unified_diff_text", with_tables(f"""{DIFF_PAIRS} SELECT p.version_id, p.previous_version_id, '--- ' || left(p.previous_version_id, 12) || chr(10) || '+++ ' || left(p.version_id, 12) AS head,
+    CAST(len(n.l) - len(o.l) AS BIGINT) AS growth FROM pairs p JOIN texts n ON p.version_id = n.version_id JOIN texts o ON p.previous_version_id = o.version_id""", "versions"))
+def _(spark, sf):
+    versions, ordered = history(spark, sf)
+    texts = diffs.diff_texts(ordered, diffs.unified_diffs(ordered, versions))
+    # Added less removed lines behind the two lines of the head; hunk headers begin with neither mark.
+    body = F.slice(F.split("diff", "\n"), 3, 2**30)
+    count = lambda mark: F.size(F.filter(body, lambda x: x.startswith(mark)))
+    return texts.select(*diffs.PAIR, F.substring_index("diff", "\n", 2).alias("head"), (count("+") - count("-")).cast("bigint").alias("growth"))
+
+
 @query("latest_report", "SELECT o_custkey, o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
 def _(spark, sf):
     rows = given(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
@@ -270,3 +325,38 @@ def _(spark, sf):
 @query("average_latency", with_tables("SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, method, path, count(*) AS requests, round(sum(greatest(duration, 0.0)) / count(*), 6) AS avg_latency FROM samples GROUP BY window_start, method, path", "samples"))
 def _(spark, sf):
     return rounded(monitoring.average_latency(derived(spark, sf, "samples"))).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+AT = "strftime(make_timestamp(CAST(s.due * 60000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S')"
+MINUTES = "unnest(range(CAST(floor(epoch(ts) / 60) AS BIGINT) + 1, CAST(floor(epoch(ts) / 60) AS BIGINT) + 6))"
+
+
+def shown_at(df):
+    return rounded(df).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("trailing_request_rate", with_tables(f"""WITH steps AS (SELECT DISTINCT method, path, status, {MINUTES} AS due FROM samples)
+  SELECT {AT} AS "at", s.method, s.path, s.status, count(*) AS requests, round(count(*) / 300.0, 6) AS rate FROM steps s JOIN samples r ON r.method = s.method AND r.path = s.path AND r.status = s.status
+    AND epoch(r.ts) < s.due * 60 AND epoch(r.ts) >= s.due * 60 - 300 GROUP BY s.due, s.method, s.path, s.status""", "samples"))
+def _(spark, sf):
+    return shown_at(monitoring.trailing_request_rate(derived(spark, sf, "samples"), step_seconds=60))
+
+
+@query("trailing_latency", with_tables(f"""WITH steps AS (SELECT DISTINCT method, path, {MINUTES} AS due FROM samples)
+  SELECT {AT} AS "at", s.method, s.path, count(*) AS requests, round(sum(greatest(duration, 0.0)) / count(*), 6) AS avg_latency FROM steps s JOIN samples r ON r.method = s.method AND r.path = s.path
+    AND epoch(r.ts) < s.due * 60 AND epoch(r.ts) >= s.due * 60 - 300 GROUP BY s.due, s.method, s.path""", "samples"))
+def _(spark, sf):
+    return shown_at(monitoring.trailing_latency(derived(spark, sf, "samples"), step_seconds=60))
+
+
+# Readings of a counter per event type that is set back now and then.
+COUNTERS = "SELECT {ts} AS ts, event_type AS path, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) * 7) % 300 AS value FROM messages"
+
+
+@query("counter_rate", with_tables(f"""WITH c AS ({COUNTERS.format(ts='ts')}), i AS (SELECT *, lag(value) OVER (PARTITION BY path ORDER BY ts, value) AS before FROM c),
+  g AS (SELECT ts, path, CASE WHEN before IS NULL THEN 0 WHEN value >= before THEN value - before ELSE value END AS increase FROM i), steps AS (SELECT DISTINCT path, {MINUTES} AS due FROM g)
+  SELECT {AT} AS "at", s.path, CAST(sum(increase) AS BIGINT) AS increase, round(sum(increase) / 300.0, 6) AS rate FROM steps s JOIN g ON g.path = s.path AND epoch(g.ts) < s.due * 60 AND epoch(g.ts) >= s.due * 60 - 300 GROUP BY s.due, s.path""", "messages"))
+def _(spark, sf):
+    derived(spark, sf, "messages").createOrReplaceTempView("messages")
+    counters = spark.sql(COUNTERS.format(ts="CAST(ts AS TIMESTAMP)"))
+    return shown_at(monitoring.counter_rate(counters, ["path"], step_seconds=60))

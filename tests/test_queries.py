@@ -11,7 +11,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 # The training-data queries have tests of their own.
 QUERIES = {n: q for n, q in entry.queries().items() if n in catalog.QUERIES}
 SQL = {n: s for n, s in entry.oracle_sql().items() if n in catalog.QUERIES}
-USES_PYTHON = {"prediction_label_of_json", "redact_nested", "score_in_pandas", "label_rows", "label_rows_usage", "train_classifier", "triage"}
+USES_PYTHON = {"prediction_label_of_json", "redact_nested", "score_in_pandas", "label_rows", "label_rows_usage", "train_classifier", "triage", "unified_diff", "unified_diff_balance", "unified_diff_text", "label_rows_with_ledger"}
 
 
 @pytest.fixture(scope="module")

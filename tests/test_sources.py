@@ -159,3 +159,23 @@ def test_request_metrics_clamp_negative_durations(spark):
     samples = spark.createDataFrame([("GET", "/a", 200, -1.0, "Error"), ("GET", "/a", 200, 2.0, " "), ("GET", "/a", 500, 1.0, "Error")], "method string, path string, status int, duration double, prediction string")
     got = {(r["metric"], r["status"], r["prediction"]): r["value"] for r in monitoring.request_metrics(samples).collect()}
     assert got == {("requests_total", "200", None): 2, ("requests_total", "500", None): 1, ("duration_seconds_sum", None, None): 3.0, ("duration_seconds_count", None, None): 3, ("predictions_total", None, "Error"): 2}
+
+
+def test_trailing_rates_cover_the_minutes_before_each_step(spark):
+    at = lambda s: datetime(2024, 1, 1, 12, 0, 0) + __import__("datetime").timedelta(seconds=s)
+    samples = spark.createDataFrame([(at(s), "GET", "/a", "200", 1.0) for s in (0, 1, 59, 60, 299, 301)] + [(at(10), "GET", "/b", "200", -2.0)], "ts timestamp, method string, path string, status string, duration double")
+    got = {(r["at"], r["path"]): r["requests"] for r in monitoring.trailing_request_rate(samples, step_seconds=60).collect()}
+    assert got[at(60), "/a"] == 3 and got[at(120), "/a"] == 4 and got[at(300), "/a"] == 5 and got[at(360), "/a"] == 3 and got[at(600), "/a"] == 1
+    assert (at(0), "/a") not in got and (at(660), "/a") not in got and got[at(300), "/b"] == 1 and (at(360), "/b") not in got
+    latency = {(r["at"], r["path"]): r["avg_latency"] for r in monitoring.trailing_latency(samples, step_seconds=60).collect()}
+    assert latency[at(300), "/a"] == 1.0 and latency[at(300), "/b"] == 0.0
+    with pytest.raises(ValueError, match="whole number of steps"):
+        monitoring.trailing_request_rate(samples, step_seconds=70)
+
+
+def test_counters_that_are_set_back_count_on(spark):
+    hour = lambda h: datetime(2024, 1, 1) + __import__("datetime").timedelta(hours=h)
+    readings = [(0, 5), (0.5, 9), (1.2, 9), (1.4, 2), (4, 7), (4.1, 1), (9, 1)]
+    counters = spark.createDataFrame([(hour(h), "a", v) for h, v in readings] + [(hour(0), "b", 100)], "ts timestamp, path string, value int")
+    got = sorted((r["ts"], r["increase"]) for r in monitoring.counter_increases(counters, ["path"]).where("path = 'a'").collect())
+    assert [n for _, n in got] == [0, 4, 0, 2, 5, 1, 0]
