@@ -1,12 +1,12 @@
 """I-Match fingerprints, with DataFrame functions only.
 
-A text's terms are its runs of letters in lower case. Terms are counted by documents in ``2 ** BITS``
-hash buckets; the lexicon is the buckets whose share of documents lies in a band (inverse document
-frequency neither too low nor too high). It is a bitmap of fixed size, so it can be part of every task
-whatever the corpus, and no term is shuffled for a look-up. Of a text's distinct terms those in the
-lexicon are kept and sorted by their digests; each of the randomised lexicon subsets keeps the terms whose
-digest is below a bound at one place, and hashes them together. The fingerprint is the row of these hashes;
-a subset without terms leaves its place empty.
+A text's terms are its runs of letters in lower case, each told by ``DIGITS`` hexadecimal digits of its digest. Terms are
+counted by documents; the lexicon is the terms whose share of documents lies in a band (inverse document frequency
+neither too low nor too high). As each of its terms is in one of ``RARE`` documents at least, it has at most ``RARE`` times as many
+terms as a document has on average, whatever the corpus, so it can be part of every task and no term of a text is
+shuffled for a look-up. Of a text's distinct terms those in the lexicon are kept and sorted by their digests; each of
+the randomised lexicon subsets keeps the terms whose digest is below a bound at one place, and hashes them together.
+The fingerprint is the row of these hashes; a subset without terms leaves its place empty.
 
 Likeness is the share of equal places among those that are not empty on both sides; it is 1 for equal
 fingerprints. A text without lexicon terms is fingerprinted by all its terms at once, so two such texts
@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logloom.llm.common import checkpointed, no_text, salted_join
 from logloom.operators.indexing import with_order_index
 
-BITS = 20
-#: Least and greatest share of documents of a lexicon bucket, as one in so many, and the least number of documents.
+#: Hexadecimal digits that tell terms apart, and the first ones of them that name a line of the lexicon's table.
+DIGITS, LINE = 15, 4
+#: Least and greatest share of documents of a lexicon term, as one in so many, and the least number of documents.
 RARE, COMMON, LEAST_DOCS = 1000, 10, 2
 #: Of each lexicon subset: bound of two hexadecimal digits, that is its share of the terms. Place k starts at digit k + 1.
 SUBSETS = ("80",) * 2 + ("40",) * 4 + ("10",) * 6 + ("04",) * 9 + ("01",) * 9
@@ -37,29 +38,24 @@ def digests(text: Column) -> Column:
     return F.transform(terms, lambda t: F.md5(t.cast("binary")))
 
 
-def bucket(digest: Column) -> Column:
-    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("int")
-
-
-def lexicon(docs: DataFrame, text: str = "text", rare: int = RARE, common: int = COMMON) -> list[int]:
-    """The bitmap as 64-bit words: ``2 ** BITS / 64`` of them, for any corpus."""
-    counted = (
-        docs.select(F.explode(F.array_distinct(F.transform(digests(no_text(text)), bucket))).alias("bucket"))
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("docs"))
-    )
+def lexicon(docs: DataFrame, text: str = "text", rare: int = RARE, common: int = COMMON) -> list[str]:
+    """The lexicon as a table: line ``n`` holds the rest of the digits, between commas, of the terms that begin with ``n``."""
+    terms = F.array_distinct(F.transform(digests(no_text(text)), lambda d: F.substring(d, 1, DIGITS)))
+    counted = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     total = docs.count()
     kept = counted.where((F.col("docs") >= max(LEAST_DOCS, -(-total // rare))) & (F.col("docs") <= total // common))
-    word = kept.select((F.col("bucket") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, bucket % 64)").alias("bit"))
-    words = [0] * (2**BITS // 64)
-    for row in word.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        words[row["word"]] = row["bits"]
-    return words
+    lines = kept.groupBy(F.substring("term", 1, LINE).alias("line")).agg(F.array_join(F.array_sort(F.collect_list(F.substring("term", LINE + 1, DIGITS))), ",").alias("rest"))
+    table = [""] * 16**LINE
+    for row in lines.collect():  # bounded as the lexicon is
+        table[int(row["line"], 16)] = f",{row['rest']},"
+    return table
 
 
-def parts(text: Column, words: list[int]) -> Column:
+def parts(text: Column, table: list[str]) -> Column:
     """The hashes of the lexicon subsets, or one of all terms if none is in the lexicon."""
-    bitmap = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-    inside = lambda d: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.get(bitmap, (bucket(d) / 64).cast("int")), bucket(d) % 64)) == 1
+    lines = F.split(F.lit("|".join(table)), r"\|")
+    rest = lambda d: F.concat(F.lit(","), F.substring(d, LINE + 1, DIGITS - LINE), F.lit(","))
+    inside = lambda d: F.contains(F.get(lines, F.conv(F.substring(d, 1, LINE), 16, 10).cast("int")), rest(d))
     found = F.transform(F.array(digests(text)), lambda all_: F.struct(all_.alias("all"), F.array_sort(F.filter(all_, inside)).alias("known")))
 
     def hashed(known: Column) -> Column:
@@ -101,16 +97,16 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare:
     before = order.select(F.pmod(F.col("at") + 1, F.lit(total)).alias("at"), F.col("key").alias("next_key"))
     places = checkpointed(order.join(after, "at").join(before, "at").select("doc_id", "key", "times", "next_key", "before_key", "before_half"))
     one = Window.partitionBy("key").orderBy("key")
-    # Only the key and the text of a document are shuffled, so both uses below share one exchange.
-    texts = keyed.select("key", "text").join(places, "key").withColumn("nth", F.row_number().over(one)).where("nth = 1")
+    # Repeated rows go before the shuffle. Only the key and the text of a document are shuffled, so both uses below share one exchange.
+    texts = keyed.select("key", "text").withColumn("nth", F.row_number().over(one)).where("nth = 1").join(places, "key")
     tails = texts.select(F.col("before_key").alias("key"), F.expr("substring(text, 1, before_half)").alias("tail"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS INT))"), F.col("tail"))
     pairs = texts.join(tails, "key").select("doc_id", "key", "next_key", "times", "text", edited.alias("edited"))
-    words = lexicon(rows, rare=rare, common=common)
+    table = lexicon(rows, rare=rare, common=common)
     prints = checkpointed(
         pairs.select(
             "doc_id", "key", "next_key", "times", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            parts(F.col("text"), words).alias("own"), parts(F.col("edited"), words).alias("other"),
+            parts(F.col("text"), table).alias("own"), parts(F.col("edited"), table).alias("other"),
         )
     )
     following = prints.select(F.col("key").alias("next_key"), F.col("own").alias("next"))

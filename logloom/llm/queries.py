@@ -72,17 +72,8 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(given(spark, folder, "pages"))
 
 
-def _rank_sql(name: str, edges: str, seeds: str) -> str:
-    """The steps of the propagation as one table each."""
-    back, flow = 1 - url_filter.DAMPING, url_filter.DAMPING
-    sql = f"""{name}_seed AS MATERIALIZED (SELECT host, weight / (SELECT sum(weight) FROM {seeds}) AS seed FROM {seeds}),
-{name}_share AS MATERIALIZED (SELECT a, b, weight / sum(weight) OVER (PARTITION BY a) AS share FROM {edges}),
-{name}_0 AS MATERIALIZED (SELECT host, seed AS rank FROM {name}_seed)"""
-    for n in range(url_filter.STEPS):
-        sql += f""",
-{name}_{n + 1} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (
-  SELECT b AS host, {flow} * rank * share AS rank FROM {name}_share JOIN {name}_{n} ON a = host UNION ALL SELECT host, {back} * seed FROM {name}_seed) GROUP BY host)"""
-    return sql
+#: Steps of the propagation in SQL; at damping 0.85 what moves after them is below the rounding of a double.
+SQL_STEPS = 240
 
 
 def _url_sql() -> str:
@@ -94,7 +85,7 @@ def _url_sql() -> str:
     host = lowered.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
     href = url_filter.HREF.replace("'", "''")
     return f"""
-WITH parsed AS (SELECT page_id, html, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+WITH RECURSIVE parsed AS (SELECT page_id, html, {host} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 ruled AS (SELECT page_id, html, host, path, {name} AS rule, {verdict} AS known FROM parsed),
 links AS (SELECT a, b, CAST(count(*) AS DOUBLE) AS weight FROM (
   SELECT host AS a, {lowered.format("unnest(regexp_extract_all(coalesce(html, ''), '" + href + "', 1))")} AS b FROM parsed) WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
@@ -102,12 +93,14 @@ hosts AS (SELECT host FROM parsed WHERE host <> '' UNION SELECT b FROM links),
 up AS (SELECT l, unnest(range(1, len(l) - 1)) AS n FROM (SELECT string_split(host, '.') AS l FROM hosts) WHERE len(l) > 2),
 steps AS (SELECT DISTINCT array_to_string(l[n:], '.') AS a, array_to_string(l[n + 1:], '.') AS b FROM up),
 edges AS MATERIALIZED (SELECT a, b, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT a, b, 1.0 FROM steps UNION ALL SELECT b, a, 1.0 FROM steps) GROUP BY a, b),
-against AS (SELECT b AS a, a AS b, weight FROM edges),
-seeds AS (SELECT host, known, CAST(count(*) AS DOUBLE) AS weight FROM ruled WHERE known IS NOT NULL AND host <> '' GROUP BY host, known),
-good AS MATERIALIZED (SELECT host, weight FROM seeds WHERE known = 'allow'), bad AS MATERIALIZED (SELECT host, weight FROM seeds WHERE known = 'block'),
-{_rank_sql('trust', 'edges', 'good')},
-{_rank_sql('distrust', 'against', 'bad')},
-blocked AS (SELECT d.host FROM distrust_{url_filter.STEPS} d LEFT JOIN trust_{url_filter.STEPS} t ON d.host = t.host WHERE d.rank > {url_filter.THRESHOLD} * coalesce(t.rank, 0) + 1e-12)
+seeds AS (SELECT known AS kind, host, CAST(count(*) AS DOUBLE) AS weight FROM ruled WHERE known IS NOT NULL AND host <> '' GROUP BY ALL),
+ways AS (SELECT 'allow' AS kind, a, b, weight FROM edges UNION ALL SELECT 'block', b, a, weight FROM edges),
+shares AS MATERIALIZED (SELECT kind, a, b, weight / sum(weight) OVER (PARTITION BY kind, a) AS share FROM ways),
+moved AS (
+  SELECT 0 AS n, kind, host, {1 - url_filter.DAMPING} * weight / sum(weight) OVER (PARTITION BY kind) AS mass FROM seeds
+  UNION ALL SELECT n + 1, m.kind, b, sum({url_filter.DAMPING} * mass * share) FROM moved m JOIN shares s ON m.kind = s.kind AND m.host = s.a WHERE n < {SQL_STEPS} GROUP BY n, m.kind, b
+), ranks AS (SELECT kind, host, sum(mass) / sum(sum(mass)) OVER (PARTITION BY kind) AS rank FROM moved GROUP BY kind, host),
+blocked AS (SELECT host FROM ranks GROUP BY host HAVING coalesce(sum(rank) FILTER (kind = 'block'), 0) > {url_filter.THRESHOLD} * coalesce(sum(rank) FILTER (kind = 'allow'), 0) + 1e-12)
 SELECT page_id, host, path, rule, coalesce(known, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
 """
 
@@ -138,7 +131,7 @@ def _imatch_sql() -> str:
     """The terms of a text, the lexicon, the subsets' hashes and their likeness, as in the operator."""
     bounds = "[" + ", ".join(f"'{b}'" for b in imatch.SUBSETS) + "]"
     digests = r"list_transform(list_distinct(regexp_extract_all(lower({0}), '\p{{L}}+')), lambda t: md5(t))".replace("\\", "\\")
-    bucket = f"substr({{0}}, 1, {imatch.BITS // 4})"
+    bucket = f"substr({{0}}, 1, {imatch.DIGITS})"
     near = """CASE WHEN {0} = {1} THEN 1.0 ELSE CAST(len(list_filter(range(1, greatest(len({0}), len({1})) + 1), lambda i: {0}[i] = {1}[i] AND {0}[i] <> '')) AS DOUBLE)
       / greatest(1, len(list_filter(range(1, greatest(len({0}), len({1})) + 1), lambda i: coalesce({0}[i], '') <> '' OR coalesce({1}[i], '') <> ''))) END"""
     return f"""
@@ -248,6 +241,53 @@ def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repaired(given(spark, folder, "conversations"), repair.damaged).withColumnRenamed("key", "conv_id")
 
 
+# The CRC goes by its table; costs go backwards and edits forwards, a step of a recursion each.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t
+), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes FROM conversations
+), lots AS (
+  SELECT g.*, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS lot FROM given g, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE lot WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM lots
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, regexp_replace(text, '[\x20\x09-\x0D]+\z', '') AS body FROM damaged
+), told AS (
+  SELECT conv_id, turn, role, text, pos, left(role, 1) AS i, count(*) OVER (PARTITION BY conv_id) AS n, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+    CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed
+), ids AS (SELECT DISTINCT conv_id FROM conversations),
+-- Costs to go before row pos in the states start, system, user and assistant, and the letters of the choices.
+back AS (
+  SELECT i.conv_id, coalesce(max(n), 0) + 1 AS pos, [0, 10, 5, 0] AS c, ['', 'I', 'I', ''] AS l FROM ids i LEFT JOIN told t ON i.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY i.conv_id
+  UNION ALL
+  SELECT conv_id, pos, v, [CASE WHEN d[s] = v[s] THEN 'D' WHEN s IN (1, 2) AND 5 + v[3] = v[s] OR s = 3 AND 5 + v[4] = v[s] OR s = 4 AND 5 + v[3] = v[s] THEN 'I' WHEN k[s] = v[s] THEN 'K' ELSE 'R' END FOR s IN [1, 2, 3, 4]] FROM (
+    SELECT conv_id, pos, d, k, [least(m[1], 5 + u), least(m[2], 5 + u), u, a] AS v FROM (
+      SELECT *, least(m[3], 5 + m[4]) AS u, least(m[4], 5 + m[3]) AS a FROM (
+        SELECT *, [least(d[s], r[s], k[s]) FOR s IN [1, 2, 3, 4]] AS m FROM (
+          SELECT t.conv_id, t.pos, [2 + c[s] FOR s IN [1, 2, 3, 4]] AS d, [own + 1 + c[CASE s WHEN 3 THEN 4 ELSE 3 END] FOR s IN [1, 2, 3, 4]] AS r,
+            [own + CASE WHEN s = 1 AND i = 's' THEN c[2] WHEN s <> 3 AND i = 'u' THEN c[3] WHEN s = 3 AND i = 'a' THEN c[4] ELSE 1000000000 END FOR s IN [1, 2, 3, 4]] AS k
+          FROM back b JOIN (SELECT *, CASE fault WHEN 3 THEN 5 WHEN 0 THEN 0 ELSE 100000000 END AS own FROM told) t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND t.pos = b.pos - 1))))
+), forth AS (
+  SELECT conv_id, CAST(1 AS BIGINT) AS pos, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM ids
+  UNION ALL
+  SELECT f.conv_id, CASE WHEN b.l[f.s] = 'I' THEN f.pos ELSE f.pos + 1 END,
+    CASE b.l[f.s] WHEN 'D' THEN f.s WHEN 'K' THEN CASE t.i WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE CASE f.s WHEN 3 THEN 4 ELSE 3 END END, audit || b.l[f.s],
+    CASE b.l[f.s] WHEN 'D' THEN said WHEN 'K' THEN list_append(said, t.role || ':' || t.text) ELSE list_append(said, CASE f.s WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || CASE b.l[f.s] WHEN 'R' THEN t.text ELSE '' END) END
+  FROM forth f JOIN back b ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.pos = b.pos AND b.l[f.s] <> '' LEFT JOIN told t ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.pos = t.pos
+), last AS (SELECT f.* FROM forth f JOIN back b ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.pos = b.pos AND b.l[f.s] = ''),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id
+)
+SELECT l.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(b.c[1] AS BIGINT) AS cost, l.audit, sha256(array_to_string(l.said, chr(10))) AS repaired_sha256
+FROM last l JOIN back b ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND b.pos = 1 LEFT JOIN facts f ON l.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secrets": op2_secrets,
@@ -263,4 +303,4 @@ QUERIES: dict[str, Query] = {
     "op12_top_products": op12_top_products,
     "op13_repair": op13_repair,
 }
-ORACLE: dict[str, str] = {"op1_url_filter": _url_sql(), "op3_imatch": _imatch_sql(), "op4_mixture": OP4_SQL, "op5_chat": OP5_SQL, "op6_minhash": OP6_SQL, "op8_warc": OP8_SQL, "op12_top_products": OP12_SQL}
+ORACLE: dict[str, str] = {"op1_url_filter": _url_sql(), "op3_imatch": _imatch_sql(), "op4_mixture": OP4_SQL, "op5_chat": OP5_SQL, "op6_minhash": OP6_SQL, "op8_warc": OP8_SQL, "op12_top_products": OP12_SQL, "op13_repair": OP13_SQL}
