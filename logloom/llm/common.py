@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.session import checkpointed
 
-__all__ = ["checkpointed", "given", "kept", "no_text", "salted_join", "text_groups"]
+__all__ = ["checkpointed", "given", "kept", "no_text", "released", "salted_join", "text_groups"]
 
 
 _kept: dict[str, object] = {}
 
 
 def kept(key: str, build: Callable[[], object]):
-    """A large object that a Python worker builds once. It keeps one at a time: the stages of a pipeline share workers."""
+    """A large object that a Python worker builds once. It keeps one at a time: the stages of a pipeline share workers.
+
+    What the one before took is given back to the system first, as an executor's memory counts all of its workers.
+    """
     if key not in _kept:
         _kept.clear()
+        released()
         _kept[key] = build()
     return _kept[key]
 
 
+def released() -> None:
+    """Give memory that is free in this process back to the system, where the C library can do so."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def given(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 

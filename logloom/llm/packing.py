@@ -17,130 +17,180 @@ empty table gives no pieces. Other columns are not read.
 
 from __future__ import annotations
 
-import json
-import sys
+import os
 import zlib
 from array import array
 from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from logloom.llm.common import checkpointed, kept
+from logloom.llm.common import checkpointed, kept, released, text_groups
 from logloom.operators.indexing import with_order_index
 
 LENGTH, CLOSING, WIDTH, GAP = 2048, 1, 8, 1e-4
-#: Texts between white space, and words, whose ids a Python worker keeps.
-KNOWN_PARTS, KNOWN_WORDS = 100_000, 300_000
-# What the vocabulary's pre-tokenizer takes as words, and the mark of a word's last byte pair.
+#: Characters that are encoded at once, different words of theirs in one row, and words that a worker remembers.
+GROUP, ROW, KNOWN = 8_000_000, 300, 200_000
+#: Rows that go to a Python worker at once, as both sides hold them several times over.
+BATCH = 2000
+# What the vocabulary's pre-tokenizer takes as words, and the mark of a word's end.
 _WORDS, _END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
-#: Separate words for Python, but are no white space for the pre-tokenizer.
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Texts of Latin letters and white space of which all parties think alike. The dotted capital I has two small letters.
+_PLAIN = r"^[\t\n\r -~\x{a1}-\x{12f}\x{131}-\x{24f}]*\z"
+_SPECIAL = "<|"
 _MARKS = ".,;:!?|#*%$&"
-_PROBE = "The quick brown fox's 12 naïve jumpers, they're över-excited!! tionouble"
+_PROBE = "The quick brown fox's 12 naïve jumpers, they're över-excited!! tionouble ... 's ÀB."
 
 
-def _bytes(ids: list[int]) -> bytes:
-    packed = array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first`` and have ``counts`` places, in a row."""
+    return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
-class _Words(dict):
-    """Ids, as bytes, of lower-case Latin words: the vocabulary's merges, done by a faster byte-pair engine.
+class _Ids:
+    """Ids of texts by the tokenizer, which is asked once for each different word of a group of texts that is not known from one before.
 
-    The merges of the vocabulary are in the order of their ids, so the ids are the ranks. A word's end is a
-    byte that no text holds; its pairs have the lowest ranks after the single bytes, so it joins the last
-    byte first, as the vocabulary's mark does.
-    """
-
-    def __init__(self, model: dict):
-        import regex
-        import tiktoken
-
-        super().__init__()
-        # The byte-level alphabet: printable Latin-1 characters stand for their own bytes, the rest follow from 256.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        ranks = {}
-        for token, at in model["vocab"].items():
-            body = token.removesuffix(_END)
-            if all(c in byte for c in body) and not token.startswith("<|"):
-                ranks[bytes(byte[c] for c in body) + b"\xff" * (body != token)] = at
-        ranks.setdefault(b"\xff", 1 << 30)
-        self.merge = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.split = regex.compile(_WORDS).findall
-
-    def __missing__(self, word: str) -> bytes:
-        ids = _bytes(self.merge(word.encode() + b"\xff"))
-        if len(self) < KNOWN_WORDS and len(word) <= 48:
-            self[word] = ids
-        return ids
-
-    def of(self, part: str) -> bytes:
-        word = part.rstrip(_MARKS)
-        if word.isalpha():  # the common case, without the pattern: letters and perhaps marks behind them
-            return self[word.lower()] + (self[part[len(word) :]] if len(word) < len(part) else b"")
-        return b"".join([self[word] for word in self.split(part.lower())])
-
-
-class _Ids(dict):
-    """Ids, as bytes, of the texts between white space.
-
-    The vocabulary's pre-tokenizer drops white space and lets no token cross it, so the ids of a text are
-    those of its parts in a row. Parts of Latin letters go to the faster engine, if it gives the
-    tokenizer's ids for a probe; all others go to the tokenizer.
+    The vocabulary's pre-tokenizer drops white space and cuts the rest into words that no token crosses, so the ids of a
+    text are those of its words in a row. Plain texts are split and their different parts found by Arrow; a part is
+    a word of letters with at most one mark behind it, or is cut with the pre-tokenizer's pattern. The different words
+    are encoded many in a row by the tokenizer's model, and the mark of a word's end in the last token of each tells them apart. That way is taken
+    only if it gives the tokenizer's ids for a probe; other texts are encoded as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer, self.words = Tokenizer.from_file(path), None
-        with open(path, encoding="utf-8") as text:
-            model = json.load(text)["model"]
-        if model.get("type") == "BPE" and model.get("end_of_word_suffix") == _END:
-            words = _Words(model)
-            if b"".join(map(words.of, _PROBE.split())) == self.exact(_PROBE):
-                self.words = words
-
-    def exact(self, text: str) -> bytes:
-        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __missing__(self, part: str) -> bytes:
-        # The dotted capital I becomes a letter and a mark of its own in lower case.
-        plain = self.words is not None and "<|" not in part and (part.isascii() or max(part) < "\u0250" and "\u0130" not in part)
-        ids = self.words.of(part) if plain else self.exact(part)
-        if len(self) < KNOWN_PARTS and len(part) <= 48:
-            self[part] = ids
-        return ids
-
-    def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _SEPARATORS):
-            return self.exact(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words that are in lower case and cut already.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, at in self.tokenizer.get_vocab().items():
+            self.last[at] = token.endswith(_END)
+        self.cut = regex.compile(_WORDS).findall
+        self.forget()
+        self.by_words = True
+        self.by_words = self.of([_PROBE])[0].tolist() == self._exact([_PROBE])[0]
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.first = array("I"), array("q", [0])
+
+    def _exact(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cut(self, rows: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.words.encode_batch_fast(rows, add_special_tokens=False)]
+
+    def _of_words(self, words: pa.StringArray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each word's begin and how many it has. Words that came more than once are remembered."""
+        names = words.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(numbers < 0)
+        starts = [*range(0, len(new), ROW), len(new)]
+        rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words.take(pa.array(new))), " ").to_pylist()
+        ids, ends, upto = [np.array(self.ids, np.int64)], [], len(self.ids)
+        for start in range(0, len(rows), 100):
+            for at, own in enumerate(self._cut(rows[start : start + 100]), start):
+                found = np.array(own, np.int64)
+                after = np.flatnonzero(self.last[found]) + 1
+                if len(after) != starts[at + 1] - starts[at] or after[-1] != len(found):
+                    single = self._exact(words.take(pa.array(new[starts[at] : starts[at + 1]])).to_pylist())
+                    after, found = np.cumsum([len(i) for i in single]), np.array(list(chain.from_iterable(single)), np.int64)
+                ids.append(found)
+                ends.append(after + upto)
+                upto += len(found)
+        whole = np.concatenate(ids).astype("<u4")
+        fresh = np.concatenate([[len(self.ids)], *ends]).astype(np.int64)
+        first = np.array(self.first)
+        begin, sizes = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+        old = np.flatnonzero(numbers >= 0)
+        begin[old], sizes[old] = first[numbers[old]], np.diff(first)[numbers[old]]
+        begin[new], sizes[new] = fresh[:-1], np.diff(fresh)
+        often = new[times[new] > 1]
+        self.known.update(zip([names[i] for i in often], range(len(self.known), len(self.known) + len(often)), strict=True))
+        self.first.extend((np.cumsum(sizes[often]) + len(self.ids)).tolist())
+        self.ids.extend(whole[_ragged(begin[often], sizes[often])].tolist())
+        if len(self.known) > KNOWN:
+            self.forget()
+        return whole, begin, sizes
+
+    def _of_parts(self, parts: pa.StringArray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different parts, which came so many times, in a row, and how many each has."""
+        stems = pc.utf8_rtrim(parts, characters=_MARKS)
+        tails = pc.subtract(pc.utf8_length(parts), pc.utf8_length(stems)).to_numpy().astype(np.int64)
+        simple = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & (tails <= 1)
+        odd, marked = np.flatnonzero(~simple), np.flatnonzero(simple & (tails == 1))
+        cut = [self.cut(part.lower()) for part in parts.take(pa.array(odd)).to_pylist()]
+        counts = np.where(simple, 1 + tails, 0)
+        counts[odd] = [len(c) for c in cut]
+        first = np.cumsum(counts) - counts
+        kinds = pc.utf8_lower(stems.filter(pa.array(simple))), pc.utf8_slice_codeunits(parts.take(pa.array(marked)), -1), pa.array(chain.from_iterable(cut), pa.string())
+        words = pa.concat_arrays(kinds).dictionary_encode()
+        numbers = np.empty(counts.sum(), np.int64)
+        numbers[np.concatenate([first[simple], first[marked] + 1, _ragged(first[odd], counts[odd])])] = words.indices.to_numpy()
+        ids, begin, sizes = self._of_words(words.dictionary, np.bincount(numbers, np.repeat(times, counts), len(words.dictionary)))
+        sizes = sizes[numbers]
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return ids[_ragged(begin[numbers], sizes)], upto[first + counts] - upto[first]
+
+    def of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, little-endian."""
+        given = pa.array([t or "" for t in texts], pa.string())
+        plain = pc.match_substring_regex(given, _PLAIN).to_numpy(zero_copy_only=False) & ~pc.match_substring(given, _SPECIAL).to_numpy(zero_copy_only=False)
+        plain &= self.by_words
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(plain), given, ""))
+        parts = lists.flatten().dictionary_encode()
+        at = parts.indices.to_numpy()
+        ids, counts = self._of_parts(parts.dictionary, np.bincount(at, minlength=len(parts.dictionary)))
+        whole = ids[_ragged((np.cumsum(counts) - counts)[at], counts[at])]
+        ends = np.concatenate(([0], np.cumsum(counts[at])))[np.cumsum(lists.value_lengths().to_numpy())]
+        found = np.split(whole, ends[:-1])
+        others = np.flatnonzero(~plain)
+        for start in range(0, len(others), 50):
+            some = others[start : start + 50]
+            for place, exact in zip(some, self._exact([texts[i] or "" for i in some]), strict=True):
+                found[place] = np.array(exact, "<u4")
+        return found
 
 
 def _ids(path: str) -> _Ids:
     return kept(f"ids {path}", lambda: _Ids(path))
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller batches for what is run in here, where the session has larger ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(before, rows) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _encoded(path: str, length: int):
     @F.pandas_udf("doc_tokens long, crcs array<long>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ids = _ids(path)
-        closing = _bytes([CLOSING])
+        closing = np.array([CLOSING], "<u4").tobytes()
         for texts in batches:
             sizes, marks = [], []
-            for text in texts:
-                data = ids.of(text) + closing
-                sizes.append(len(data) // 4)
-                marks.append([zlib.crc32(data[at : at + 4 * length]) for at in range(0, len(data), 4 * length)])
+            for _, group in text_groups(texts, GROUP):
+                for found in ids.of(group):
+                    data = found.tobytes() + closing
+                    sizes.append(len(data) // 4)
+                    marks.append([zlib.crc32(data[at : at + 4 * length]) for at in range(0, len(data), 4 * length)])
             yield pd.DataFrame({"doc_tokens": sizes, "crcs": marks})
+        released()
 
     return encode
 
@@ -241,7 +291,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, width:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     unit = F.ceil(F.col("length") / width).cast("int")
-    found = checkpointed(pieces(docs, path, length, doc_id, text).withColumn("unit", unit))
+    with _batches_of(spark, BATCH):
+        found = checkpointed(pieces(docs, path, length, doc_id, text).withColumn("unit", unit))
     ranked = with_order_index(found, ["doc_id", "start"], ["unit"], "rank")
     demand = {r["unit"]: r["count"] for r in found.groupBy("unit").count().collect()}  # length / width rows at most
     places = _places(patterns(demand, -(-length // width)))
