@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logloom.llm.common import kept, text_groups
+from logloom.llm.common import kept, released, text_groups
 
 UNDETERMINED = "und"
 RESULT = "lang_pred string, lang_score double, entropy double"
@@ -225,6 +225,7 @@ def identify(text: str | Column, samples: Mapping[str, str]) -> Column:
                 entropies.append(c)
             join = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
             yield pd.DataFrame({"lang_pred": names, "lang_score": join(scores), "entropy": join(entropies)})
+        released()
 
     return judge(F.col(text) if isinstance(text, str) else text)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from logloom.llm.common import checkpointed, no_text, salted_join
+from logloom.llm.common import checkpointed, kept, no_text, released, salted_join
 
 #: Words of a shingle, share of common shingles that links, bands and coordinates of a band.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 80, 28, 6
@@ -93,6 +93,7 @@ def _buckets(marks: np.ndarray, bands: int) -> np.ndarray:
 def _sketcher(words: int, bands: int, rows: int):
     @F.pandas_udf("n_shingles long, class binary, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kept("near copies", dict)  # the tables of a stage before make room
         for texts in batches:
             sizes, keys = [], []
             buckets: list[np.ndarray | None] = [None] * len(texts)
@@ -110,6 +111,7 @@ def _sketcher(words: int, bands: int, rows: int):
                         buckets[place] = row
                     group, places = [], []
             yield pd.DataFrame({"n_shingles": sizes, "class": keys, "bands": pd.Series(buckets, dtype=object)})
+        released()
 
     return sketch
 
