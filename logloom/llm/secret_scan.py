@@ -38,7 +38,7 @@ RUN_LEAST, WORD_LEAST, SHORT_WORD_RATIO = 16, 20, 1.5
 SLICE = 1024
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % RUN_LEAST)
 DIGEST = re.compile(r"(?:(?:md5|sha-?1|sha-?224|sha-?256|sha-?384|sha-?512)[-_:=])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|sha(?:256|384|512)-[A-Za-z0-9+/]{40,90}={0,2}", re.I)
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F-]*-[0-9-]*|[0-9_/+=-]*|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2}(?:-?[0-9]{2}){1,2}Z?")
+IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_/+=-]*|[0-9]{4}-?[0-9]{2}-?[0-9]{2}T[0-9]{2}(?:-?[0-9]{2}){1,2}Z?")
 ONE_CASE = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*")
 EMBEDDED = re.compile(r"data:[A-Za-z0-9.+/_-]*(?:;[A-Za-z0-9.=_-]+)*;base64,\Z", re.I)
 SPANS = "array<struct<kind:string,start:long,end:long>>"
