@@ -1,13 +1,15 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are ordered by id and payload digest; dense positions in that order name the shard of each, so
-shards do not depend on how Spark cuts the input. A task writes a shard in order, each record a gzip
-member of its own, and starts a new file once ``roll_bytes`` compressed bytes are reached. HTTP and WARC
-headers, record ids and digests are made anew from the row alone, with a given date, so a task that is
-run again writes the same bytes. Files get a temporary name first and their own one when they are whole;
-the manifest lists files, sizes and records, and the reader checks the folder against it.
+Records are ordered by id and payload digest. Running sums of their sizes in that order name the shard of each, so
+a shard holds about ``shard_bytes`` whatever the pages are, and shards do not depend on how Spark cuts the input. A
+task writes a shard in order, each record a gzip member of its own, and starts a new file once ``roll_bytes``
+compressed bytes are reached. HTTP and WARC headers, record ids and digests are made anew from the row alone, with a
+given date, so a task that is run again writes the same bytes. Files get a temporary name first and their own one when
+they are whole; the manifest lists files, sizes and records, and the reader checks the folder against it.
 
-Of records with equal payloads the one of the largest id is a response, the others are revisits of it.
+Of records with equal payloads the one of the largest id is a response, the others are revisits of it. Only the
+payload of a response is shuffled to its shard. Rows that are equal in id, payload and URL are counted first and written
+out in runs of ``RUN`` copies, each a place of its own in the order.
 
 Defined results: a null page is an empty payload, and empty payloads are equal ones. A null id is before
 all and is referred to only where no other id has the payload. Of repeated rows one is the response and
@@ -27,13 +29,18 @@ from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from logloom.llm.common import checkpointed, no_text, salted_join
+from logloom.llm.common import checkpointed, no_text
 from logloom.operators.indexing import with_order_index
+from logloom.operators.skew import spread_join
 from logloom.session import scratch_path
 
-SHARD_ROWS, ROLL_BYTES, DATE = 2048, 64 << 20, "2024-01-01T00:00:00Z"
+SHARD_BYTES, ROLL_BYTES, DATE = 32 << 20, 8 << 20, "2024-01-01T00:00:00Z"
+#: Copies of a row that are written in a row, and rows whose sizes one task adds up.
+RUN, ADDED = 10_000, 65_536
+#: Sizes of a record, by which shards are cut: its headers, and how far its payload shrinks.
+HEAD_BYTES, SHRINKS = 600, 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard long, part long, bytes long, records long, sha1 string"
 RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary, file string"
@@ -53,14 +60,13 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, ':'.join(map(str, parts)))}>"
 
 
-def page_record(page_id: str, url: str | None, payload: bytes, nth: int, refers_to: str | None, response: bool, date: str) -> bytes:
-    """``nth`` tells repeated rows apart; ``refers_to`` is the id of the page whose record has the payload."""
-    digest = base32_sha1(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def page_record(page_id: str, url: str | None, digest: str, size: int, nth: int, refers_to: str | None, payload: bytes | None, date: str) -> bytes:
+    """A response with its payload, or without one a revisit of the record of page ``refers_to``; ``nth`` tells repeated rows apart."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     uri = quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{page_id}"
     fields = [("WARC-Record-ID", record_id(page_id, digest, nth)), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Page-ID", page_id)]
     fields += [("WARC-Payload-Digest", "sha1:" + digest), ("Content-Type", "application/http; msgtype=response")]
-    if response:
+    if payload is not None:
         return record("response", fields, http + payload)
     fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, 0)), ("WARC-Refers-To-Page-ID", str(refers_to))]
     return record("revisit", fields, http)
@@ -118,7 +124,7 @@ def _deflated(page: Column) -> Column:
 
 def _writer(folder: str, roll_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, key, nth, plan = None, None, 0, {}
+        roller = None
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {name: batch.column(i)[at].as_py() for i, name in enumerate(batch.schema.names)}
@@ -127,14 +133,14 @@ def _writer(folder: str, roll_bytes: int, date: str):
                         roller.close()
                         yield _manifest(roller.done)
                     roller = _Roller(folder, row["shard"], roll_bytes, date)
-                if row["plan"]:
-                    plan, key, nth = row, (row["id"], row["sha"]), 0
-                    continue
-                if key != (row["id"], row["sha"]):
-                    raise ValueError("a page came before its plan")
-                response = plan["response"] and nth == 0
-                roller.add(page_record(str(row["id"]), row["url"], zlib.decompress(row["payload"]) if row["payload"] else b"", nth, plan["refers_to"], response, date))
-                nth += 1
+                digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
+                for nth in range(row["nth"], row["nth"] + row["copies"]):
+                    payload = None
+                    if row["response"] and nth == 0:
+                        payload = zlib.decompress(row["payload"]) if row["payload"] else b""
+                        if len(payload) != row["size"]:
+                            raise ValueError(f"page {row['id']} came without its payload")
+                    roller.add(page_record(str(row["id"]), row["url"], digest, row["size"], nth, row["refers_to"], payload, date))
         if roller is not None:
             roller.close()
             yield _manifest(roller.done)
@@ -154,35 +160,64 @@ def _qualified(spark: SparkSession, folder: str) -> str:
     return "file://" + name.removeprefix("file:") if name.startswith("file:/") and not name.startswith("file:///") else name
 
 
+def _shards(items: DataFrame, shard_bytes: int) -> DataFrame:
+    """Items (rows with ``bytes``) in order of id, digest, URL and copy, with their place ``at`` and ``shard``."""
+    placed = with_order_index(items, ["id", "sha", "url", "nth"], name="at").withColumn("part", F.floor(F.col("at") / ADDED))
+    placed = checkpointed(placed)
+    sums = placed.groupBy("part").agg(F.sum("bytes").alias("of_part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per ADDED items
+    sums = sums.select("part", F.coalesce(F.sum("of_part").over(before), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.col("before") + F.coalesce(F.sum("bytes").over(upto), F.lit(0))
+    return placed.join(sums, "part").withColumn("shard", F.floor(whole / shard_bytes).cast("long")).drop("part", "before", "bytes")
+
+
 def write(
-    pages: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, roll_bytes: int = ROLL_BYTES, date: str = DATE,
+    pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE,
     page_id: str = "page_id", url: str = "url", html: str = "html",
 ) -> DataFrame:
     """Write the archives into a new folder; returns the manifest, which is kept in the folder as ``_manifest``."""
     spark = pages.sparkSession
     folder = _qualified(spark, folder)
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), _deflated(F.col(html)).alias("payload"), F.sha2(no_text(html).cast("binary"), 256).alias("sha"))
-    keys = rows.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("times"))
-    placed = checkpointed(with_order_index(keys, ["id", "sha"], name="at").withColumn("shard", F.floor(F.col("at") / shard_rows).cast("long")))
-    groups = placed.groupBy("sha").agg(F.max("id").alias("refers_to"))
-    plans = salted_join(placed, groups, ["sha"], ["at"]).withColumn("response", F.col("id").eqNullSafe(F.col("refers_to")))
-    plans = checkpointed(plans.select("shard", "id", "sha", "response", F.col("refers_to").cast("string").alias("refers_to")))
-    own = plans.select(F.col("id").alias("key"), F.col("sha").alias("key_sha"), "shard")
-    bodies = rows.join(own, rows["id"].eqNullSafe(own["key"]) & (rows["sha"] == own["key_sha"])).select("shard", "id", "sha", "url", "payload")
-    bodies = bodies.select("shard", "id", "sha", F.lit(False).alias("plan"), F.lit(None).cast("boolean").alias("response"), F.lit(None).cast("string").alias("refers_to"), "url", "payload")
-    heads = plans.select("shard", "id", "sha", F.lit(True).alias("plan"), "response", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    ordered = bodies.union(heads).repartition("shard").sortWithinPartitions("shard", "id", "sha", F.desc("plan"), "url")
+    rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), no_text(html).cast("binary").alias("body"), F.sha2(no_text(html).cast("binary"), 256).alias("sha"))
+    told = rows.select("id", "url", "sha", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("size"))
+    counted = checkpointed(told.groupBy("id", "sha", "url", "sha1", "size").agg(F.count(F.lit(1)).alias("times")))
+    groups = counted.groupBy("sha").agg(F.max("id").alias("refers_to"))
+    earlier = Window.partitionBy("id", "sha").orderBy("url").rowsBetween(Window.unboundedPreceding, -1)
+    plans = spread_join(counted.withColumn("first", F.coalesce(F.sum("times").over(earlier), F.lit(0))), groups, ["sha"])
+    plans = plans.withColumn("response", F.col("id").eqNullSafe(F.col("refers_to")))
+    runs = plans.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / RUN))))
+    body_bytes = F.when(F.col("response") & (F.col("nth") == 0), F.col("size") / SHRINKS).otherwise(0)
+    items = runs.select(
+        "id", "url", "sha", "sha1", "size", "response", F.col("refers_to").cast("string").alias("refers_to"),
+        (F.col("first") + F.col("run") * RUN).alias("nth"), F.least(F.lit(RUN).cast("long"), F.col("times") - F.col("run") * RUN).alias("copies"),
+    ).withColumn("bytes", (F.col("copies") * HEAD_BYTES + body_bytes).cast("long"))
+    items = checkpointed(_shards(items, shard_bytes))
+    # Packed pages meet the first copy of their response by the key that repeated ones are dropped by, so they are shuffled once for both.
+    key = F.coalesce(F.col("id").cast("string"), F.lit("\x00")).alias("key")
+    bodies = pages.select(F.col(page_id).alias("id"), _deflated(F.col(html)).alias("payload"), F.sha2(no_text(html).cast("binary"), 256).alias("sha"))
+    bodies = bodies.select(key, "sha", "payload").groupBy("key", "sha").agg(F.first("payload").alias("payload"))
+    is_head = F.col("response") & (F.col("nth") == 0)
+    heads = items.where(is_head).withColumn("key", key).join(bodies, ["key", "sha"]).drop("key", "sha")
+    others = items.where(~is_head).drop("sha").withColumn("payload", F.lit(None).cast("binary"))
+    ordered = heads.unionByName(others).repartition("shard").sortWithinPartitions("shard", "at")
     ordered.mapInArrow(_writer(folder, roll_bytes, date), MANIFEST).write.parquet(f"{folder}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with names in lower case, block) of the gzip members of an archive."""
-    while data:
-        opened = zlib.decompressobj(31)
-        text = opened.decompress(data) + opened.flush()
-        data = opened.unused_data
+def records(data: bytes, step: int = 16_384) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with names in lower case, block) of the gzip members of an archive, which are fed to the inflater in steps."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        opened, parts = zlib.decompressobj(31), []
+        while not opened.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            piece = view[at : at + step]
+            parts.append(opened.decompress(piece))
+            at += len(piece) - len(opened.unused_data)
+        text = b"".join(parts)
         head, _, rest = text.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}

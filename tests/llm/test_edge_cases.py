@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -199,12 +200,13 @@ def test_ids_of_odd_white_space():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer, ids = Tokenizer.from_file(path), packing._ids(path)
-    assert ids.words is not None
-    for code in range(33, 0x260):
-        for part in (chr(code), f"a{chr(code)}", f"{chr(code)}a", f"Ab{chr(code)}c's"):
-            assert np.frombuffer(ids.of(part), "<u4").tolist() == tokenizer.encode(part, add_special_tokens=False).ids
+    assert ids.by_words
+    parts = [part for code in range(33, 0x260) for part in (chr(code), f"a{chr(code)}", f"{chr(code)}a", f"Ab{chr(code)}c's")]
+    for group in (parts, parts[::-1], [" ".join(parts)]):
+        assert [found.tolist() for found in ids.of(group)] == [tokenizer.encode(part, add_special_tokens=False).ids for part in group]
+    assert ids.of([None, "", "a"])[0].tolist() == ids.of([None, "", "a"])[1].tolist() == []
     for text in ("a\x1cb  c d", "İΣ's re've x", "<|endoftext|> x<|endoftext|>y", "é ́e", "\t\n", "12a34 !?…é", "ÀÉÎßſİx ÿ¿¡ªº²", "don't I'LL x" + "y" * 300):
-        assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.of([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_imatch(docs, nothing):
@@ -266,7 +268,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "s", 1) for r in rows], "page_id long, url string, html string, shard string, plan int")
     folders = [f"{tmp_path}/{n}" for n in ("a", "b")]
     for folder, parts in zip(folders, (1, 5), strict=True):
-        warc.write(pages.repartition(parts), folder, shard_rows=3, roll_bytes=600)
+        warc.write(pages.repartition(parts), folder, shard_bytes=2000, roll_bytes=600)
     digest = lambda folder: sorted((r.file, r.sha1, r.bytes) for r in spark.read.parquet(f"{folder}/_manifest").collect())
     assert digest(folders[0]) == digest(folders[1]) and len(digest(folders[0])) > 3
     got = warc.read(spark, folders[0]).collect()
@@ -283,6 +285,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_shards_and_files_follow_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RUN", 20)
+    draw = np.random.default_rng(4)
+    rows = [(i, "u", draw.bytes(3000).hex()) for i in range(120)] + [(7, "same", "page")] * 205 + [(8, None, "page"), (7, "other", "page"), (9, "large", draw.bytes(200_000).hex())]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, f"{tmp_path}/w", shard_bytes=60_000, roll_bytes=20_000)
+    manifest = spark.read.parquet(f"{tmp_path}/w/_manifest").toPandas()
+    assert manifest.records.sum() == len(rows) and manifest["shard"].nunique() > 5
+    whole = manifest[manifest.part < manifest.groupby("shard").part.transform("max")]
+    assert len(whole) > 5 and (whole.bytes >= 20_000).all() and (manifest.bytes < 20_000 + 250_000).all()
+    assert (manifest.groupby("shard").bytes.sum() < 60_000 * 4 + 250_000).all()
+    got = warc.read(spark, f"{tmp_path}/w").toPandas()
+    same = got[got.payload_bytes == 4]
+    assert len(same) == 207 and (same.record_type == "response").sum() == 1 and set(same[same.record_type == "revisit"].refers_to) == {"8"}
+    assert sorted(got.page_id) == sorted(str(r[0]) for r in rows)
+
+
+def test_reading_an_archive_is_linear():
+    def seconds(n):
+        member = gzip.compress(warc.page_record("1", "u", warc.base32_sha1(b"x" * 500), 500, 0, None, b"x" * 500, warc.DATE), 1)
+        data = member * n
+        start = time.process_time()
+        assert sum(1 for _ in warc.records(data)) == n
+        return time.process_time() - start
+
+    seconds(2000)
+    assert seconds(40_000) < 16 * max(seconds(5000), 0.05)
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.records(gzip.compress(warc.record("warcinfo", [], b"x"))[:-3]))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 4)) * rng.uniform(0.5, 2, (40, 1)))]
