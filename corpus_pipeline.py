@@ -1,7 +1,8 @@
 """From documents to packed sequences: language, near copies, secrets, mixture, packing.
 
 Each stage reads the written result of the one before and returns the columns of ``documents``, the last
-one the pieces of the sequences.
+one the pieces of the sequences. Stages keep a document's columns in one struct where they add some of their own, so
+columns of any name may stand beside them. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
+
+    The least id stays, a null one only where there is no other; of repeated rows one stays. Documents without words or text all stay.
+    """
     ship_package(spark)
     return minhash.one_of_each(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced by a mark, and ``n_chars`` follows."""
+    """Every document stays; its secrets are replaced by a mark, and ``n_chars`` follows. A null text stays null and has a null ``n_chars``."""
     ship_package(spark)
     found = docs.select(F.struct("*").alias("doc"), secret_scan.find("text").alias("found"))
     clean = found.select("doc", secret_scan.redacted("doc.text", F.col("found")).alias("clean"))
@@ -47,7 +51,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the sequences."""
+    """The pieces of the sequences. A null or empty text is the closing id alone, and each repeated row is a document of its own."""
     ship_package(spark)
     return packing.pack(docs)
 
