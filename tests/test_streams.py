@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from logloom.operators import dataset, feedback
@@ -186,3 +187,25 @@ def test_many_feedbacks_write_little(spark, tmp_path):
     feedback_versions._merged(str(tmp_path / "root"))(events, 0)
     assert size("root") - before < before / 50
     assert feedback_versions.versions(spark, str(tmp_path / "root")).count() == 501
+
+
+def test_summaries_of_a_bucket_share_one_call():
+    class Known(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    state = Known()
+    processor = incidents.Incidents()
+    processor.init(type("Handle", (), {"getMapState": lambda self, *schema: state})())
+    processor.handleInitialState((7,), pd.DataFrame({"summary_key": ["a", "b"], "known_key": ["OPS-1", "OPS-2"]}), None)
+    at = [pd.Timestamp("2024-01-01"), pd.Timestamp("2024-01-02"), pd.Timestamp("2024-01-03")]
+    parts = [
+        pd.DataFrame([("c", "C", 5, at[1], at[2], 2), ("a", "A", 2**60 + 1, at[1], at[1], 1)], columns=incidents.PARTS),
+        pd.DataFrame([("c", "c", 2**60 + 3, at[0], at[0], 4), ("d", "D", 9, at[2], at[2], 1)], columns=incidents.PARTS),
+    ]
+    said = pd.concat(processor.handleInputRows((7,), iter(parts), None)).set_index("summary_key")
+    assert said["operation"].to_dict() == {"a": "reused", "c": "created", "d": "created"}
+    assert said["creator"].to_dict() == {"a": None, "c": 2**60 + 3, "d": 9}
+    assert tuple(said.loc["c", ["summary", "issue_key", "first_seen", "last_seen", "events"]]) == ("c", incidents.new_issue_key("c"), at[0], at[2], 6)
+    assert said.loc["a", "issue_key"] == "OPS-1" and state[("d",)] == (incidents.new_issue_key("d"),)
+    again = pd.concat(processor.handleInputRows((7,), iter(parts[1:]), None))
+    assert set(again["operation"]) == {"reused"}
