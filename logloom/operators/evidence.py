@@ -35,16 +35,32 @@ LISTS = (  # kind of evidence, output list, cap
 )
 
 
-def of_any_branch(commits: DataFrame) -> DataFrame:
-    """The commits of each branch, and all of a repository once more under the branch '' of events that name none."""
-    anywhere = commits.dropDuplicates(["repo", "sha"]).withColumn("branch", F.lit(""))
-    return commits.where("branch <> ''").unionByName(anywhere)
+def of_any_branch(commits: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The commits of each branch, and all of a repository once more under the branch '' of events that name none.
+
+    ``asked`` (with ``repo, branch``) leaves the second part out for repositories in which every event names its branch.
+    """
+    anywhere = commits
+    if asked is not None:
+        anywhere = commits.join(checkpointed(asked.where("branch = ''").select("repo").distinct()), "repo", "left_semi")
+    anywhere = anywhere.dropDuplicates(["repo", "sha"]).withColumn("branch", F.lit(""))
+    return commits.where("branch <> ''").unionByName(anywhere.select(*commits.columns))
 
 
 def newest_first() -> list[Column]:
     return [F.col("committed_at").desc(), F.col("sha").desc()]
 
 
+def _that_may_meet(df: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows whose key may be one of ``few``, told by 8-byte hashes; the join that follows is exact.
+
+    The hashes are written first, so their size is known and Spark sends them to all tasks as long as its limit
+    allows: rows that meet nothing are then dropped where they are read, and not shuffled.
+    """
+    keys = checkpointed(few.select(F.xxhash64(*on).alias("__key")).distinct())
+    return df.withColumn("__key", F.xxhash64(*on)).join(keys, "__key", "left_semi").drop("__key")
+
+
 def event_signatures(events: DataFrame, repo: str, default_branch: str = "", lookback_days: int = 14, payload_chars: int | None = None) -> DataFrame:
     """Events (``event_id, received_at, payload``) with what their evidence is looked up by."""
     raw = F.col("payload")
@@ -78,18 +94,22 @@ def branch_history(commits: DataFrame, limit: int = 10) -> DataFrame:
     return newest.withColumn("base_sha", base).where(F.col("history_rank") <= limit).drop("parent_sha")
 
 
+def consecutive_commits(signatures: DataFrame, commits: DataFrame, limit: int = 10) -> DataFrame:
+    """The latest commits of each branch that have a base to compare to, also over all branches where signatures name none."""
+    limit = min(max(limit, 1), 25)
+    return branch_history(of_any_branch(commits, signatures), limit).where(F.col("base_sha").isNotNull()).select("repo", "branch", "sha", "base_sha", "history_rank")
+
+
 def consecutive_pairs(signatures: DataFrame, commits: DataFrame, limit: int = 10) -> DataFrame:
     """Each signature with the latest commits of its branch that have a base to compare to."""
-    limit = min(max(limit, 1), 25)
-    recent = branch_history(of_any_branch(commits), limit).where(F.col("base_sha").isNotNull()).select("repo", "branch", "sha", "base_sha", "history_rank")
-    return spread_join(signatures.select("sig_id", "repo", "branch", "paths", "terms"), recent, ["repo", "branch"])
+    return spread_join(signatures.select("sig_id", "repo", "branch", "paths", "terms"), consecutive_commits(signatures, commits, limit), ["repo", "branch"])
 
 
 def _by_sha(signatures: DataFrame, commits: DataFrame, asked: str, keep: Sequence[str]) -> DataFrame:
     """Signatures with the commits that a full or short sha names."""
     key = F.substring(asked, 1, 7).alias("sha7")
     wanted = signatures.where(F.col(asked) != "").select("sig_id", "repo", F.col(asked).alias("asked"), key)
-    known = commits.select("repo", F.substring("sha", 1, 7).alias("sha7"), *keep)
+    known = _that_may_meet(commits.select("repo", F.substring("sha", 1, 7).alias("sha7"), *keep), wanted, ["repo", "sha7"])
     return spread_join(wanted, known, ["repo", "sha7"]).where(F.col("sha").startswith(F.col("asked"))).drop("asked", "sha7")
 
 
@@ -128,9 +148,11 @@ def candidates_by_path(signatures: DataFrame, commits: DataFrame, files: DataFra
     """
     asked = signatures.select("sig_id", "repo", "branch", F.posexplode(F.slice("paths", 1, paths)).alias("path_at", "path"))
     clean = F.btrim(F.replace("filename", F.lit("\\"), F.lit("/")), F.lit("/"))
-    wanted = asked.select("repo", "path").distinct()
-    touched = files.select("repo", "sha", clean.alias("path")).join(wanted, ["repo", "path"], "left_semi").distinct()
-    dated = touched.join(of_any_branch(commits.select("repo", "branch", "sha", "committed_at")), ["repo", "sha"])
+    wanted = checkpointed(asked.select("repo", "branch", "path").distinct())
+    touched = files.select("repo", "sha", clean.alias("path")).join(wanted.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    # Dealt by commit at once, for the distinct rows and for the join with the commits.
+    touched = touched.repartition("repo", "sha").distinct()
+    dated = touched.join(of_any_branch(commits.select("repo", "branch", "sha", "committed_at"), wanted), ["repo", "sha"])
     latest = top_rows(dated, ["repo", "branch", "path"], newest_first(), per_path)
     hits = spread_join(asked, latest.select("repo", "branch", "path", "sha"), ["repo", "branch", "path"])
     return hits.select("sig_id", "sha", "path_at", "path")
@@ -193,7 +215,7 @@ def candidates_by_terms(signatures: DataFrame, commits: DataFrame, hits: int = 5
 
 def candidates_recent(signatures: DataFrame, commits: DataFrame, limit: int = 10) -> DataFrame:
     """The latest commits of the branch within the look-back."""
-    newest = top_rows(of_any_branch(commits.select("repo", "branch", "sha", "committed_at")), ["repo", "branch"], newest_first(), limit)
+    newest = top_rows(of_any_branch(commits.select("repo", "branch", "sha", "committed_at"), signatures), ["repo", "branch"], newest_first(), limit)
     met = spread_join(signatures.select("sig_id", "repo", "branch", "since"), newest, ["repo", "branch"])
     return met.where(F.to_date("committed_at") >= F.col("since")).select("sig_id", "sha")
 
@@ -205,20 +227,29 @@ def path_points(filename: Column, path: Column) -> Column:
     return F.when((filename != "") & (path != ""), F.when((filename == path) | ends, domain.PATH_POINTS).when(name(filename) == name(path), domain.BASENAME_POINTS))
 
 
-def evidence_items(pairs: DataFrame, files: DataFrame) -> DataFrame:
+def evidence_items(pairs: DataFrame, files: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Items of evidence (kind, value, at, points, shown) of each changed file for each (signature, commit) pair.
 
     Whether a term or path is in a file does not depend on the signature: each
     distinct term and path asked of a commit is tested once against its files.
     The signatures then meet the hits, and never the patch text.
+
+    With ``members`` (``repo, commits, sha``) a pair names a set of commits (``commits``) and not one
+    (``sha``): what a signature asks of the ten commits of its branch is then one row, and only hits are rows per commit.
     """
+    if members is None:
+        pairs = pairs.withColumn("commits", F.col("sha"))
     lower_terms = F.transform("terms", lambda t: F.lower(t))
-    asked = pairs.select("sig_id", "repo", "sha", F.posexplode(F.arrays_zip(F.col("terms"), lower_terms.alias("low"))).alias("at", "t"))
-    asked = asked.select("sig_id", "repo", "sha", "at", F.col("t.terms").alias("value"), F.col("t.low").alias("low"))
-    on_path = pairs.select("sig_id", "repo", "sha", F.posexplode("paths").alias("at", "path"))
+    asked = pairs.select("sig_id", "repo", "commits", F.posexplode(F.arrays_zip(F.col("terms"), lower_terms.alias("low"))).alias("at", "t"))
+    asked = asked.select("sig_id", "repo", "commits", "at", F.col("t.terms").alias("value"), F.col("t.low").alias("low"))
+    on_path = pairs.select("sig_id", "repo", "commits", F.posexplode("paths").alias("at", "path"))
+
+    def of_commits(asks: DataFrame) -> DataFrame:
+        return asks.withColumn("sha", F.col("commits")) if members is None else asks.join(members, ["repo", "commits"])
+
     patch = F.coalesce("patch", F.lit(""))
     clean = F.btrim(F.replace("filename", F.lit("\\"), F.lit("/")), F.lit("/"))
-    changed = files.join(pairs.select("repo", "sha").distinct(), ["repo", "sha"], "left_semi").select(
+    changed = _that_may_meet(files, pairs if members is None else members, ["repo", "sha"]).select(
         "repo", "sha", "position", "filename", clean.alias("clean"), patch.alias("patch"), F.lower(patch).alias("patch_low")
     )
     lines = F.split("patch", r"\r\n|[\n\r]")
@@ -229,40 +260,41 @@ def evidence_items(pairs: DataFrame, files: DataFrame) -> DataFrame:
     in_patch = F.contains("patch_low", "low")
     line = snippet(F.get(F.filter(lines, lambda x: F.contains(F.lower(x), F.col("low"))), 0))
     # A file meets the different terms of its commit as arrays, so its patch is copied once per ``TERMS_AT_ONCE`` terms and not per term.
-    terms = asked.groupBy("repo", "sha").agg(F.collect_set("low").alias("terms"))
+    terms = asked.groupBy("repo", "commits").agg(F.collect_set("low").alias("terms"))
     starts = F.sequence(F.lit(1), F.size("terms"), F.lit(TERMS_AT_ONCE))
-    parts = terms.select("repo", "sha", F.explode(F.transform(starts, lambda at: F.slice("terms", at, TERMS_AT_ONCE))).alias("terms"))
+    parts = terms.select("repo", "commits", F.explode(F.transform(starts, lambda at: F.slice("terms", at, TERMS_AT_ONCE))).alias("terms"))
     found = F.filter("terms", lambda t: F.contains(F.col("patch_low"), t) | F.contains(F.lower("filename"), t))
-    tested = changed.join(parts, ["repo", "sha"]).withColumn("low", F.explode(found)).drop("terms")
-    term_hits = tested.select(
-        "repo", "sha", "low", "position", "filename", F.when(in_patch, "term_diff").otherwise("term_file").alias("kind"),
+    tested = changed.join(of_commits(parts), ["repo", "sha"]).withColumn("low", F.explode(found)).drop("terms")
+    term_hits = checkpointed(tested.select(
+        "repo", "commits", "sha", "low", "position", "filename", F.when(in_patch, "term_diff").otherwise("term_file").alias("kind"),
         F.when(in_patch, domain.PATCH_TERM_POINTS).otherwise(domain.FILENAME_TERM_POINTS).cast("bigint").alias("points"), F.when(in_patch, line).alias("shown"),
-    )
+    ))
     edited = F.get(F.filter(lines, lambda x: x.rlike(r"^[+-]") & ~x.startswith("+++") & ~x.startswith("---")), 0)
     points = path_points(F.col("clean"), F.col("path"))
-    path_hits = changed.join(on_path.select("repo", "sha", "path").distinct(), ["repo", "sha"]).where(points.isNotNull()).select(
-        "repo", "sha", "path", "position", "filename", points.cast("bigint").alias("points"),
+    path_hits = checkpointed(changed.join(of_commits(on_path.select("repo", "commits", "path").distinct()), ["repo", "sha"]).where(points.isNotNull()).select(
+        "repo", "commits", "sha", "path", "position", "filename", points.cast("bigint").alias("points"),
         snippet(F.coalesce(edited, F.concat(F.lit("changed file matched "), F.col("path")))).alias("line"),
-    )
+    ))
     columns = ("sig_id", "sha", "position", "filename", "kind", "value", "at", "points", "shown")
-    by_term = spread_join(asked, term_hits, ["repo", "sha", "low"]).withColumn("at", F.col("at") + 100).select(*columns)
+    by_low, by_path = ["repo", "commits", "low"], ["repo", "commits", "path"]
+    by_term = spread_join(_that_may_meet(asked, term_hits, by_low), term_hits, by_low).withColumn("at", F.col("at") + 100).select(*columns)
     none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
     item = lambda kind, value, at, gained: F.struct(F.lit(kind).alias("kind"), value.alias("value"), at.alias("at"), gained.alias("points"))
     three = F.array(
         item("path", F.col("path"), F.col("at"), F.col("points")), item("snippet", F.col("line"), F.col("at"), zero), item("file", F.col("filename"), F.lit(0), zero)
     )
-    met = spread_join(on_path, path_hits, ["repo", "sha", "path"]).select("sig_id", "sha", "position", "filename", F.explode(three).alias("x"))
+    met = spread_join(_that_may_meet(on_path, path_hits, by_path), path_hits, by_path).select("sig_id", "sha", "position", "filename", F.explode(three).alias("x"))
     return by_term.unionByName(met.select("sig_id", "sha", "position", "filename", "x.*", none.alias("shown")))
 
 
-def diff_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
+def diff_evidence(pairs: DataFrame, files: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Evidence of each (signature, commit) pair: capped lists in order and a score of at most 160.
 
     Lists are cut to their caps by rank before they are gathered, so a commit
-    of any size gives a bounded row.
+    of any size gives a bounded row. ``members`` is as for ``evidence_items``.
     """
     place = F.struct("position", "filename", "at")
-    first = evidence_items(pairs, files).groupBy("sig_id", "sha", "kind", "value").agg(
+    first = evidence_items(pairs, files, members).groupBy("sig_id", "sha", "kind", "value").agg(
         F.min(place).alias("place"), F.min_by("shown", place).alias("shown"), F.sum("points").alias("points")
     )
     # The line of a term is shown once, from the first file that has it; then equal lines are merged.
@@ -279,6 +311,8 @@ def diff_evidence(pairs: DataFrame, files: DataFrame) -> DataFrame:
             )
         ).alias("x"),
     )
+    # The items of a pair are brought together once, for all three steps below.
+    both = both.repartition("sig_id", "sha")
     merged = both.groupBy("sig_id", "sha", "x.kind", "x.value").agg(F.min("x.place").alias("place"), F.sum("x.points").alias("points"))
     longest = max(cap for _, _, cap in LISTS)
     ranked = top_rows(merged, ["sig_id", "sha", "kind"], ["place", "value"], longest)
@@ -301,9 +335,16 @@ def related_commit() -> Column:
 
 def consecutive_reviews(signatures: DataFrame, commits: DataFrame, files: DataFrame, limit: int = 10) -> DataFrame:
     """Related commits among the latest of the branch, each judged by its own diff."""
-    pairs = consecutive_pairs(signatures, commits, limit)
-    evidence = diff_evidence(pairs, files).where(related_commit())
-    return evidence.join(pairs.select("sig_id", "sha", "base_sha", "history_rank"), ["sig_id", "sha"])
+    recent = checkpointed(consecutive_commits(signatures, commits, limit))
+    evidence = _history_evidence(signatures, recent, files).where(related_commit())
+    named = evidence.join(signatures.select("sig_id", "repo", "branch"), "sig_id")
+    return spread_join(named, recent, ["repo", "branch", "sha"]).drop("repo", "branch")
+
+
+def _history_evidence(signatures: DataFrame, recent: DataFrame, files: DataFrame) -> DataFrame:
+    """Evidence of each signature in the latest commits of its branch."""
+    asks = signatures.select("sig_id", "repo", F.col("branch").alias("commits"), "paths", "terms")
+    return diff_evidence(asks, files, recent.select("repo", F.col("branch").alias("commits"), "sha"))
 
 
 def _signals(found: DataFrame, source: str, precedence: int, name: Column | None = None, order: Column | None = None) -> DataFrame:
@@ -345,8 +386,8 @@ def impact_candidates(signatures: DataFrame, commits: DataFrame, files: DataFram
     history only for those still without one.
     """
     signatures = checkpointed(signatures)
-    shas = signatures.select("sig_id", "repo", "paths", "terms")
-    history = checkpointed(consecutive_pairs(signatures, commits, history_limit))
+    shas = signatures.select("sig_id", "repo", "branch", "paths", "terms")
+    recent = checkpointed(consecutive_commits(signatures, commits, history_limit))
     by_sha = candidates_by_sha(signatures, commits)
     by_range = candidates_by_range(signatures, commits)
     by_path = candidates_by_path(signatures, commits, files)
@@ -355,11 +396,10 @@ def impact_candidates(signatures: DataFrame, commits: DataFrame, files: DataFram
         .unionByName(_signals(by_range, "payload_sha_range", 2))
         .unionByName(_signals(by_path, "path", 3, F.concat(F.lit("path:"), "path"), F.col("path_at")))
     )
-    pairs = history.select("sig_id", "repo", "sha", "paths", "terms").unionByName(
-        direct.select("sig_id", "sha").distinct().join(history.select("sig_id", "sha"), ["sig_id", "sha"], "left_anti").join(shas, "sig_id").select("sig_id", "repo", "sha", "paths", "terms")
-    )
-    evidence = checkpointed(diff_evidence(pairs, files))
-    reviewed = evidence.where(related_commit()).join(history.select("sig_id", "sha"), ["sig_id", "sha"], "left_semi")
+    beside = direct.select("sig_id", "sha").distinct().join(shas, "sig_id").join(recent, ["repo", "branch", "sha"], "left_anti")
+    in_history = checkpointed(_history_evidence(signatures, recent, files))
+    evidence = in_history.unionByName(checkpointed(diff_evidence(beside.select("sig_id", "repo", "sha", "paths", "terms"), files)))
+    reviewed = in_history.where(related_commit())
     signals = checkpointed(direct.unionByName(_signals(reviewed, "consecutive_history_diff", 0)))
 
     open_after_direct = signatures.join(signals.select("sig_id").distinct(), "sig_id", "left_anti")
@@ -370,7 +410,7 @@ def impact_candidates(signatures: DataFrame, commits: DataFrame, files: DataFram
             _signals(candidates_recent(open_after_search, commits), "recent_branch_history", 5)
         )
     )
-    late_pairs = late.select("sig_id", "sha").distinct().join(shas, "sig_id")
+    late_pairs = late.select("sig_id", "sha").distinct().join(shas.drop("branch"), "sig_id")
     late_evidence = checkpointed(diff_evidence(late_pairs, files))
     every_signal = checkpointed(signals.unionByName(late))
     return merge_candidates(every_signal, evidence.unionByName(late_evidence))
@@ -378,7 +418,7 @@ def impact_candidates(signatures: DataFrame, commits: DataFrame, files: DataFram
 
 def top_candidates(candidates: DataFrame, commits: DataFrame, limit: int = 5) -> DataFrame:
     """The best candidates of each signature by score, then date, then sha."""
-    facts = commits.groupBy(F.col("sha")).agg(
+    facts = _that_may_meet(commits, candidates, ["sha"]).groupBy(F.col("sha")).agg(
         F.max("committed_at").alias("committed_at"), F.first("message").alias("message"),
         *[F.first(c).alias(c) for c in ("author_name", "author_email", "author_login") if c in commits.columns],
     )

@@ -182,7 +182,7 @@ def _(spark, sf):
   SELECT * FROM ranked WHERE rank <= 5""", "errors", "commits", "files"))
 def _(spark, sf):
     t = Tables(spark, sf)
-    found = evidence.impact_candidates(t.signatures, t.commits, t.files)
+    found = checkpointed(evidence.impact_candidates(t.signatures, t.commits, t.files))
     return t.per_event(evidence.top_candidates(found, t.commits)).select("event_id", "sha", "score", "rank", "author_name", "message")
 
 

@@ -141,3 +141,24 @@ def test_triage_of_every_label(spark, commits, files):
     got = {r["event_id"]: (r["prediction"], [a["type"] for a in r["actions"]]) for r in out["results"].collect()}
     assert got == {1: ("Error", ["jira", "github_copilot_remediation"]), 2: ("CONFIGURATION", ["email"]), 3: ("Noise", ["ignore"]), 4: ("odd", ["none"])}
     assert out["candidates"].orderBy("rank").first()["sha"] == SHA[4]
+
+
+def test_asks_of_a_branch_equal_asks_of_its_commits(spark, rows):
+    """Sets of commits as members give the evidence of single commits, and no row per commit goes into the join with the hits."""
+    commits = [("r", "main", f"{i:040d}", "p", "m", datetime(2024, 1, 1) + timedelta(days=i)) for i in range(4)] + [("r", "main", f"{2:040d}", "p", "m", datetime(2024, 1, 1) + timedelta(days=2))]
+    commits = spark.createDataFrame(commits, "repo string, branch string, sha string, parent_sha string, message string, committed_at timestamp")
+    files = spark.createDataFrame(
+        [("r", f"{i:040d}", i % 2, f"app/f{i % 2}.py", "+raise Boom\n-quiet" if i != 1 else None) for i in range(6)] * 2, "repo string, sha string, position bigint, filename string, patch string"
+    )
+    signatures = spark.createDataFrame(
+        [("s1", "r", "main", ["app/f0.py"], ["Boom", "quiet", "none"]), ("s2", "r", "main", [], ["boom", "f1.py"]), ("s3", "r", "", ["f1.py"], ["Boom"]), ("s4", "q", "main", [], ["Boom"])],
+        "sig_id string, repo string, branch string, paths array<string>, terms array<string>",
+    )
+    single = evidence.diff_evidence(evidence.consecutive_pairs(signatures, commits), files)
+    recent = evidence.consecutive_commits(signatures, commits)
+    asks = signatures.select("sig_id", "repo", F.col("branch").alias("commits"), "paths", "terms")
+    together = evidence.diff_evidence(asks, files, recent.select("repo", F.col("branch").alias("commits"), "sha"))
+    assert rows(single) == rows(together) and single.count() > 6
+    reviews = evidence.consecutive_reviews(signatures, commits, files)
+    assert {r["sig_id"] for r in reviews.select("sig_id").collect()} == {"s1", "s2", "s3"}
+    assert reviews.where(F.col("sig_id") == "s1").count() == single.where((F.col("sig_id") == "s1") & evidence.related_commit()).count() + 1  # one commit comes twice
