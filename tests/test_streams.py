@@ -2,8 +2,8 @@
 
 from datetime import datetime, timedelta
 
-import pytest
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import dataset, feedback
