@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -43,12 +43,18 @@ def first_value(payload: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at(payload, F.lit(k)), F.lit("")) for k in keys])
 
 
-def extract_message(raw: Column | str, keys: Sequence[str] = domain.MESSAGE_KEYS) -> Column:
-    """Message of a payload: the known keys in order, else the first non-empty value; plain text as it is."""
-    payload = payload_map(raw)
+def message_of(payload: Column, raw: Column, keys: Sequence[str] = domain.MESSAGE_KEYS) -> Column:
+    """``extract_message`` for a payload that is parsed already."""
     any_value = F.get(F.filter(F.map_values(payload), lambda v: v.isNotNull() & (v != "")), 0)
     found = F.coalesce(first_value(payload, keys), any_value, F.lit(""))
-    return F.when(payload.isNotNull(), found).otherwise(F.coalesce(as_column(raw), F.lit("")))
+    return F.when(payload.isNotNull(), found).otherwise(F.coalesce(raw, F.lit("")))
+
+
+def extract_message(raw: Column | str, keys: Sequence[str] = domain.MESSAGE_KEYS) -> Column:
+    """Message of a payload: the known keys in order, else the first non-empty value; plain text as it is."""
+    text = as_column(raw)
+    # The one-item array binds the parsed object, so that it is parsed once and not once per key.
+    return F.get(F.transform(F.array(payload_map(text)), lambda payload: message_of(payload, text, keys)), 0)
 
 
 def normalize_payload(raw: Column | str, received_at: Column | str) -> Column:
@@ -88,46 +94,56 @@ def _children(value: Column) -> Column:
     return F.coalesce(entries, nothing)
 
 
-def nested_value(raw: Column | str, keys: Sequence[str], max_depth: int = 5, containers: Sequence[str] = domain.CONTAINER_KEYS) -> Column:
-    """A scalar of a payload: by key at the top, in the known containers, then anywhere.
+def nested_values(top: Column, key_lists: Sequence[Sequence[str]], max_depth: int = 5, containers: Sequence[str] = domain.CONTAINER_KEYS) -> Column:
+    """For each list of keys a scalar of a parsed payload, or empty text: by key at the top, in the known containers, then anywhere.
 
     The third tier goes through the tree level by level down to ``max_depth``
     and compares keys by their letters and digits only; it runs in the JVM and
-    only for rows that the first two tiers leave open.
+    only for rows that the first two tiers leave open. Containers and tree are read once for all lists.
     """
-    text = as_column(raw)
-    folded = sorted({re.sub("[^a-z0-9]", "", k.lower()) for k in keys if k.strip()})
-
-    def fits(key: Column) -> Column:
-        return F.array_contains(constant_words(folded), F.regexp_replace(F.lower(key), "[^a-z0-9]", ""))
+    folded = [sorted({re.sub("[^a-z0-9]", "", k.lower()) for k in keys if k.strip()}) for keys in key_lists]
 
     def first_of(values: Column) -> Column:
         return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
 
-    def by_key(box: Column) -> Column:
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        # The one-item array binds a value that is used several times.
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def by_key(box: Column, keys: Sequence[str]) -> Column:
         return first_of(F.transform(constant_words(keys), lambda k: _scalar(F.try_element_at(box, k))))
 
     def in_containers(top: Column) -> Column:
-        names = constant_words(containers)
-        boxes = F.filter(F.transform(names, lambda c: F.try_element_at(top, c)), lambda v: F.coalesce(v, F.lit("")).startswith("{"))
-        return first_of(F.transform(boxes, lambda v: by_key(F.from_json(v, MAP))))
+        boxes = F.filter(F.transform(constant_words(containers), lambda c: F.try_element_at(top, c)), lambda v: F.coalesce(v, F.lit("")).startswith("{"))
+        return F.transform(boxes, lambda v: F.from_json(v, MAP))
 
     def deeper(levels: Column, _: Column) -> Column:
         boxes = F.filter(F.element_at(levels, -1), lambda e: F.substring(e["value"], 1, 1).isin("{", "["))
         return F.concat(levels, F.array(F.flatten(F.transform(boxes, lambda e: _children(e["value"])))))
 
-    def anywhere(top: Column) -> Column:
+    def tree(top: Column, nested: Column) -> Column:
         levels = F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), F.array(F.map_entries(top)), deeper)
-        hits = F.filter(F.flatten(levels), lambda e: fits(e["key"]))
-        return first_of(F.transform(hits, lambda e: _scalar(e["value"])))
+        entries = F.when(nested, F.flatten(levels)).otherwise(F.map_entries(top))
+        return F.transform(entries, lambda e: F.struct(F.regexp_replace(F.lower(e["key"]), "[^a-z0-9]", "").alias("name"), _scalar(e["value"]).alias("value")))
 
     def look(top: Column) -> Column:
         nested = F.exists(F.map_values(top), lambda v: F.substring(v, 1, 1).isin("{", "["))
-        folds = F.exists(F.map_keys(top), fits)
-        return F.coalesce(by_key(top), F.when(nested, in_containers(top)), F.when(nested | folds, anywhere(top)))
+        early = bound(F.when(nested, in_containers(top)), lambda boxes: F.array(*[
+            F.coalesce(by_key(top, keys), first_of(F.transform(boxes, lambda box: by_key(box, keys)))) for keys in key_lists
+        ]))
+
+        def late(found: Column, entries: Column) -> Column:
+            hit = lambda names: F.filter(entries, lambda e: F.array_contains(constant_words(names), e["name"]))
+            return F.array(*[F.coalesce(found[i], first_of(F.transform(hit(names), lambda e: e["value"]))) for i, names in enumerate(folded)])
 
-    # The one-item array binds the parsed object, so that it is parsed once.
-    return F.coalesce(F.get(F.transform(F.array(payload_map(text)), look), 0), F.lit(""))
+        return bound(early, lambda found: F.when(F.exists(found, lambda v: v.isNull()), bound(tree(top, nested), lambda entries: late(found, entries))).otherwise(found))
+
+    return F.transform(bound(top, look), lambda v: F.coalesce(v, F.lit("")))
+
+
+def nested_value(raw: Column | str, keys: Sequence[str], max_depth: int = 5, containers: Sequence[str] = domain.CONTAINER_KEYS) -> Column:
+    """The scalar of one list of keys, see ``nested_values``."""
+    return F.get(nested_values(payload_map(raw), [keys], max_depth, containers), 0)
 
 
 def _label_patterns(labels: Sequence[str]) -> tuple[list[str], str]:
