@@ -64,17 +64,21 @@ def _that_may_meet(df: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFram
 def event_signatures(events: DataFrame, repo: str, default_branch: str = "", lookback_days: int = 14, payload_chars: int | None = None) -> DataFrame:
     """Events (``event_id, received_at, payload``) with what their evidence is looked up by."""
     raw = F.col("payload")
-    step = events.withColumn("message", payloads.extract_message(raw))
-    branch = texts.clean_branch(payloads.nested_value(raw, domain.BRANCH_KEYS))
-    stamp = F.coalesce(texts.parse_utc(payloads.nested_value(raw, domain.EVENT_TIME_KEYS)), F.col("received_at").cast("timestamp"))
+    key_lists = [domain.BRANCH_KEYS, domain.EVENT_TIME_KEYS, domain.COMMIT_SHA_KEYS, domain.PREVIOUS_SHA_KEYS, domain.SOURCE_PATH_KEYS]
+    # The payload is parsed once, and each step is a column, so that what is used several times is worked out once.
+    step = events.withColumn("__top", payloads.payload_map(raw))
+    step = step.withColumns({"message": payloads.message_of(F.col("__top"), raw), "__found": payloads.nested_values(F.col("__top"), key_lists)}).drop("__top")
+    found_branch, found_time, found_sha, found_previous, found_path = (F.col("__found")[i] for i in range(len(key_lists)))
+    branch = texts.clean_branch(found_branch)
+    stamp = F.coalesce(texts.parse_utc(found_time), F.col("received_at").cast("timestamp"))
     step = step.select(
-        *step.columns,
+        *[c for c in step.columns if c != "__found"],
         F.lit(repo).alias("repo"),
         F.when(branch == "", F.lit(default_branch)).otherwise(branch).alias("branch"),
-        F.lower(texts.commit_sha(payloads.nested_value(raw, domain.COMMIT_SHA_KEYS))).alias("commit_sha"),
-        F.lower(texts.commit_sha(payloads.nested_value(raw, domain.PREVIOUS_SHA_KEYS))).alias("previous_sha"),
+        F.lower(texts.commit_sha(found_sha)).alias("commit_sha"),
+        F.lower(texts.commit_sha(found_previous)).alias("previous_sha"),
         texts.lookback_date(stamp, lookback_days).alias("since"),
-        texts.source_paths(payloads.nested_value(raw, domain.SOURCE_PATH_KEYS), "message", raw).alias("paths"),
+        texts.source_paths(found_path, "message", raw).alias("paths"),
     )
     step = step.withColumn("terms", texts.evidence_terms("message", raw, F.col("paths"), payload_chars=payload_chars))
     return step.withColumn("sig_id", F.md5(F.to_json(F.struct(*SIGNATURE)).cast("binary")))

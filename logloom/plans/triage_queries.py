@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from logloom import domain
@@ -20,13 +22,17 @@ def signed_errors(spark, sf):
 
 
 class Tables:
-    """The tables of one run; signatures are found once."""
+    """The tables of one run; signatures are found once. Files are brought together only for queries that look at them."""
 
     def __init__(self, spark, sf):
         self.signed = checkpointed(signed_errors(spark, sf))
         self.signatures = evidence.distinct_signatures(self.signed)
         self.commits = checkpointed(derived(spark, sf, "commits"))
-        self.files = checkpointed(derived(spark, sf, "files"))
+        self.of_files = spark, sf
+
+    @cached_property
+    def files(self):
+        return checkpointed(derived(*self.of_files, "files"))
 
     def per_event(self, found):
         return self.signed.select("event_id", "sig_id").join(found, "sig_id").drop("sig_id")
