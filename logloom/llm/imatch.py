@@ -39,11 +39,15 @@ def digests(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", rare: int = RARE, common: int = COMMON) -> list[str]:
-    """The lexicon as a table: line ``n`` holds the rest of the digits, between commas, of the terms that begin with ``n``."""
-    terms = F.array_distinct(F.transform(digests(no_text(text)), lambda d: F.substring(d, 1, DIGITS)))
+    """The lexicon as a table: line ``n`` holds the rest of the digits, between commas, of the terms that begin with ``n``.
+
+    Terms are counted as numbers, which take half the room of their digits in the shuffle.
+    """
+    terms = F.array_distinct(F.transform(digests(no_text(text)), lambda d: F.conv(F.substring(d, 1, DIGITS), 16, 10).cast("long")))
     counted = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     total = docs.count()
     kept = counted.where((F.col("docs") >= max(LEAST_DOCS, -(-total // rare))) & (F.col("docs") <= total // common))
+    kept = kept.select(F.lpad(F.lower(F.hex("term")), DIGITS, "0").alias("term"))
     lines = kept.groupBy(F.substring("term", 1, LINE).alias("line")).agg(F.array_join(F.array_sort(F.collect_list(F.substring("term", LINE + 1, DIGITS))), ",").alias("rest"))
     table = [""] * 16**LINE
     for row in lines.collect():  # bounded as the lexicon is
@@ -94,24 +98,25 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare:
     total = order.count()
     half = F.floor(F.col("n") / 2).cast("int")
     after = order.select(F.pmod(F.col("at") - 1, F.lit(total)).alias("at"), F.col("key").alias("before_key"), half.alias("before_half"))
-    before = order.select(F.pmod(F.col("at") + 1, F.lit(total)).alias("at"), F.col("key").alias("next_key"))
-    places = checkpointed(order.join(after, "at").join(before, "at").select("doc_id", "key", "times", "next_key", "before_key", "before_half"))
+    places = checkpointed(order.join(after, "at").select("doc_id", "key", "times", "at", "before_key", "before_half"))
     one = Window.partitionBy("key").orderBy("key")
     # Repeated rows go before the shuffle. Only the key and the text of a document are shuffled, so both uses below share one exchange.
     texts = keyed.select("key", "text").withColumn("nth", F.row_number().over(one)).where("nth = 1").join(places, "key")
     tails = texts.select(F.col("before_key").alias("key"), F.expr("substring(text, 1, before_half)").alias("tail"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS INT))"), F.col("tail"))
-    pairs = texts.join(tails, "key").select("doc_id", "key", "next_key", "times", "text", edited.alias("edited"))
+    pairs = texts.join(tails, "key").select("doc_id", "at", "times", "text", edited.alias("edited"))
     table = lexicon(rows, rare=rare, common=common)
+    # Fingerprints go on as they are written, digests as bytes and documents by their place: less than half of what arrays and keys take.
     prints = checkpointed(
         pairs.select(
-            "doc_id", "key", "next_key", "times", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            parts(F.col("text"), table).alias("own"), parts(F.col("edited"), table).alias("other"),
+            "doc_id", "at", "times", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("digest"),
+            written(parts(F.col("text"), table)).alias("own"), written(parts(F.col("edited"), table)).alias("other"),
         )
     )
-    following = prints.select(F.col("key").alias("next_key"), F.col("own").alias("next"))
-    found = prints.join(following, "next_key").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    following = prints.select(F.pmod(F.col("at") + 1, F.lit(total)).alias("at"), F.col("own").alias("next"))
+    found = prints.join(following, "at").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    own, other, after_it = (F.split(name, "-") for name in ("own", "other", "next"))
     return found.select(
-        "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
+        "doc_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), F.col("own").alias("fingerprint"), F.col("other").alias("edited_fingerprint"),
+        likeness(own, other).alias("near_edited"), likeness(own, after_it).alias("near_next"),
     )
