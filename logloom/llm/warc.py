@@ -133,7 +133,7 @@ def _writer(folder: str, roll_bytes: int, date: str):
                         roller.close()
                         yield _manifest(roller.done)
                     roller = _Roller(folder, row["shard"], roll_bytes, date)
-                digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
+                digest = base64.b32encode(row["sha1"]).decode()
                 for nth in range(row["nth"], row["nth"] + row["copies"]):
                     payload = None
                     if row["response"] and nth == 0:
@@ -180,8 +180,10 @@ def write(
     spark = pages.sparkSession
     folder = _qualified(spark, folder)
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), no_text(html).cast("binary").alias("body"), F.sha2(no_text(html).cast("binary"), 256).alias("sha"))
-    told = rows.select("id", "url", "sha", F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("size"))
+    # Digests are bytes, half as long as their digits: each row is shuffled with them several times.
+    sha = F.unhex(F.sha2(no_text(html).cast("binary"), 256)).alias("sha")
+    rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"), no_text(html).cast("binary").alias("body"), sha)
+    told = rows.select("id", "url", "sha", F.unhex(F.sha1("body")).alias("sha1"), F.octet_length("body").cast("long").alias("size"))
     counted = checkpointed(told.groupBy("id", "sha", "url", "sha1", "size").agg(F.count(F.lit(1)).alias("times")))
     groups = counted.groupBy("sha").agg(F.max("id").alias("refers_to"))
     earlier = Window.partitionBy("id", "sha").orderBy("url").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,7 +198,7 @@ def write(
     items = checkpointed(_shards(items, shard_bytes))
     # Packed pages meet the first copy of their response by the key that repeated ones are dropped by, so they are shuffled once for both.
     key = F.coalesce(F.col("id").cast("string"), F.lit("\x00")).alias("key")
-    bodies = pages.select(F.col(page_id).alias("id"), _deflated(F.col(html)).alias("payload"), F.sha2(no_text(html).cast("binary"), 256).alias("sha"))
+    bodies = pages.select(F.col(page_id).alias("id"), _deflated(F.col(html)).alias("payload"), sha)
     bodies = bodies.select(key, "sha", "payload").groupBy("key", "sha").agg(F.first("payload").alias("payload"))
     is_head = F.col("response") & (F.col("nth") == 0)
     heads = items.where(is_head).withColumn("key", key).join(bodies, ["key", "sha"]).drop("key", "sha")
