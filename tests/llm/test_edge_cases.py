@@ -412,3 +412,42 @@ def test_language_stage_without_labels_keeps_all(spark, docs):
 
 def test_queries_cover_the_operators():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+
+
+def test_imatch_goes_on_with_short_columns(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(imatch, "checkpointed", lambda df: written.append(dict(df.dtypes)) or df.localCheckpoint())
+    rows = spark.createDataFrame([(i, f"common {'abcde'[i % 5]}x {'fgh'[i % 3]}y") for i in range(60)] + [(7, "..."), (None, None)], "doc_id long, text string")
+    got = imatch.compared(rows, rare=10, common=1).collect()
+    assert len(got) == 62 and all(len(r.edited_sha256) == 64 and 0 <= r.near_next <= 1 for r in got)
+    assert len({r.fingerprint for r in got}) > 10 and any(r.fingerprint.count("-") == len(imatch.SUBSETS) - 1 for r in got)
+    prints = written[-1]
+    assert prints["digest"] == "binary" and prints["own"] == prints["other"] == "string" and "key" not in prints and "next_key" not in prints
+    plan = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert imatch.lexicon(rows, rare=10, common=1) != imatch.lexicon(plan) == [""] * 16**imatch.LINE
+
+
+def test_warc_digests_are_shuffled_as_bytes(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr(warc, "checkpointed", lambda df: written.append(dict(df.dtypes)) or df.localCheckpoint())
+    warc.write(spark.createDataFrame([(1, "u", "a"), (2, "u", "a")], "page_id long, url string, html string"), f"{tmp_path}/w")
+    assert all(types["sha"] == types["sha1"] == "binary" for types in written) and len(written) >= 2
+
+
+def test_packing_encodes_in_bounded_memory():
+    import tracemalloc
+
+    import public_tokenizers
+
+    draw = np.random.default_rng(3)
+    words = np.array(["".join(chr(97 + c) for c in draw.integers(0, 26, 7)) for _ in range(20_000)])
+    texts = [" ".join(words[draw.integers(0, 20_000, 300)]) for _ in range(2000)]
+    ids = packing._ids(public_tokenizers.path("word_bpe_49k.json"))
+    ids.forget()
+    tracemalloc.start()
+    for at in range(0, len(texts), packing.BATCH):
+        for _, group in packing.text_groups(texts[at : at + packing.BATCH], packing.GROUP):
+            ids.of(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak

@@ -162,3 +162,14 @@ def test_asks_of_a_branch_equal_asks_of_its_commits(spark, rows):
     reviews = evidence.consecutive_reviews(signatures, commits, files)
     assert {r["sig_id"] for r in reviews.select("sig_id").collect()} == {"s1", "s2", "s3"}
     assert reviews.where(F.col("sig_id") == "s1").count() == single.where((F.col("sig_id") == "s1") & evidence.related_commit()).count() + 1  # one commit comes twice
+
+
+def test_files_are_brought_together_only_where_they_are_asked_for(spark, monkeypatch):
+    from logloom.plans import triage_queries
+
+    made = []
+    monkeypatch.setattr(triage_queries, "signed_errors", lambda spark, sf: spark.range(1).selectExpr("'s' AS sig_id", *[f"'' AS {c}" for c in evidence.SIGNATURE]))
+    monkeypatch.setattr(triage_queries, "derived", lambda spark, sf, name: made.append(name) or spark.range(1))
+    tables = triage_queries.Tables(spark, "")
+    assert made == ["commits"]
+    assert tables.files.count() == 1 and tables.files is tables.files and made == ["commits", "files"]

@@ -55,3 +55,17 @@ def test_redact(spark):
     shown = json.loads(one(spark, raw, payload.redact))
     assert shown["password"] == "<redacted>" and shown["code"] == "<redacted>" and shown["a"]["Api_Key"] == "<redacted>"
     assert shown["decoder"] == 1 and len(shown["a"]["list"]) == 20 and len(shown["text"]) < 1001
+
+
+def test_a_payload_is_parsed_once_whatever_the_keys(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("raw")).select(payload.extract_message("raw"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("from_json") == 1
+
+
+def test_nested_values_of_several_lists_equal_those_of_each(spark):
+    texts = ['{"a":"1","metadata":{"b":"2"},"x":[{"y":{"C c":"3"}}]}', '{"c_C":"4"}', '{"a":"","b":{"a":"5"}}', "no json", None, "{}", '{"d":{"e":{"f":{"a":"6","B":"7"}}}}']
+    lists = [["a"], ["b"], ["cc"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "raw string")
+    got = rows.select(payload.nested_values(payload.payload_map("raw"), lists).alias("all"), F.array(*[payload.nested_value("raw", k) for k in lists]).alias("each")).collect()
+    assert all(r["all"] == r["each"] for r in got)
+    assert [r["all"] for r in got] == [["1", "2", "3"], ["", "", "4"], ["5", "", ""], [""] * 3, [""] * 3, [""] * 3, ["6", "7", ""]]

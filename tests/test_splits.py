@@ -207,3 +207,13 @@ def test_quotas_of_equal_rows(spark):
 def test_groups_may_be_null_in_an_order_index(spark):
     rows = spark.createDataFrame([(None, 2), ("a", 1), (None, 1)], "g string, v int")
     assert sorted((r["g"] or "", r["v"], r["row_index"]) for r in with_order_index(rows, ["v"], ["g"]).collect()) == [("", 1, 0), ("", 2, 1), ("a", 1, 0)]
+
+
+def test_training_masks_each_message_once(spark, monkeypatch):
+    asked = []
+    masks = splits.template_group
+    monkeypatch.setattr(splits, "template_group", lambda message: asked.append(message) or masks(message))
+    rows = spark.createDataFrame([(f"{'failed' if i % 2 else 'fine'} step{i % 40}x", "Error" if i % 2 else "Noise") for i in range(400)], "message string, class string")
+    model, trials, test = training.train_classifier(rows, [{"max_iter": 2}])
+    assert len(asked) == 1 and trials.count() == 1 and 0 < test.count() < 400
+    assert not set(r[0] for r in test.select("template_group").distinct().collect()) & {"", None}
