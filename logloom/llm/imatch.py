@@ -19,17 +19,23 @@ With one document, its next document is itself. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.llm.common import checkpointed, no_text, salted_join
 from logloom.operators.indexing import with_order_index
 
-#: Hexadecimal digits that tell terms apart, and the first ones of them that name a line of the lexicon's table.
+#: Hexadecimal digits that tell terms apart, and how many of a hash of them name a line of the lexicon's table.
 DIGITS, LINE = 15, 4
 #: Least and greatest share of documents of a lexicon term, as one in so many, and the least number of documents.
 RARE, COMMON, LEAST_DOCS = 1000, 10, 2
 #: Of each lexicon subset: bound of two hexadecimal digits, that is its share of the terms. Place k starts at digit k + 1.
 SUBSETS = ("80",) * 2 + ("40",) * 4 + ("10",) * 6 + ("04",) * 9 + ("01",) * 9
+#: What is somewhere in the digits of a bound's places if a term is in one of its subsets at all. Most terms lack it, so they are
+#: looked at once for all subsets of the bound; the other bounds take too many of the terms for that.
+SHOWN = {"10": "0", "04": "0[0-3]", "01": "00"}
 
 
 def digests(text: Column) -> Column:
@@ -38,8 +44,13 @@ def digests(text: Column) -> Column:
     return F.transform(terms, lambda t: F.md5(t.cast("binary")))
 
 
+def _line(term: Column) -> Column:
+    """The line of the lexicon's table that a term's digits belong to."""
+    return F.shiftrightunsigned(F.xxhash64(term), 64 - 4 * LINE).cast("int")
+
+
 def lexicon(docs: DataFrame, text: str = "text", rare: int = RARE, common: int = COMMON) -> list[str]:
-    """The lexicon as a table: line ``n`` holds the rest of the digits, between commas, of the terms that begin with ``n``.
+    """The lexicon as a table: a line holds the digits, with commas between, of the terms that belong to it.
 
     Terms are counted as numbers, which take half the room of their digits in the shuffle.
     """
@@ -48,27 +59,44 @@ def lexicon(docs: DataFrame, text: str = "text", rare: int = RARE, common: int =
     total = docs.count()
     kept = counted.where((F.col("docs") >= max(LEAST_DOCS, -(-total // rare))) & (F.col("docs") <= total // common))
     kept = kept.select(F.lpad(F.lower(F.hex("term")), DIGITS, "0").alias("term"))
-    lines = kept.groupBy(F.substring("term", 1, LINE).alias("line")).agg(F.array_join(F.array_sort(F.collect_list(F.substring("term", LINE + 1, DIGITS))), ",").alias("rest"))
+    lines = kept.groupBy(_line(F.col("term")).alias("line")).agg(F.array_join(F.sort_array(F.collect_list("term")), ",").alias("terms"))
     table = [""] * 16**LINE
     for row in lines.collect():  # bounded as the lexicon is
-        table[int(row["line"], 16)] = f",{row['rest']},"
+        table[row["line"]] = row["terms"]
     return table
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _in_subsets(known: Column) -> Column:
+    """Of each lexicon subset the terms that are in it, in their order."""
+
+    def below(bound: str, k: int) -> Callable[[Column], Column]:
+        return lambda d: F.substring(d, k + 1, 2) < bound
+
+    def of(bound: str, places: list[int]) -> Callable[[Column], Column]:
+        return lambda some: F.array(*[F.filter(some, below(bound, k)) for k in places])
+
+    def shown(bound: str, places: list[int]) -> Callable[[Column], Column]:
+        digits, what = lambda d: F.substring(d, places[0] + 1, len(places) + 1), SHOWN[bound]
+        return (lambda d: F.contains(digits(d), F.lit(what))) if what.isdigit() else (lambda d: F.rlike(digits(d), F.lit(what)))
+
+    groups = [(bound, list(places)) for bound, places in groupby(range(len(SUBSETS)), SUBSETS.__getitem__)]
+    return F.concat(*[_let(F.filter(known, shown(*g)), of(*g)) if g[0] in SHOWN else of(*g)(known) for g in groups])
+
+
 def parts(text: Column, table: list[str]) -> Column:
     """The hashes of the lexicon subsets, or one of all terms if none is in the lexicon."""
     lines = F.split(F.lit("|".join(table)), r"\|")
-    rest = lambda d: F.concat(F.lit(","), F.substring(d, LINE + 1, DIGITS - LINE), F.lit(","))
-    inside = lambda d: F.contains(F.get(lines, F.conv(F.substring(d, 1, LINE), 16, 10).cast("int")), rest(d))
-    found = F.transform(F.array(digests(text)), lambda all_: F.struct(all_.alias("all"), F.array_sort(F.filter(all_, inside)).alias("known")))
-
-    def hashed(known: Column) -> Column:
-        of = lambda k, bound: F.filter(known, lambda d: F.substring(d, k + 1, 2) < bound)
-        one = lambda some: F.when(F.size(some) > 0, F.substring(F.md5(F.array_join(some, "").cast("binary")), 1, 8)).otherwise("")
-        return F.transform(F.array(*[of(k, bound) for k, bound in enumerate(SUBSETS)]), one)
-
-    whole = lambda all_: F.array(F.concat(F.lit("*"), F.md5(F.array_join(F.array_sort(all_), "").cast("binary"))))
-    return F.get(F.transform(found, lambda f: F.when(F.size(f["known"]) > 0, hashed(f["known"])).otherwise(whole(f["all"]))), F.lit(0))
+    # All terms have as many digits, so these are found in a line only as one of its terms.
+    inside = lambda d: F.contains(F.get(lines, _line(F.substring(d, 1, DIGITS))), F.substring(d, 1, DIGITS))
+    one = lambda some: F.when(F.size(some) > 0, F.substring(F.md5(F.array_join(some, "").cast("binary")), 1, 8)).otherwise("")
+    whole = lambda all_: F.array(F.concat(F.lit("*"), F.md5(F.array_join(F.sort_array(all_), "").cast("binary"))))
+    found = lambda all_: F.struct(all_.alias("all"), F.sort_array(F.filter(all_, inside)).alias("known"))
+    return _let(_let(digests(text), found), lambda f: F.when(F.size(f["known"]) > 0, F.transform(_in_subsets(f["known"]), one)).otherwise(whole(f["all"])))
 
 
 def written(found: Column) -> Column:

@@ -427,6 +427,29 @@ def test_imatch_goes_on_with_short_columns(spark, monkeypatch):
     assert imatch.lexicon(rows, rare=10, common=1) != imatch.lexicon(plan) == [""] * 16**imatch.LINE
 
 
+def test_imatch_looks_at_few_terms_for_its_narrow_subsets(spark):
+    """Fingerprints as written out in Python; narrow subsets and the lexicon are asked without a look at each term of each subset."""
+    import re
+
+    for bound, what in imatch.SHOWN.items():
+        assert all(re.search(what, f"{pair:02x}") for pair in range(256) if f"{pair:02x}" < bound)
+    draw = np.random.default_rng(11)
+    words = ["".join(chr(97 + c) for c in draw.integers(0, 26, 8)) for _ in range(3000)]
+    texts = [" ".join(words[w] for w in draw.integers(0, 3000, 400)) for _ in range(40)] + ["once alone", "..."]
+    plan = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = imatch.lexicon(plan, common=2)
+    found = plan.select("doc_id", imatch.written(imatch.parts(F.col("text"), table)).alias("print"))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    terms = [sorted({md5(t) for t in re.split("[^a-z]+", text) if t}) for text in texts]
+    counts = {d: sum(d in own for own in terms) for own in terms for d in own}
+    for (_, got), own in zip(sorted(found.collect()), terms, strict=True):
+        known = [d for d in own if 2 <= counts[d] <= len(texts) // 2]
+        members = [[d for d in known if d[k : k + 2] < bound] for k, bound in enumerate(imatch.SUBSETS)]
+        assert got == ("-".join(md5("".join(m))[:8] if m else "" for m in members) if known else "*" + md5("".join(own)))
+    asked = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in asked and "conv(" not in asked and "rlike" in asked.lower()
+
+
 def test_warc_digests_are_shuffled_as_bytes(spark, tmp_path, monkeypatch):
     written = []
     monkeypatch.setattr(warc, "checkpointed", lambda df: written.append(dict(df.dtypes)) or df.localCheckpoint())
