@@ -35,7 +35,7 @@ from logloom.operators.indexing import with_order_index
 
 LENGTH, CLOSING, WIDTH, GAP = 2048, 1, 8, 1e-4
 #: Characters that are encoded at once, different words of theirs in one row, and words that a worker remembers.
-GROUP, ROW, KNOWN = 2_000_000, 300, 200_000
+GROUP, ROW, KNOWN = 2_000_000, 100, 200_000
 #: Rows that go to a Python worker at once, as both sides hold them several times over.
 BATCH = 250
 # What the vocabulary's pre-tokenizer takes as words, and the mark of a word's end.
@@ -43,7 +43,7 @@ _WORDS, _END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</
 #: Texts of Latin letters and white space of which all parties think alike. The dotted capital I has two small letters.
 _PLAIN = r"^[\t\n\r -~\x{a1}-\x{12f}\x{131}-\x{24f}]*\z"
 _SPECIAL = "<|"
-_MARKS = ".,;:!?|#*%$&"
+_MARKS, _TAIL = ".,;:!?|#*%$&", 8  # marks that may follow a word, and how many at most
 _PROBE = "The quick brown fox's 12 naïve jumpers, they're över-excited!! tionouble ... 's ÀB."
 
 
@@ -57,7 +57,7 @@ class _Ids:
 
     The vocabulary's pre-tokenizer drops white space and cuts the rest into words that no token crosses, so the ids of a
     text are those of its words in a row. Plain texts are split and their different parts found by Arrow; a part is
-    a word of letters with at most one mark behind it, or is cut with the pre-tokenizer's pattern. The different words
+    a word of letters with a few marks behind it, which are one word too, or is cut with the pre-tokenizer's pattern. The different words
     are encoded many in a row by the tokenizer's model, and the mark of a word's end in the last token of each tells them apart. That way is taken
     only if it gives the tokenizer's ids for a probe; other texts are encoded as they are.
     """
@@ -79,9 +79,19 @@ class _Ids:
         self.by_words = True
         self.by_words = self.of([_PROBE])[0].tolist() == self._exact([_PROBE])[0]
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.first = array("I"), array("q", [0])
+    def forget(self, most: int = 0) -> None:
+        """Words that came up in the most groups of texts stay, up to so many; their counts are halved, so that later words can pass them."""
+        if not most:
+            self.known: dict[str, int] = {}
+            self.ids, self.first, self.uses = array("I"), array("q", [0]), np.zeros(0, np.int64)
+            return
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[:most])
+        names, first = list(self.known), np.array(self.first)
+        sizes = np.diff(first)[stay]
+        self.ids = array("I", np.array(self.ids, "<u4")[_ragged(first[stay], sizes)].tobytes())
+        self.first = array("q", np.concatenate(([0], np.cumsum(sizes))).tobytes())
+        self.known = {names[at]: n for n, at in enumerate(stay.tolist())}
+        self.uses = self.uses[stay] // 2
 
     def _exact(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,14 +99,13 @@ class _Ids:
     def _cut(self, rows: list[str]) -> list[list[int]]:
         return [e.ids for e in self.words.encode_batch_fast(rows, add_special_tokens=False)]
 
-    def _of_words(self, words: pa.StringArray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and where each word's begin and how many it has. Words that came more than once are remembered."""
+    def _of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each of these different words' begin and how many it has. All words are remembered, those that come up most for longest."""
         names = words.to_numpy(zero_copy_only=False).tolist()
         numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(numbers < 0)
         starts = [*range(0, len(new), ROW), len(new)]
         rows = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words.take(pa.array(new))), " ").to_pylist()
-        ids, ends, upto = [np.array(self.ids, np.int64)], [], len(self.ids)
         for start in range(0, len(rows), 100):
             for at, own in enumerate(self._cut(rows[start : start + 100]), start):
                 found = np.array(own, np.int64)
@@ -104,39 +113,32 @@ class _Ids:
                 if len(after) != starts[at + 1] - starts[at] or after[-1] != len(found):
                     single = self._exact(words.take(pa.array(new[starts[at] : starts[at + 1]])).to_pylist())
                     after, found = np.cumsum([len(i) for i in single]), np.array(list(chain.from_iterable(single)), np.int64)
-                ids.append(found)
-                ends.append(after + upto)
-                upto += len(found)
-        whole = np.concatenate(ids).astype("<u4")
-        fresh = np.concatenate([[len(self.ids)], *ends]).astype(np.int64)
-        first = np.array(self.first)
-        begin, sizes = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
-        old = np.flatnonzero(numbers >= 0)
-        begin[old], sizes[old] = first[numbers[old]], np.diff(first)[numbers[old]]
-        begin[new], sizes[new] = fresh[:-1], np.diff(fresh)
-        often = new[times[new] > 1]
-        self.known.update(zip([names[i] for i in often], range(len(self.known), len(self.known) + len(often)), strict=True))
-        self.first.extend((np.cumsum(sizes[often]) + len(self.ids)).tolist())
-        self.ids.extend(whole[_ragged(begin[often], sizes[often])].tolist())
+                self.first.frombytes((after + len(self.ids)).astype(np.int64).tobytes())
+                self.ids.frombytes(found.astype(np.uint32).tobytes())
+        numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known.update(zip([names[i] for i in new.tolist()], numbers[new].tolist(), strict=True))
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        self.uses[numbers] += 1
+        whole, first = np.array(self.ids, "<u4"), np.array(self.first)
         if len(self.known) > KNOWN:
-            self.forget()
-        return whole, begin, sizes
+            self.forget(KNOWN // 2)
+        return whole, first[numbers], np.diff(first)[numbers]
 
-    def _of_parts(self, parts: pa.StringArray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different parts, which came so many times, in a row, and how many each has."""
+    def _of_parts(self, parts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different parts in a row, and how many each has."""
         stems = pc.utf8_rtrim(parts, characters=_MARKS)
         tails = pc.subtract(pc.utf8_length(parts), pc.utf8_length(stems)).to_numpy().astype(np.int64)
-        simple = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & (tails <= 1)
-        odd, marked = np.flatnonzero(~simple), np.flatnonzero(simple & (tails == 1))
+        simple = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & (tails <= _TAIL)
+        odd, marked = np.flatnonzero(~simple), [np.flatnonzero(simple & (tails == n)) for n in range(1, _TAIL + 1)]
         cut = [self.cut(part.lower()) for part in parts.take(pa.array(odd)).to_pylist()]
-        counts = np.where(simple, 1 + tails, 0)
+        counts = np.where(simple, 1 + (tails > 0), 0)
         counts[odd] = [len(c) for c in cut]
         first = np.cumsum(counts) - counts
-        kinds = pc.utf8_lower(stems.filter(pa.array(simple))), pc.utf8_slice_codeunits(parts.take(pa.array(marked)), -1), pa.array(chain.from_iterable(cut), pa.string())
-        words = pa.concat_arrays(kinds).dictionary_encode()
+        marks = [pc.utf8_slice_codeunits(parts.take(pa.array(some)), -n) for n, some in enumerate(marked, 1)]
+        words = pa.concat_arrays([pc.utf8_lower(stems.filter(pa.array(simple))), *marks, pa.array(chain.from_iterable(cut), pa.string())]).dictionary_encode()
         numbers = np.empty(counts.sum(), np.int64)
-        numbers[np.concatenate([first[simple], first[marked] + 1, _ragged(first[odd], counts[odd])])] = words.indices.to_numpy()
-        ids, begin, sizes = self._of_words(words.dictionary, np.bincount(numbers, np.repeat(times, counts), len(words.dictionary)))
+        numbers[np.concatenate([first[simple], first[np.concatenate(marked)] + 1, _ragged(first[odd], counts[odd])])] = words.indices.to_numpy()
+        ids, begin, sizes = self._of_words(words.dictionary)
         sizes = sizes[numbers]
         upto = np.concatenate(([0], np.cumsum(sizes)))
         return ids[_ragged(begin[numbers], sizes)], upto[first + counts] - upto[first]
@@ -149,7 +151,7 @@ class _Ids:
         lists = pc.ascii_split_whitespace(pc.if_else(pa.array(plain), given, ""))
         parts = lists.flatten().dictionary_encode()
         at = parts.indices.to_numpy()
-        ids, counts = self._of_parts(parts.dictionary, np.bincount(at, minlength=len(parts.dictionary)))
+        ids, counts = self._of_parts(parts.dictionary)
         whole = ids[_ragged((np.cumsum(counts) - counts)[at], counts[at])]
         ends = np.concatenate(([0], np.cumsum(counts[at])))[np.cumsum(lists.value_lengths().to_numpy())]
         found = np.split(whole, ends[:-1])

@@ -474,3 +474,26 @@ def test_packing_encodes_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6, peak
+
+
+def test_packing_encodes_a_word_once(monkeypatch):
+    """Words are remembered though each comes once in its group of texts; those that come up most stay when there are too many."""
+    import public_tokenizers
+
+    ids = packing._Ids(public_tokenizers.path("word_bpe_49k.json"))
+    draw = np.random.default_rng(7)
+    words = ["".join(chr(97 + c) for c in draw.integers(0, 26, 7)) + mark for mark in ("", "!!", "%%%", ",***", "?!") for _ in range(200)]
+    texts = [" ".join(words[at : at + 100]) for at in range(0, len(words), 100)]
+    exact, asked = ids._exact(texts), []
+    cut = ids._cut
+    monkeypatch.setattr(ids, "_cut", lambda rows: asked.extend(rows) or cut(rows))
+    ids.forget()
+    assert [found.tolist() for found in ids.of(texts)] == exact and asked
+    asked.clear()
+    monkeypatch.setattr(ids, "cut", lambda part: pytest.fail(f"{part} was cut with the pattern"))
+    assert [found.tolist() for found in ids.of(texts)] == exact and not asked
+    monkeypatch.setattr(packing, "KNOWN", 120)
+    for at in (0, 1, 0, 5, 0, 9, 3):
+        assert [found.tolist() for found in ids.of([texts[0], texts[at]])] == [exact[0], exact[at]]
+        assert len(ids.known) <= 120 and len(ids.first) == len(ids.known) + 1 == len(ids.uses) + 1
+    assert sum(word in ids.known for word in texts[0].split()) > 50
