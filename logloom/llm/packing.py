@@ -35,7 +35,7 @@ from logloom.operators.indexing import with_order_index
 
 LENGTH, CLOSING, WIDTH, GAP = 2048, 1, 8, 1e-4
 #: Characters that are encoded at once, different words of theirs in one row, and words that a worker remembers.
-GROUP, ROW, KNOWN = 2_000_000, 100, 200_000
+GROUP, ROW, KNOWN = 2_000_000, 100, 400_000
 #: Rows that go to a Python worker at once, as both sides hold them several times over.
 BATCH = 250
 # What the vocabulary's pre-tokenizer takes as words, and the mark of a word's end.
