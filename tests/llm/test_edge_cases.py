@@ -411,7 +411,7 @@ def test_language_stage_without_labels_keeps_all(spark, docs):
 
 
 def test_queries_cover_the_operators():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 14))
 
 
 def test_imatch_goes_on_with_short_columns(spark, monkeypatch):
